@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+from verdigris.llm import chat, lmscore
 from verdigris.llm.chat import op9_chat_formatting
 from verdigris.llm.decontaminate import op4_benchmark_decontamination
 from verdigris.llm.html import op1_html_extraction
 from verdigris.llm.jaccard import op6_ngram_jaccard_join
 from verdigris.llm.langid import op8_language_id
+from verdigris.llm.lmscore import op2_lm_scoring
 from verdigris.llm.neighbours import op7_nearest_neighbours
 from verdigris.llm.packing import op10_best_fit_packing
 from verdigris.llm.pii import op5_pii_sanitisation
 from verdigris.llm.repeats import op3_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_pii_sanitisation, op6_ngram_jaccard_join, op7_nearest_neighbours, op8_language_id, op9_chat_formatting, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_lm_scoring,
+        op3_suffix_array_dedup,
+        op4_benchmark_decontamination,
+        op5_pii_sanitisation,
+        op6_ngram_jaccard_join,
+        op7_nearest_neighbours,
+        op8_language_id,
+        op9_chat_formatting,
+        op10_best_fit_packing,
+    )
+}
+ORACLES = {"op2_lm_scoring": lmscore.ORACLE, "op9_chat_formatting": chat.ORACLE}

@@ -6,9 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from verdigris.sources.fixtures import with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, and its SQL behind the views that it names."""
+
+    def add(f: Query) -> Query:
+        assert name not in QUERIES, name
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = with_views(sql)
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["flagship"](spark, sf_dir)
+    return QUERIES["w4_reactions_by_characters"](spark, sf_dir)
+
+
+from verdigris.plans import curation, evaluation, io, turn_queries  # noqa: E402, F401

@@ -1 +1,477 @@
-"""Queries."""
+"""Queries on saved bad cases: labels, filters, routes, records, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from verdigris.functions import lexicons as L
+from verdigris.functions import text as T
+from verdigris.operators import curate as C
+from verdigris.operators import sampling as K
+from verdigris.operators import turns as O
+from verdigris.plans.registry import query
+from verdigris.plans.turn_queries import LEXICON, REACTED, SIGNALS
+from verdigris.sources import fixtures as X
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_list(words) -> str:
+    return "(" + ", ".join(map(quoted, words)) + ")"
+
+
+def sql_case(rules, column: str, last: str) -> str:
+    return "CASE " + " ".join(f"WHEN {test.format(column)} THEN {quoted(name)}" for test, name in rules) + f" ELSE {last} END"
+
+
+#: A message of the linked dialogue.
+AT = "(SELECT t.message FROM turns t WHERE t.cid = s.h AND t.turn_index = s.dislike_turn_id)"
+
+
+@query("p10_image_dependency", f"SELECT (regexp_matches(sq_message, '{X.IMAGE}') OR (SELECT coalesce(bool_or(contains(t.message, 'zzq')), false) FROM turns t WHERE t.cid = s.h AND t.pos - (SELECT min(pos) FROM turns m WHERE m.cid = s.h) < 5))::INT AS needs_image, count(*) AS n FROM saved s GROUP BY 1")
+def p10(spark, d):
+    s = X.saved(spark, d, histories=True)
+    return s.groupBy(T.needs_image(F.col("source_query.message"), F.col("full_history"), X.IMAGE, ("zzq",)).cast("int").alias("needs_image")).agg(F.count("*").alias("n"))
+
+
+@query("p11_needs_context", "SELECT (s1 <= 2)::INT AS needs_context, count(*) AS n FROM saved GROUP BY 1")
+def p11(spark, d):
+    return X.saved(spark, d).groupBy(T.needs_context(F.col("judge_scores")["query_completeness"]).cast("int").alias("needs_context")).agg(F.count("*").alias("n"))
+
+
+@query("p12_severity", "SELECT CASE WHEN s4 >= 4 THEN 'critical' WHEN s4 >= 3 THEN 'moderate' ELSE 'mild' END AS tier, count(*) AS n FROM saved GROUP BY 1")
+def p12(spark, d):
+    return X.saved(spark, d).groupBy(T.severity_tier(F.col("judge_scores")["severity"]).alias("tier")).agg(F.count("*").alias("n"))
+
+
+#: Raw labels for the label rules: one of a list, by id.
+RAW = ["冗余/啰嗦", "?", "事实性错误与幻觉", "答非所问", "格式错误", "系统提示泄露", "verbosity", "过度拒答", "缺少共情", "unknown thing", "", "信息过时", "上下文丢失", "推荐不当", "任务未完成度"]
+
+
+def _raw_labels(spark, d) -> DataFrame:
+    return X.saved(spark, d).select("doc_id", F.element_at(F.array(*map(F.lit, RAW)), (F.col("doc_id") % len(RAW) + 1).cast("int")).alias("raw"))
+
+
+_DIMENSION = f"CASE WHEN raw IS NULL OR raw IN ('', '?') THEN {quoted(L.OTHER)} WHEN raw IN {sql_list(L.DIMENSIONS)} THEN raw " + " ".join(f"WHEN regexp_matches(raw, {quoted(p)}, 'i') THEN {quoted(n)}" for p, n in L.DIMENSION_RULES) + f" ELSE {quoted(L.OTHER)} END"
+
+
+@query("p13_dimensions", f"WITH q AS (SELECT [{', '.join(map(quoted, RAW))}][(doc_id % {len(RAW)} + 1)::INT] AS raw FROM saved) SELECT raw, {_DIMENSION} AS dimension, count(*) AS n FROM q GROUP BY ALL")
+def p13(spark, d):
+    return C.normalised(_raw_labels(spark, d), "raw").groupBy("raw", "dimension").agg(F.count("*").alias("n"))
+
+
+_SCENES = ["娱乐消散", "信息与知识查询", "生活决策辅助", "未知场景", ""]
+
+
+def _map_case(mapping, column) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = {quoted(a)} THEN {quoted(b)}" for a, b in mapping.items()) + " END"
+
+
+@query(
+    "p14_label_maps",
+    f"""WITH q AS (SELECT [{', '.join(map(quoted, _SCENES))}][(doc_id % 5 + 1)::INT] AS scenario FROM saved), m AS (SELECT *, scenario <> '' AND scenario NOT IN {sql_list(L.SCENARIOS)} AS f, {_map_case(L.SCENARIO_MAP, 'scenario')} AS t FROM q)
+    SELECT scenario, CASE WHEN f THEN coalesce(t, scenario) ELSE scenario END AS mapped, (f AND t IS NULL)::INT AS unmapped, count(*) AS n FROM m GROUP BY ALL""",
+)
+def p14(spark, d):
+    s = X.saved(spark, d).select(F.element_at(F.array(*map(F.lit, _SCENES)), (F.col("doc_id") % 5 + 1).cast("int")).alias("scenario"))
+    m = C.mapped(s, "scenario", L.SCENARIOS, L.SCENARIO_MAP)
+    return m.groupBy("scenario", F.col("scenario_mapped").alias("mapped"), F.col("scenario_unmapped").cast("int").alias("unmapped")).agg(F.count("*").alias("n"))
+
+
+@query("p15_context_writeback", "SELECT coalesce(list_has_any(issues1, ['incomplete_context_dependency', 'needs_context', 'needs_context_dependency']), false)::INT AS needs_context, CASE WHEN v1 = 'downgrade' AND overall_quality = 'high' THEN 'medium' ELSE overall_quality END AS quality, count(*) AS n FROM saved LEFT JOIN qa_out USING (doc_id) GROUP BY ALL")
+def p15(spark, d):
+    j = X.saved(spark, d).join(X.qa_out(spark, d).select("doc_id", "v1", "issues1"), "doc_id", "left")
+    needs = F.coalesce(F.arrays_overlap(F.coalesce("issues1", F.array().cast("array<string>")), F.array(*map(F.lit, L.CONTEXT_ISSUES))), F.lit(False))
+    quality = F.when((F.col("v1") == "downgrade") & (F.col("overall_quality") == "high"), "medium").otherwise(F.col("overall_quality"))
+    return j.groupBy(needs.cast("int").alias("needs_context"), quality.alias("quality")).agg(F.count("*").alias("n"))
+
+
+KEY = r"substring(lower(regexp_replace(trim({}, E' \n\t\r'), '\s+', ' ', 'g')), 1, 60)"
+
+
+@query("p16_query_keys", f"SELECT md5({KEY.format('sq_message')}) AS query_key, count(*) AS n FROM saved GROUP BY 1")
+def p16(spark, d):
+    return X.saved(spark, d).groupBy(F.md5(T.query_key(F.col("source_query.message"))).alias("query_key")).agg(F.count("*").alias("n"))
+
+
+@query("p30_review_summaries", f"SELECT cid, substring(sq_message, 1, 150) AS source_query, substring(coalesce((SELECT t.message FROM turns t WHERE t.cid = s.h AND t.turn_index = s.dislike_turn_id AND t.role = 'assistant'), ''), 1, 250) AS preview, substring(coalesce((SELECT t.message FROM turns t WHERE t.cid = s.h AND t.turn_index = s.sq_turn - 1 AND t.role = 'assistant'), ''), 1, 300) AS prior_turn, (sq_turn // 2)::BIGINT AS context_rounds, substring(explanation, 1, 150) AS explanation FROM saved s")
+def p30(spark, d):
+    s = X.saved(spark, d, histories=True).withColumns({"rounds": F.expr("source_query.turn_index div 2"), "before": F.col("source_query.turn_index") - 1})
+    said = lambda turn: F.coalesce(F.get(F.filter("full_history", lambda m: (m["turn_index"] == turn) & (m["role"] == "assistant")), F.lit(0))["message"], F.lit(""))
+    return s.select(
+        "cid", F.substring("source_query.message", 1, 150).alias("source_query"), F.substring(said(F.col("dislike_turn_id")), 1, 250).alias("preview"), F.substring(said(F.col("before")), 1, 300).alias("prior_turn"),
+        F.col("rounds").alias("context_rounds"), F.substring("explanation", 1, 150).alias("explanation"),
+    )
+
+
+@query("p29_candidate_summaries")
+def p29(spark, d):
+    c = X.candidates(spark, d).join(X.turns(spark, d).select("cid", F.col("turn_index").alias("dislike_turn_id"), "message"), ["cid", "dislike_turn_id"], "left")
+    body = F.struct(F.col("idx").alias("candidate_index"), "dislike_turn_id", "source_query_turn_id", F.substring(F.coalesce("message", F.lit("")), 1, 200).alias("agent_response_preview"), "failure_dimension", "confidence")
+    return c.select("cid", "idx", F.to_json(body).alias("summary"))
+
+
+@query("p31_tags", "SELECT CASE WHEN sentiment = 'explicit' THEN 'failure_testcase' ELSE 'query_testcase' END AS tag, count(*) AS n FROM saved GROUP BY 1")
+def p31(spark, d):
+    return X.saved(spark, d).groupBy(F.when(F.col("sentiment") == "explicit", "failure_testcase").otherwise("query_testcase").alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query("p33_quality_tiers", "SELECT overall_quality AS tier, count(*) AS n, round(avg(judge_average), 6) AS average FROM saved GROUP BY 1")
+def p33(spark, d):
+    scores = F.map_values("judge_scores")
+    average = F.aggregate(scores, F.lit(0.0), lambda a, v: a + v) / F.size(scores)
+    return X.saved(spark, d).groupBy(T.quality_tier(average, F.array_min(scores)).alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("judge_average"), 6).alias("average"))
+
+
+GATE = "(overall_quality = 'high' AND judge_average >= 4 AND least(s1, s2, s3, s4, s5) >= 3 AND signal_confidence IN ('high', 'medium', ''))"
+SOLVABLE = f"(failure_dimension NOT IN {sql_list(L.UNSOLVABLE_TYPES)} AND length(trim(sq_message, E' \\n\\t\\r')) >= 15 AND NOT regexp_matches(sq_message, {quoted(L.UNSOLVABLE_QUERY)}, 'i') AND length(trim(explanation, E' \\n\\t\\r')) >= 40)"
+DIFFICULT = "(representativeness <> 'low' AND s1 >= 3)"
+
+
+@query("f2_quality_gate", f"SELECT cid FROM saved WHERE {GATE}")
+def f2(spark, d):
+    s = X.saved(spark, d)
+    return s.filter(C.quality_gate(s)).select("cid")
+
+
+def _solvable():
+    return C.solvable(F.col("failure_dimension"), F.col("source_query.message"), F.col("explanation"))
+
+
+@query("f3_solvable", f"SELECT cid FROM saved WHERE {SOLVABLE}")
+def f3(spark, d):
+    return X.saved(spark, d).filter(_solvable()).select("cid")
+
+
+@query("f4_difficult", f"SELECT cid FROM saved WHERE {DIFFICULT}")
+def f4(spark, d):
+    s = X.saved(spark, d)
+    return s.filter(C.difficult(s)).select("cid")
+
+
+FUNNEL = f"""f0 AS (SELECT *, {AT} AS response, (SELECT max(turn_index) FROM turns t WHERE t.cid = s.h AND t.turn_index < s.sq_turn) AS last_turn FROM saved s), f AS (SELECT *, CASE WHEN overall_quality NOT IN ('high', 'medium') THEN 'quality' WHEN needs_context IS DISTINCT FROM false THEN 'needs_context'
+  WHEN failure_dimension IS NULL OR failure_dimension = {quoted(L.OTHER)} THEN 'dimension' WHEN is_duplicate THEN 'duplicate' WHEN needs_image THEN 'needs_image' WHEN length(sq_message) < 5 THEN 'query_len' WHEN judge_average < 3.5 THEN 'judge_avg'
+  WHEN coalesce(response, '') = '' THEN 'no_response' WHEN last_turn >= sq_turn THEN 'wrong_cutoff' END AS fail_reason FROM f0)"""
+
+
+@query("f5_benchmark_funnel", f"WITH {FUNNEL} SELECT cid, fail_reason FROM f")
+def f5(spark, d):
+    return C.benchmark_funnel(X.saved(spark, d, histories=True)).select("cid", "fail_reason")
+
+
+@query("a5_funnel_counts", f"WITH {FUNNEL} SELECT coalesce(fail_reason, 'passed') AS rule, count(*) AS n FROM f GROUP BY 1")
+def a5(spark, d):
+    return C.benchmark_funnel(X.saved(spark, d, histories=True)).groupBy(F.coalesce("fail_reason", F.lit("passed")).alias("rule")).agg(F.count("*").alias("n"))
+
+
+@query("o14_benchmark_entries", f"WITH {FUNNEL} SELECT cid, sq_turn, response AS agent_response_full, failure_dimension, scenario, overall_quality, round(judge_average, 6) AS judge_average, substring(response, 1, 200) AS preview, CASE WHEN s4 >= 4 THEN 'critical' WHEN s4 >= 3 THEN 'moderate' ELSE 'mild' END AS severity_tier, (SELECT count(*) FROM turns t WHERE t.cid = f.h AND t.turn_index < f.sq_turn) AS n_selected FROM f WHERE fail_reason IS NULL")
+def o14(spark, d):
+    e = C.benchmark_entries(C.benchmark_funnel(X.saved(spark, d, histories=True)))
+    return e.select("cid", F.col("source_query.turn_index").alias("sq_turn"), "agent_response_full", "failure_dimension", "scenario", "overall_quality", F.round("judge_average", 6).alias("judge_average"), F.col("agent_response_preview").alias("preview"), "severity_tier", F.size("selected_turn_indices").cast("long").alias("n_selected"))
+
+
+TRACK = "CASE WHEN signal_type IN ('explicit_complaint', 'repeat_query', 'rephrase_query', 'repeat', 'rephrase') OR (signal_type = 'dislike' AND sentiment = 'explicit') OR (signal_type = 'dislike' AND judge_average >= 4.5 AND confidence >= 0.9) THEN 'A' ELSE 'B' END"
+
+
+@query("f8_tracks", f"SELECT cid, {TRACK} AS track FROM saved")
+def f8(spark, d):
+    s = X.saved(spark, d)
+    return s.select("cid", C.track(s).alias("track"))
+
+
+@query("a9_track_summary", f"WITH k AS (SELECT *, {TRACK} AS track FROM saved), u AS (SELECT track, 'dimension' AS facet, failure_dimension AS value FROM k UNION ALL SELECT track, 'signal', signal_type FROM k UNION ALL SELECT track, 'quality', overall_quality FROM k UNION ALL SELECT track, 'all', 'all' FROM k) SELECT track, facet, value, count(*) AS n, round(count(*) * 100.0 / nullif((SELECT count(*) FROM k), 0), 1) AS pct FROM u GROUP BY ALL")
+def a9(spark, d):
+    s = X.saved(spark, d)
+    facets = F.explode(F.array(*(F.struct(F.lit(n).alias("facet"), v.alias("value")) for n, v in (("dimension", F.col("failure_dimension")), ("signal", F.col("signal_type")), ("quality", F.col("overall_quality")), ("all", F.lit("all"))))))
+    total = s.agg(F.count("*").alias("total"))
+    g = s.select(C.track(s).alias("track"), facets.alias("f")).groupBy("track", "f.facet", "f.value").agg(F.count("*").alias("n"))
+    return g.crossJoin(F.broadcast(total)).select("track", "facet", "value", "n", F.round(F.try_divide(F.col("n") * 100.0, "total"), 1).alias("pct"))
+
+
+@query("o9_track_a_records", f"SELECT cid, (SELECT string_agg(turn_index || CASE WHEN t.turn_index = s.dislike_turn_id AND role = 'assistant' THEN ':{L.BLANK}' ELSE ':' || length(substring(message, 1, 2000)) END, '|' ORDER BY pos) FROM turns t WHERE t.cid = s.h AND t.turn_index <= s.dislike_turn_id) AS context, (SELECT least(6, count(*)) FROM turns t WHERE t.cid = s.h AND t.turn_index > s.dislike_turn_id AND EXISTS (SELECT 1 FROM turns x WHERE x.cid = s.h AND x.turn_index = s.dislike_turn_id))::BIGINT AS n_recovery FROM saved s WHERE {TRACK} = 'A'")
+def o9(spark, d):
+    s = X.saved(spark, d, histories=True)
+    a = C.track_a(s.filter(C.track(s) == "A"))
+    turn = F.transform("dialogue_context", lambda m: F.concat_ws(":", m["turn_index"].cast("string"), F.when(m["content"] == L.BLANK, m["content"]).otherwise(F.length(m["content"]).cast("string"))))
+    return a.select("cid", F.nullif(F.array_join(turn, "|"), F.lit("")).alias("context"), F.size("recovery_turns").cast("long").alias("n_recovery"))
+
+
+def _reactions_of(spark, d) -> DataFrame:
+    r = O.reactions(X.turns(spark, d), similarity="jaccard", **LEXICON)
+    return r.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("asst_turn_id", "reaction", "dissatisfied"))).alias("user_reactions"))
+
+
+@query("o10_track_b_records", f"WITH {REACTED} SELECT v.cid, t.turn_index, t.role, t.is_unliked::INT AS is_unliked, r.reaction AS user_reaction, (t.turn_index = v.dislike_turn_id)::INT AS is_failure_turn FROM (SELECT * FROM saved WHERE {TRACK} = 'B') v JOIN turns t ON t.cid = v.h LEFT JOIN r ON r.cid = t.cid AND r.turn_index = t.turn_index")
+def o10(spark, d):
+    s = X.saved(spark, d, histories=True)
+    n = X.table(spark, d, "conversations").select(F.countDistinct("conv_id").alias("n"))
+    linked = s.filter(C.track(s) == "B").crossJoin(F.broadcast(n)).withColumn("own", F.col("cid")).withColumn("cid", F.concat(F.lit("c"), F.col("doc_id") % F.col("n")))
+    b = C.track_b(linked, _reactions_of(spark, d))
+    return b.select(F.col("own").alias("cid"), F.explode("labeled_turns").alias("t")).select("cid", "t.turn_index", "t.role", F.col("t.is_unliked").cast("int").alias("is_unliked"), "t.user_reaction", F.col("t.is_failure_turn").cast("int").alias("is_failure_turn"))
+
+
+@query("o11_test_cases", f"SELECT cid, sq_turn, substring({AT}, 1, 3000) AS reference_response, (SELECT count(*) FROM turns t WHERE t.cid = s.h AND t.turn_index < s.sq_turn) AS n_context FROM saved s WHERE sq_message <> '' AND coalesce({AT}, '') <> ''")
+def o11(spark, d):
+    s = X.saved(spark, d, histories=True).withColumn("reference_response", F.substring(F.coalesce(C.message_at(F.col("full_history"), F.col("dislike_turn_id"))["message"], F.lit("")), 1, 3000))
+    kept = s.filter((F.coalesce("source_query.message", F.lit("")) != "") & (F.col("reference_response") != ""))
+    context = F.filter("full_history", lambda m: m["turn_index"] < F.col("source_query.turn_index"))
+    return kept.select("cid", F.col("source_query.turn_index").alias("sq_turn"), "reference_response", F.size(context).cast("long").alias("n_context"))
+
+
+@query("j5_failing_messages", f"SELECT cid, dislike_turn_id, coalesce({AT}, '') AS message FROM saved s")
+def j5(spark, d):
+    return X.saved(spark, d, histories=True).select("cid", "dislike_turn_id", F.coalesce(C.message_at(F.col("full_history"), F.col("dislike_turn_id"))["message"], F.lit("")).alias("message"))
+
+
+@query("w11_order_repair", "WITH q AS (SELECT s.*, CASE WHEN doc_id % 4 = 0 THEN dislike_turn_id + 2 ELSE sq_turn END AS st FROM saved s), f AS (SELECT *, (SELECT max(turn_index) FROM turns t WHERE t.cid = q.h AND t.turn_index < q.dislike_turn_id AND t.role = 'user') AS u FROM q) SELECT cid, CASE WHEN st > dislike_turn_id AND u IS NOT NULL THEN u ELSE st END AS source_turn, (st > dislike_turn_id AND u IS NOT NULL)::INT AS fixed FROM f")
+def w11(spark, d):
+    s = X.saved(spark, d, histories=True).withColumn("source_query", F.struct(F.when(F.col("doc_id") % 4 == 0, F.col("dislike_turn_id") + 2).otherwise(F.col("source_query.turn_index")).alias("turn_index"), F.col("source_query.message").alias("message")))
+    return C.repaired_order(s).select("cid", F.col("source_query.turn_index").alias("source_turn"), F.col("ordering_fixed").cast("int").alias("fixed"))
+
+
+def _copies(spark, d) -> DataFrame:
+    """Saved records of which several share a dialogue: the source stands for it."""
+    return X.saved(spark, d).withColumn("cid", F.col("failure_dimension"))
+
+
+@query("j11_near_duplicates")
+def j11(spark, d):
+    return C.near_duplicates(_copies(spark, d), "doc_id")
+
+
+@query("w9_sequential_ids", "SELECT cid, 'tc_' || lpad(row_number() OVER (ORDER BY doc_id)::VARCHAR, 5, '0') AS id FROM saved")
+def w9(spark, d):
+    return C.numbered(X.saved(spark, d).select("doc_id", "cid"), ["doc_id"], "tc").select("cid", "id")
+
+
+@query("w10_bucket_ranks", "SELECT cid, failure_dimension, row_number() OVER (PARTITION BY failure_dimension ORDER BY judge_average DESC, doc_id) AS bucket_rank FROM saved")
+def w10(spark, d):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("failure_dimension").orderBy(F.col("judge_average").desc(), "doc_id")
+    return X.saved(spark, d).select("cid", "failure_dimension", F.row_number().over(w).alias("bucket_rank"))
+
+
+BEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trim(failure_dimension), {KEY.format('sq_message')} ORDER BY judge_average DESC, doc_id) AS rn FROM {{}}) WHERE rn = 1)"
+
+
+@query("k4_best_of_group", f"SELECT cid FROM {BEST.format('saved')}")
+def k4(spark, d):
+    return K.best_of_group(X.saved(spark, d), "failure_dimension", "source_query.message", "doc_id").select("cid")
+
+
+@query("k5_quotas", "WITH z AS (SELECT failure_dimension, count(*) AS n FROM saved GROUP BY 1), t AS (SELECT sum(n) AS total, sum(least(5, n)) AS floors FROM z) SELECT failure_dimension, n, least(least(5, n) + floor(greatest(200 - floors, 0) * n / total), 80, n)::BIGINT AS quota FROM z, t")
+def k5_quotas(spark, d):
+    return K.quotas(X.saved(spark, d), "failure_dimension", 200)
+
+
+@query("k5_stratified_sample")
+def k5(spark, d):
+    return K.stratified(X.saved(spark, d), "failure_dimension", "doc_id", 200, ["en", "fr", "de", "es"]).select("cid", "failure_dimension", "stage")
+
+
+@query("k6_balanced_sample")
+def k6(spark, d):
+    s = X.task1(spark, d)
+    return K.balanced(s, "ground_truth", "cid", 25, s.filter("doc_id % 2 = 0").select("cid"), seed=7).select("cid", "ground_truth")
+
+
+@query("o15_golden_set")
+def o15(spark, d):
+    s = X.saved(spark, d)
+    good = s.filter(C.quality_gate(s)).filter(_solvable()).filter(C.difficult(s))
+    chosen = K.stratified(K.best_of_group(good, "failure_dimension", "source_query.message", "doc_id"), "failure_dimension", "doc_id", 200, ["en", "fr", "de", "es"])
+    return chosen.select("cid", "failure_dimension", "scenario", F.round("judge_average", 6).alias("judge_average"), "stage")
+
+
+@query(
+    "a6_golden_stages",
+    f"""WITH b AS (SELECT *, {GATE} AS g, {GATE} AND {SOLVABLE} AS so, {GATE} AND {SOLVABLE} AND {DIFFICULT} AS di FROM saved)
+    SELECT failure_dimension, scenario, count(*) AS n, count(*) FILTER (g) AS n_quality, count(*) FILTER (so) AS n_solvable, count(*) FILTER (di) AS n_difficult, round(avg(judge_average), 4) AS average FROM b GROUP BY ALL""",
+)
+def a6(spark, d):
+    s = X.saved(spark, d)
+    gate, solvable, hard = C.quality_gate(s), _solvable(), C.difficult(s)
+    return s.groupBy("failure_dimension", "scenario").agg(F.count("*").alias("n"), F.count_if(gate).alias("n_quality"), F.count_if(gate & solvable).alias("n_solvable"), F.count_if(gate & solvable & hard).alias("n_difficult"), F.round(F.avg("judge_average"), 4).alias("average"))
+
+
+FACETS = ("failure_dimension", "scenario", "signal_type", "signal_confidence", "representativeness", "overall_quality")
+
+
+@query(
+    "a7_facet_report",
+    "WITH u AS ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS facet, coalesce({f}, 'Unknown') AS value FROM saved" for f in FACETS)
+    + """ UNION ALL SELECT 'depth', CASE WHEN sq_turn = 0 THEN '0' WHEN sq_turn <= 2 THEN '1-2' WHEN sq_turn <= 5 THEN '3-5' ELSE '6-10' END FROM saved)
+    SELECT facet, value, count(*) AS n FROM u GROUP BY ALL""",
+)
+def a7(spark, d):
+    values = [F.struct(F.lit(f).alias("facet"), F.coalesce(f, F.lit("Unknown")).alias("value")) for f in FACETS] + [F.struct(F.lit("depth").alias("facet"), T.depth_bucket(F.col("source_query.turn_index")).alias("value"))]
+    return X.saved(spark, d).select(F.explode(F.array(*values)).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
+
+
+@query("a7_axis_averages", " UNION ALL ".join(f"SELECT '{a}' AS axis, round(avg(s{i + 1}), 2) AS average FROM saved" for i, a in enumerate(X.AXES)))
+def a7_axes(spark, d):
+    return X.saved(spark, d).select(F.explode("judge_scores").alias("axis", "score")).groupBy("axis").agg(F.round(F.avg("score"), 2).alias("average"))
+
+
+@query("p17_history_buckets", "WITH n AS (SELECT sq_turn, (SELECT count(*) FROM turns t WHERE t.cid = s.h AND t.turn_index < s.sq_turn) AS k FROM saved s), b AS (SELECT CASE WHEN k = 0 THEN '0' WHEN k <= 2 THEN '1-2' WHEN k <= 5 THEN '3-5' WHEN k <= 10 THEN '6-10' WHEN k <= 15 THEN '11-15' ELSE '16+' END AS bucket FROM n) SELECT bucket, list_position(['0', '1-2', '3-5', '6-10', '11-15', '16+'], bucket) - 1 AS position, count(*) AS n FROM b GROUP BY ALL")
+def p17(spark, d):
+    b = X.saved(spark, d, histories=True).select(T.history_bucket(F.size("selected_history")).alias("bucket"))
+    return b.groupBy("bucket", T.position(L.HISTORY_ORDER, F.col("bucket")).alias("position")).agg(F.count("*").alias("n"))
+
+
+@query("a8_active_stats", "SELECT count(*) AS n, count(*) FILTER (needs_image) AS n_image, count(*) FILTER (needs_context) AS n_context, round(sum(judge_average), 4) AS judge_sum, round(sum(confidence), 4) AS confidence_sum, count(DISTINCT failure_dimension) AS n_dimensions FROM saved WHERE NOT is_duplicate")
+def a8(spark, d):
+    s = X.saved(spark, d).filter(~F.coalesce("is_duplicate", F.lit(False)))
+    return s.agg(F.count("*").alias("n"), F.count_if("needs_image").alias("n_image"), F.count_if("needs_context").alias("n_context"), F.round(F.sum("judge_average"), 4).alias("judge_sum"), F.round(F.sum("confidence"), 4).alias("confidence_sum"), F.countDistinct("failure_dimension").alias("n_dimensions"))
+
+
+@query("s12_summary_counters", "SELECT 'quality' AS metric, overall_quality AS key, count(*)::DOUBLE AS value FROM saved GROUP BY ALL UNION ALL SELECT 'signal', signal_type, count(*)::DOUBLE FROM saved GROUP BY ALL UNION ALL SELECT 'judge_sum', 'all', round(sum(judge_average), 4) FROM saved")
+def s12(spark, d):
+    s = X.saved(spark, d)
+    rows = F.explode(F.array(F.struct(F.lit("quality").alias("metric"), F.col("overall_quality").alias("key"), F.lit(1.0).alias("v")), F.struct(F.lit("signal").alias("metric"), F.col("signal_type").alias("key"), F.lit(1.0).alias("v")), F.struct(F.lit("judge_sum").alias("metric"), F.lit("all").alias("key"), F.col("judge_average").alias("v"))))
+    return s.select(rows.alias("r")).groupBy("r.metric", "r.key").agg(F.round(F.sum("r.v"), 4).alias("value"))
+
+
+@query("j4_candidates_with_judgements", "SELECT c.cid, c.idx, j.should_keep::INT AS should_keep, j.overall_quality FROM candidates c LEFT JOIN judge_out j ON j.cid = c.cid AND j.candidate_index = c.idx")
+def j4(spark, d):
+    # the judge's results as it gives them: a list per dialogue
+    lists = X.judge_out(spark, d).groupBy("cid").agg(F.collect_list(F.struct("candidate_index", "should_keep", "overall_quality")).alias("results"))
+    j = lists.select("cid", F.explode("results").alias("r")).select("cid", F.col("r.candidate_index").alias("idx"), F.col("r.should_keep").cast("int").alias("should_keep"), "r.overall_quality")
+    return X.candidates(spark, d).select("cid", "idx").join(j, ["cid", "idx"], "left")
+
+
+@query("o2_corrections", "SELECT c.cid, c.idx, coalesce(j.corrected_dimension, c.failure_dimension) AS failure_dimension FROM candidates c LEFT JOIN judge_out j ON j.cid = c.cid AND j.candidate_index = c.idx")
+def o2(spark, d):
+    return C.routed(X.candidates(spark, d), X.judge_out(spark, d)).select("cid", "idx", "failure_dimension")
+
+
+ROUTES = f"""{SIGNALS}, pf AS (SELECT cid, arg_min(regexp_extract(message, '{X.UNSAFE}', 0, 'i'), pos) FILTER (regexp_matches(message, '{X.UNSAFE}', 'i')) AS x, bool_and(interrupted) FILTER (role = 'assistant') AS alli, count(*) AS n FROM s GROUP BY cid),
+  rt AS (SELECT c.cid, c.idx, CASE WHEN pf.n < 2 THEN 'prefilter:too_short' WHEN pf.alli THEN 'prefilter:all_interrupted' WHEN pf.x IS NOT NULL THEN 'prefilter:unsafe_match:' || pf.x END AS pre, j.should_keep, j.overall_quality, c.confidence,
+    CASE WHEN pre IS NOT NULL THEN 'deleted' WHEN should_keep IS NULL THEN CASE WHEN confidence >= 0.6 THEN 'saved' ELSE 'rejected' END WHEN should_keep THEN 'saved' ELSE 'rejected' END AS route,
+    CASE WHEN pre IS NOT NULL THEN NULL WHEN should_keep IS NULL THEN CASE WHEN confidence >= 0.6 THEN 'medium' END ELSE overall_quality END AS quality,
+    CASE WHEN pre IS NOT NULL THEN pre WHEN should_keep IS NULL THEN CASE WHEN confidence < 0.6 THEN 'judge_batch_missed_low_conf' END WHEN NOT should_keep THEN 'judge_rejected:' || coalesce(overall_quality, 'low') END AS reason
+    FROM candidates c LEFT JOIN judge_out j ON j.cid = c.cid AND j.candidate_index = c.idx LEFT JOIN pf ON pf.cid = c.cid)"""
+
+
+def _routed(spark, d) -> DataFrame:
+    return C.routed(X.candidates(spark, d), X.judge_out(spark, d), O.prefilter(O.signals(X.turns(spark, d)), X.UNSAFE))
+
+
+@query("o3_routes", f"WITH {ROUTES} SELECT cid, idx, route, quality, reason FROM rt")
+def o3(spark, d):
+    return _routed(spark, d).select("cid", "idx", "route", "quality", "reason")
+
+
+@query("a10_run_stats", f"WITH {ROUTES} SELECT route, quality, count(*) AS n FROM rt GROUP BY ALL")
+def a10(spark, d):
+    return _routed(spark, d).groupBy("route", "quality").agg(F.count("*").alias("n"))
+
+
+@query("s9_routed_rows", f"WITH {ROUTES} SELECT route, cid, idx FROM rt")
+def s9(spark, d):
+    from verdigris.sources.shared import fresh
+
+    path = fresh(spark, "routes")
+    _routed(spark, d).select("route", "cid", "idx").write.partitionBy("route").parquet(path)
+    return spark.read.schema("cid string, idx int, route string").parquet(path)
+
+
+@query("o4_saved_records", f"WITH {ROUTES} SELECT rt.cid, rt.idx, c.source_query_turn_id, (SELECT coalesce(max(t.message), '') FROM turns t WHERE t.cid = rt.cid AND t.turn_index = c.source_query_turn_id) AS query, (SELECT count(*) FROM turns t WHERE t.cid = rt.cid AND t.turn_index < c.source_query_turn_id) AS n_selected FROM rt JOIN candidates c ON c.cid = rt.cid AND c.idx = rt.idx WHERE route = 'saved'")
+def o4(spark, d):
+    e = C.saved_entries(_routed(spark, d), X.dialogues(X.turns(spark, d)))
+    return e.select("cid", "idx", "source_query_turn_id", F.col("source_query.message").alias("query"), F.size("selected_history").cast("long").alias("n_selected"))
+
+
+@query("j6_review_verdicts", "SELECT doc_id, coalesce(v1, 'keep') AS verdict, CASE WHEN v1 IS NULL THEN 'qa_parse_miss' ELSE '' END AS notes FROM documents LEFT JOIN qa_out USING (doc_id)")
+def j6(spark, d):
+    q = X.qa_out(spark, d).select("doc_id", F.struct(F.col("v1").alias("verdict"), F.lit("").alias("notes")).alias("v"))
+    default = F.struct(F.lit("keep").alias("verdict"), F.lit("qa_parse_miss").alias("notes"))
+    return X.table(spark, d, "documents").select("doc_id").join(q, "doc_id", "left").select("doc_id", F.coalesce("v", default).alias("v")).select("doc_id", "v.verdict", "v.notes")
+
+
+MERGED = "CASE WHEN v1 IS NULL AND c2 IS NULL THEN 'keep' WHEN v1 IS NULL THEN c2 WHEN c2 IS NULL THEN v1 WHEN v1 = 'reject' AND c2 = 'reject' THEN 'reject' WHEN v1 = 'reject' OR c2 = 'reject' OR v1 = 'downgrade' OR c2 = 'downgrade' THEN 'downgrade' ELSE 'keep' END"
+CONFIRMED = "q AS (SELECT d.doc_id, v1, CASE WHEN v1 = 'reject' THEN v2 END AS c2, issues1, issues2, corrected_dimension FROM documents d LEFT JOIN qa_out USING (doc_id))"
+
+
+def _confirmed(spark, d) -> DataFrame:
+    """First verdicts, with second ones for rejects only."""
+    q = X.qa_out(spark, d)
+    second = q.filter("v1 = 'reject'").select("doc_id", F.col("v2").alias("c2"))
+    return X.table(spark, d, "documents").select("doc_id", "source").join(q, "doc_id", "left").join(second, "doc_id", "left")
+
+
+@query("o5_merged_verdicts", f"WITH {CONFIRMED} SELECT doc_id, {MERGED} AS verdict FROM q")
+def o5(spark, d):
+    c = _confirmed(spark, d)
+    return c.select("doc_id", C.merged_verdicts(c, "v1", "c2").alias("verdict"))
+
+
+@query("a13_review_outcomes", f"WITH {CONFIRMED}, m AS (SELECT {MERGED} AS verdict FROM q) SELECT verdict, count(*) AS n FROM m GROUP BY 1")
+def a13(spark, d):
+    c = _confirmed(spark, d)
+    return c.groupBy(C.merged_verdicts(c, "v1", "c2").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("o6_review_applied", f"WITH {CONFIRMED}, m AS (SELECT doc_id, {MERGED} AS verdict, corrected_dimension FROM q) SELECT m.doc_id, CASE WHEN verdict = 'reject' THEN 'rejected' ELSE 'kept' END AS route, CASE WHEN verdict = 'downgrade' THEN 'medium' ELSE s.overall_quality END AS quality, coalesce(corrected_dimension, s.failure_dimension) AS failure_dimension FROM m JOIN saved s ON s.doc_id = m.doc_id")
+def o6(spark, d):
+    c = _confirmed(spark, d)
+    m = c.select("doc_id", C.merged_verdicts(c, "v1", "c2").alias("verdict"), "corrected_dimension").join(X.saved(spark, d).select("doc_id", "overall_quality", "failure_dimension"), "doc_id")
+    return m.select("doc_id", F.when(F.col("verdict") == "reject", "rejected").otherwise("kept").alias("route"), F.when(F.col("verdict") == "downgrade", "medium").otherwise(F.col("overall_quality")).alias("quality"), F.coalesce("corrected_dimension", "failure_dimension").alias("failure_dimension"))
+
+
+@query("u2_kept_and_rejected", f"WITH {CONFIRMED}, m AS (SELECT {MERGED} AS verdict, doc_id FROM q) SELECT CASE WHEN verdict = 'reject' THEN 'rejected' ELSE 'kept' END AS part, count(*) AS n, min(doc_id) AS first_id FROM m GROUP BY 1")
+def u2(spark, d):
+    c = _confirmed(spark, d)
+    m = c.select("doc_id", C.merged_verdicts(c, "v1", "c2").alias("verdict"))
+    parts = m.filter("verdict = 'reject'").withColumn("part", F.lit("rejected")).unionByName(m.filter("verdict <> 'reject'").withColumn("part", F.lit("kept")))
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query("u4_issue_union", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(issues1, []), coalesce(issues2, [])))), ',') AS issues FROM qa_out")
+def u4(spark, d):
+    none = F.array().cast("array<string>")
+    return X.qa_out(spark, d).select("doc_id", F.array_join(F.sort_array(F.array_union(F.coalesce("issues1", none), F.coalesce("issues2", none))), ",").alias("issues"))
+
+
+@query("u3_exclusion", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'excluded' ELSE 'main' END AS part FROM documents")
+def u3(spark, d):
+    docs = X.table(spark, d, "documents").select("doc_id")
+    out = docs.filter("doc_id % 7 = 0")
+    return docs.join(out, "doc_id", "left_anti").withColumn("part", F.lit("main")).unionByName(docs.join(out, "doc_id", "left_semi").withColumn("part", F.lit("excluded")))
+
+
+@query("u5_distinct_dialogues", "WITH h AS (SELECT cid, md5(string_agg(role || ':' || message, '|' ORDER BY pos)) AS k FROM turns GROUP BY cid) SELECT min(cid) AS cid, count(*) AS n FROM h GROUP BY k")
+def u5(spark, d):
+    h = X.dialogues(X.turns(spark, d)).select("cid", F.sha2(F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), m["message"])), "|"), 256).alias("k"))
+    return h.groupBy("k").agg(F.min("cid").alias("cid"), F.count("*").alias("n")).drop("k")
+
+
+_NEW = ["事实性错误", "bad label", None, "指令遵循失败"]
+
+
+@query("o7_reclassified", f"WITH o AS (SELECT doc_id, doc_id // 17 AS k FROM saved WHERE failure_dimension = '其他'), r AS (SELECT doc_id, ['事实性错误', 'bad label', NULL, '指令遵循失败'][(k % 4 + 1)::INT] AS nd, k FROM o WHERE k % 5 <> 0) SELECT o.doc_id, CASE WHEN nd IN {sql_list(L.REVIEW_DIMENSIONS)} THEN nd ELSE '其他' END AS failure_dimension, CASE WHEN r.doc_id IS NULL THEN 0.0 WHEN r.k % 3 = 0 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM o LEFT JOIN r USING (doc_id)")
+def o7(spark, d):
+    other = X.saved(spark, d).filter(F.col("failure_dimension") == L.OTHER).select("doc_id", F.expr("doc_id div 17").alias("k"))
+    answers = other.filter("k % 5 <> 0").select("doc_id", F.get(F.array(*map(F.lit, _NEW)), (F.col("k") % 4).cast("int")).alias("nd"), F.when(F.col("k") % 3 != 0, 0.5).alias("conf"), F.lit(True).alias("there"))
+    j = other.join(answers, "doc_id", "left")
+    valid = F.when(F.col("nd").isin(L.REVIEW_DIMENSIONS), F.col("nd")).otherwise(L.OTHER)
+    return j.select("doc_id", valid.alias("failure_dimension"), F.when(F.col("there").isNull(), 0.0).otherwise(F.coalesce("conf", F.lit(0.8))).alias("confidence"))
+
+
+@query("o8_enhanced")
+def o8(spark, d):
+    s = C.repaired_order(X.saved(spark, d, histories=True))
+    e = C.normalised(s, "failure_dimension").withColumns({"image": T.needs_image(F.col("source_query.message"), F.col("full_history"), X.IMAGE), "context": T.needs_context(F.col("judge_scores")["query_completeness"]), "tier": T.severity_tier(F.col("judge_scores")["severity"])})
+    e = e.join(C.near_duplicates(s, "doc_id").select(F.col("id").alias("doc_id"), "duplicate_of"), "doc_id", "left")
+    return e.groupBy("dimension", "tier", "image", "context", F.col("duplicate_of").isNotNull().alias("duplicate")).agg(F.count("*").alias("n"), F.count_if("ordering_fixed").alias("n_fixed"))
+
+
+@query("f6_faceted_search", "SELECT cid FROM saved WHERE scenario = 'en' AND contains(lower(sq_message || ' ' || coalesce(failure_dimension, '') || ' ' || coalesce(explanation, '')), 'the th')")
+def f6(spark, d):
+    hay = F.lower(F.concat_ws(" ", "source_query.message", F.coalesce("failure_dimension", F.lit("")), F.coalesce("explanation", F.lit(""))))
+    return X.saved(spark, d).filter((F.col("scenario") == "en") & F.contains(hay, F.lit("the th"))).select("cid")

@@ -1 +1,126 @@
-"""Queries."""
+"""Queries on files and streams. Inputs are written from the given tables first, to the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from verdigris.plans.registry import query
+from verdigris.sources import dialogues as D
+from verdigris.sources import fixtures as X
+from verdigris.sources.shared import fresh
+from verdigris.streaming import jobs as S
+
+
+def dialogue_lines(spark, d, broken: bool = False) -> DataFrame:
+    """Dialogues as JSON lines: histories of even ids are strings, others lists; with broken, some lines are cut, some blank."""
+    t = X.turns(spark, d).withColumns({"create_time": F.date_format("create_time", "yyyy-MM-dd HH:mm:ss"), "is_unliked": F.col("is_unliked").cast("int")})
+    g = X.dialogues(t).withColumn("n", F.substring("cid", 2, 20).cast("long"))
+    as_list, as_text = F.to_json(F.struct("cid", "history")), F.to_json(F.struct("cid", F.to_json("history").alias("history")))
+    line = F.when(F.col("n") % 2 == 0, as_text).otherwise(as_list)
+    if broken:
+        line = F.when(F.col("n") % 10 == 3, F.substring(line, 1, 25)).when(F.col("n") % 10 == 4, "  ").otherwise(line)
+    return g.select(line.alias("value"))
+
+
+def _written(spark, d, broken: bool = False) -> str:
+    path = fresh(spark, "dialogues")
+    dialogue_lines(spark, d, broken).write.text(path)
+    return path
+
+
+@query("s1_scan_dialogues", "SELECT cid, count(*) AS n_turns, sum(length) AS n_chars FROM turns GROUP BY cid")
+def s1(spark, d):
+    t = S.turns_of(D.dialogues(spark, _written(spark, d)))
+    return t.groupBy("cid").agg(F.count("*").alias("n_turns"), F.sum("length").alias("n_chars"))
+
+
+@query("s2_tolerant_scan", "SELECT DISTINCT cid FROM turns WHERE conv_id % 10 NOT IN (3, 4)")
+def s2(spark, d):
+    return D.tolerant(spark, _written(spark, d, broken=True)).select("cid").filter("cid is not null")
+
+
+@query("s3_parse_errors", "SELECT count(*) FILTER (conv_id % 10 <> 3) AS n_loaded, count(*) FILTER (conv_id % 10 = 3) AS n_errors FROM (SELECT DISTINCT conv_id FROM turns WHERE conv_id % 10 <> 4)")
+def s3(spark, d):
+    return D.accounted(spark, _written(spark, d, broken=True))
+
+
+@query("s4_line_count", "SELECT count(DISTINCT conv_id) AS n FROM turns WHERE conv_id % 10 <> 4")
+def s4(spark, d):
+    return D.count_lines(spark, _written(spark, d, broken=True))
+
+
+@query("s6_polymorphic_histories", "SELECT conv_id % 3 AS kind, count(*) AS n, sum(CASE WHEN conv_id % 3 = 2 THEN 0 ELSE k END)::BIGINT AS n_turns FROM (SELECT conv_id, count(*) AS k FROM turns GROUP BY 1) GROUP BY 1")
+def s6(spark, d):
+    n = F.substring("cid", 2, 20).cast("long")
+    entry = lambda m: F.concat(F.lit("{'role': '"), m["role"], F.lit("', 'content': None, 'ok': True, 'message': '"), m["turn_index"], F.lit("'}"))
+    literal = F.concat(F.lit("["), F.array_join(F.transform("history", entry), ", "), F.lit("]"))
+    plain = F.to_json(F.transform("history", lambda m: F.struct(m["role"].alias("role"), m["message"].alias("message"))))
+    rows = X.dialogues(X.turns(spark, d)).select((n % 3).alias("kind"), F.when(n % 3 == 0, plain).when(n % 3 == 1, literal).otherwise("not a history").alias("history"))
+    return D.parsed_histories(rows, "history").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.size("history")).alias("n_turns"))
+
+
+@query("s8_response_discovery", "SELECT model, count(*) AS n FROM responses WHERE model <> 'r1' GROUP BY model")
+def s8(spark, d):
+    folder = fresh(spark, "responses")
+    r = X.responses(spark, d)
+    for k in range(3):  # a folder for each model, as models deliver them
+        r.filter(F.col("model") == f"r{k}").drop("model").write.json(f"{folder}/r{k}.jsonl")
+    return D.responses_by_model(spark, folder, ["r1"]).groupBy("model").agg(F.count("*").alias("n"))
+
+
+@query("s10_append_sink", "SELECT conv_id % 2 AS part, count(DISTINCT conv_id) AS n FROM turns GROUP BY 1")
+def s10(spark, d):
+    path = fresh(spark, "appended")
+    rows = X.turns(spark, d).select("cid", (F.substring("cid", 2, 20).cast("long") % 2).alias("part")).distinct()
+    for part in (0, 1):
+        D.append(rows.filter(F.col("part") == part), path)
+    return spark.read.schema("cid string, part long").json(path).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("s11_versioned_rewrite", "SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n_marked FROM saved")
+def s11(spark, d):
+    base = fresh(spark, "versions")
+    rows = X.saved(spark, d).select("doc_id", F.lit(False).alias("marked"))
+    D.rewrite(rows, base, "1")
+    D.rewrite(D.latest(spark, base).select("doc_id", (F.col("doc_id") % 2 == 0).alias("marked")), base, "2")
+    return D.latest(spark, base).agg(F.count("*").alias("n"), F.count_if("marked").alias("n_marked"))
+
+
+@query("r1_incremental_curation")
+def r1(spark, d):
+    folder, sink, checkpoint = (fresh(spark, x) for x in ("arrivals", "curated", "stream"))
+    lines = dialogue_lines(spark, d)
+    lines.repartition(4).write.text(folder)
+    S.curate(S.dialogue_stream(spark, folder), sink, checkpoint, X.UNSAFE).awaitTermination()
+    lines.write.mode("append").text(folder)  # all come again: none is processed twice
+    S.curate(S.dialogue_stream(spark, folder), sink, checkpoint, X.UNSAFE).awaitTermination()
+    return spark.read.schema("cid string, reason string, batch long, route string").parquet(sink).select("cid", "reason", "route")
+
+
+@query("r2_route_counters", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, judged_model, count(*) AS n FROM judged GROUP BY ALL")
+def r2(spark, d):
+    out = S.counters(X.judged(spark, d), "ts", "judged_model")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "judged_model", "n")
+
+
+def _streamed(spark, df: DataFrame, transform, schema: str) -> DataFrame:
+    """What a stream over df's rows, written to files first, has put out when it ends."""
+    source, sink, checkpoint = (fresh(spark, x) for x in ("source", "sink", "stream"))
+    df.write.parquet(source)
+    stream = transform(spark.readStream.schema(df.schema).parquet(source))
+    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(sink)
+
+
+@query("r3_closed_dialogues")
+def r3(spark, d):
+    t = X.turns(spark, d).filter("create_time is not null")
+    out = _streamed(spark, t, lambda s: S.closed_dialogues(s).select("cid", "start", "end", F.size("history").alias("n")), "cid string, start timestamp, end timestamp, n int")
+    return out
+
+
+@query("r4_once_per_dialogue", "SELECT DISTINCT cid FROM turns WHERE create_time IS NOT NULL")
+def r4(spark, d):
+    t = X.turns(spark, d).filter("create_time is not null").select("cid", "create_time")
+    return _streamed(spark, t, lambda s: S.once(s, "create_time", "36500 days").select("cid"), "cid string")

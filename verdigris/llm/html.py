@@ -181,7 +181,7 @@ class Page:
         return not self.out[node] and self.tags[node] != "header" and (self.inside[node] or not self.bounded)
 
     def hashes(self) -> list[int]:
-        """A hash of each element's subtree, as a signed 64-bit number; 0 where it has no text that counts."""
+        """A hash of each block element's subtree, as a signed 64-bit number; 0 where it has no text that counts, and for words marked inside a block."""
         parts: list[list[bytes]] = [[t.encode("utf-8", "replace")] for t in self.tags]
         said = [False] * len(self.tags)
         out = [0] * len(self.tags)
@@ -192,7 +192,8 @@ class Page:
                     said[n] = True
             elif kind == CLOSE and said[n]:
                 h = xxhash.xxh3_64_intdigest(b"\x1f".join(parts[n]))
-                out[n] = h - (1 << 64) if h >> 63 else h
+                if self.tags[n] in BLOCKS:
+                    out[n] = h - (1 << 64) if h >> 63 else h
                 if (p := self.parents[n]) >= 0:
                     parts[p].append(h.to_bytes(8, "big"))
                     said[p] = True

@@ -218,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     for p in pairs.tolist():
                         found[p // len(tests.names)].add(tests.names[p % len(tests.names)])
                 if not single:
-                    block.unpersist()
+                    vars(block).pop("_value", None)  # this task's copy; it is read again from the broadcast's file
             n_hit = np.bincount(s.text[hit], minlength=len(found))
             rows = [_digest(int(n), int(k), list(items)) for n, k, items in zip(s.counts, n_hit, found)]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]

@@ -188,7 +188,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
     renamed = own.withColumnsRenamed({c: f"_own_{c}" for c in keep})
     out = detected(renamed, [*(f"_own_{c}" for c in keep), "_null"])
-    return out.withColumn("text", F.when(~F.col("_null"), redacted(F.col("text"), F.concat("base", "terms")))).withColumnsRenamed({f"_own_{c}": c for c in keep}).select(*docs.columns)
+    return out.withColumn("text", F.when(~F.col("_null"), redacted(F.col("text"), F.concat("base", "terms")))).drop("base", "terms").withColumnsRenamed({f"_own_{c}": c for c in keep}).select(*docs.columns)
 
 
 def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A byte goes when a ``length``-byte string that covers it also starts anywhere else in the corpus.
 
-Every window of that length belongs to one anchor, the first of its shortest-hash 32-byte strings, which
-depends on nothing but the window's bytes: equal windows have equal anchors at equal places. The
+Every window of that length belongs to one anchor, the first of its 200-byte strings with the least hash, which
+depends on nothing but the window's bytes: equal windows have equal anchors at equal places. (Shorter anchors
+would bring together all that shares a short line; longer ones make more contexts.) The
 consecutive windows of one anchor are a stretch of text, a context. So
 
 1. contexts are hashed where they are read; equal ones are counted, with partial counts by task:
@@ -13,8 +14,8 @@ consecutive windows of one anchor are a stretch of text, a context. So
    (``suffixes``), shard by shard; neighbours in the array that share ``length`` bytes are repeated.
 
 An anchor may have any number of different contexts (a common passage among changing neighbours). They are
-dealt out to shards of at most ``SHARD`` contexts; each shard sends one copy of every window that
-it has not yet found again, as a hash, and those are counted across the shards.
+dealt out to shards of about ``SHARD`` contexts; each shard sends one copy of every window of its own, as a
+hash and packed by hash bucket, and the buckets count those across the shards.
 
 Cases: null and empty texts, and texts shorter than the length, lose nothing; a text that repeats
 within itself counts; repeated rows with one id are matched with each other, and all rows of an id
@@ -29,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ from verdigris.llm import words as wd
 from verdigris.llm.common import bound_batches, materialize, pieces, table, text_or_empty
 from verdigris.llm.suffixes import suffix_array
 
-LENGTH, ANCHOR, CHUNK, SHARD, SHARD_BYTES = 400, 32, 1 << 19, 256, 1 << 15
+LENGTH, ANCHOR, CHUNK, SHARD, SHARD_BYTES = 400, 200, 1 << 19, 256, 1 << 15
 _IDX = np.uint64((1 << 20) - 1)
 
 
@@ -143,55 +145,74 @@ def _windows(texts: list[bytes], firsts: list[int], length: int) -> tuple[np.nda
     return owner[at], at - begins[owner[at]] + np.array(firsts, np.int64)[owner[at]], twins[at], leads[at]
 
 
-_MATCHED = "doc_id long, start long, end long, high long, low long"
+def _runs(doc: int, starts: np.ndarray, length: int) -> list[tuple]:
+    """(doc, start, end) of the bytes that windows with these sorted starts cover, a row for each run of starts."""
+    cut = np.flatnonzero(np.diff(starts) > 1)
+    return [(doc, int(starts[a]), int(starts[b]) + length) for a, b in zip(np.append(0, cut + 1), np.append(cut, len(starts) - 1))]
 
 
-def matched(open_contexts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """open_contexts: anchor, shard, hot, doc_id, first, known, body, with the rows of a shard together.
+_ASKED = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("start", "<i8")])
+_MATCHED = "doc_id long, start long, end long, bucket int, asked binary"
 
-    Rows with null hashes say that the bytes start to end of a document go. Others are windows of hot anchors
-    that the other shards have to be asked about (start is null where the window itself is decided).
-    """
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=["doc_id", "start", "end", "high", "low"])
+def matched(open_contexts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
+    """open_contexts: anchor, shard, hot, doc_id, first, body, with the rows of a shard together.
+
+    Rows with a document say that its bytes from start to end go. Rows with a bucket hold the windows of hot anchors that
+    other shards may have too (start is -1 where the window itself is decided).
+    """
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """rows: (hot, doc_id, first, known, body) of whole shards."""
-        owner, start, twin, lead = _windows([r[4] for r in rows], [r[2] for r in rows], length)
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        """rows: (hot, doc_id, first, body) of whole shards."""
+        owner, start, twin, lead = _windows([r[3] for r in rows], [r[2] for r in rows], length)
         found: list[tuple] = []
         for i in np.unique(owner[twin]).tolist():
-            s = start[(owner == i) & twin]
-            cut = np.flatnonzero(np.diff(s) > 1)
-            for a, b in zip(np.append(0, cut + 1).tolist(), np.append(cut, len(s) - 1).tolist()):
-                found.append((rows[i][1], int(s[a]), int(s[b]) + length, None, None))
-        for i in np.unique(owner).tolist():
-            hot, doc, first, _, body = rows[i]
+            found += [(*r, None, None) for r in _runs(rows[i][1], start[(owner == i) & twin], length)]
+        asked = []
+        for i, (hot, doc, first, body) in enumerate(rows):
             if hot:
                 for j in np.flatnonzero((owner == i) & lead).tolist():
-                    s = int(start[j])
-                    d = hashlib.blake2b(body[s - first : s - first + length], digest_size=16).digest()
-                    found.append((doc, None if twin[j] else s, None if twin[j] else s + length, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
-        yield out(found)
+                    at = int(start[j]) - first
+                    h = xxhash.xxh3_128_intdigest(body[at : at + length])
+                    asked.append((h >> 64, h & (1 << 64) - 1, doc, -1 if twin[j] else int(start[j])))
+        if asked:
+            windows = np.array(asked, _ASKED)
+            of = windows["high"] % np.uint64(buckets)
+            found += [(None, None, None, int(b), windows[of == b].tobytes()) for b in np.unique(of)]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, types)], names=["doc_id", "start", "end", "bucket", "asked"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            names = ("anchor", "shard", "hot", "doc_id", "first", "known", "body")
-            for anchor, shard, hot, doc, first, known, body in zip(*(batch.column(n).to_pylist() for n in names)):
+            for anchor, shard, *row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "shard", "hot", "doc_id", "first", "body"))):
                 if (anchor, shard) != last and size >= SHARD_BYTES:
-                    yield from solve(held)
+                    yield solve(held)
                     held, size = [], 0
                 last = (anchor, shard)
-                held.append((hot, doc, first, known, body))
-                size += len(body)
+                held.append(tuple(row))
+                size += len(row[3])
         if held:
-            yield from solve(held)
+            yield solve(held)
 
     return open_contexts.mapInArrow(run, _MATCHED)
 
 
+def counted(asked: DataFrame, length: int = LENGTH) -> DataFrame:
+    """bucket, asked to the doc_id, start, end of windows that more than one shard has."""
+
+    def count(group: pa.Table) -> pa.Table:
+        windows = np.frombuffer(b"".join(group.column("asked").to_pylist()), _ASKED)
+        _, place, n = np.unique(windows[["high", "low"]], return_inverse=True, return_counts=True)
+        again = windows[(n[place] > 1) & (windows["start"] >= 0)]
+        again = again[np.lexsort((again["start"], again["doc"]))]
+        rows = [r for d in np.unique(again["doc"]).tolist() for r in _runs(d, again["start"][again["doc"] == d], length)]
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "start", "end"), zip(*rows) if rows else [[]] * 3)})
+
+    return asked.groupBy("bucket").applyInArrow(count, "doc_id long, start long, end long")
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, start, end (bytes) of what repeats; ranges may overlap. docs: doc_id, text without nulls."""
     all_contexts = materialize(found_contexts(docs, length), "contexts")
@@ -200,21 +221,15 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     by_anchor = kinds.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("different")).filter("all > 1")
     judged = materialize(kinds.join(by_anchor.select("anchor", "different"), "anchor").filter("n > 1 or different > 1"), "judged")
     decided = all_contexts.join(judged.filter("n > 1").select("anchor", "same"), ["anchor", "same"], "left_semi").select("doc_id", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    undecided = judged.filter("different > 1").select(
-        "anchor",
-        F.pmod("same", F.ceil(F.col("different") / SHARD).cast("long")).alias("shard"),
-        (F.col("different") > SHARD).alias("hot"),
-        "one.*",
-        (F.col("n") > 1).alias("known"),
-    )
-    bodies = docs.join(undecided, "doc_id").select("anchor", "shard", "hot", "doc_id", "first", "known", F.substring(F.col("text").cast("binary"), F.col("first").cast("int") + 1, (F.col("last") - F.col("first") + length).cast("int")).alias("body"))
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(matched(bodies.dropDuplicates(["anchor", "shard", "doc_id", "first"]).repartition(parts, "anchor", "shard").sortWithinPartitions("anchor", "shard"), length), "matched")
-    asked = found.filter("high is not null")
-    again = asked.groupBy("high", "low").agg(F.count("*").alias("n")).filter("n > 1").select("high", "low")
-    across = asked.filter("start is not null").join(again, ["high", "low"], "left_semi").select("doc_id", "start", "end")
-    return decided.unionByName(found.filter("high is null").select("doc_id", "start", "end")).unionByName(across)
+    hot = F.col("different") > SHARD
+    undecided = judged.filter("different > 1").select("anchor", F.pmod("same", F.ceil(F.col("different") / SHARD).cast("long")).alias("shard"), hot.alias("hot"), "one.*")
+    body = F.substring(F.col("text").cast("binary"), F.col("first").cast("int") + 1, (F.col("last") - F.col("first") + length).cast("int"))
+    bodies = docs.join(undecided, "doc_id").select("anchor", "shard", "hot", "doc_id", "first", body.alias("body"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = bodies.dropDuplicates(["anchor", "shard", "doc_id", "first"]).repartition(parts, "anchor", "shard").sortWithinPartitions("anchor", "shard")
+    found = materialize(matched(together, 4 * parts, length), "matched")
+    across = counted(found.filter("bucket is not null").select("bucket", "asked"), length)
+    return decided.unionByName(found.filter("bucket is null").select("doc_id", "start", "end")).unionByName(across)
 
 
 def _report(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, int, str]:

@@ -10,10 +10,11 @@ are discarded unseen, and so are pairs whose sizes differ too much: a size range
 the bound allows. The product is then taken for the pairs that are left: overlap counts of both rows,
 exactly, from the whole sets.
 
-A block that many rows share is never expanded into all its pairs. Its rows are first multiplied with
-one of them only; rows that this links (directly or through other blocks) are in the same component
-already and need no further product. What is left are pairs across components within a block, and
-these are all multiplied, so no link between components is lost.
+A block that many rows share is never expanded into pairs. Its rows are first multiplied with one of
+them only, its star; rows that this links (directly or through other stars) are in the same component
+already and need no further product. What is left are rows of one star in different components. They are
+cut into tiles, each two tiles are multiplied in a task, and a row for each two components that are found
+to be linked comes out, so no link between components is lost.
 
 Cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; with
 fewer words than a shingle the whole sequence is one shingle; repeated rows and ties are in one
@@ -40,6 +41,8 @@ SHINGLE, PERCENT, CHUNK = 3, 90, 1 << 20
 WORD_BYTES = wd.table_of(lambda c: c != 32 and not 9 <= c <= 13)
 #: Signatures that a task remembers to have sent.
 SEEN = 500_000
+#: Rows of a tile of the matrix product.
+TILE = 1024
 
 
 def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
@@ -170,26 +173,62 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def products(rows: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """rows: star, sig, part, shingles. A link (a, b) for each two parts of a star's rows that one joins.
+
+    The rows of a star are cut into tiles, and each two tiles are one block of the matrix product: a task holds two tiles
+    and adds up the overlaps of one row of it with all others at a time. Rows of the largest part are multiplied with
+    rows of other parts only.
+    """
+    sizes = rows.groupBy("star").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    cut = rows.join(sizes, "star").withColumn("t", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
+    blocks = cut.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("star", F.least("t", "k").alias("i"), F.greatest("t", "k").alias("j"), "t", "sig", "part", "shingles")
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        tiles, sigs, parts = (group.column(c).to_numpy() for c in ("t", "sig", "part"))
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        kinds, place, count = np.unique(parts, return_inverse=True, return_counts=True)
+        if len(kinds) > 1:
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in sets])
+            columns, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            begins = np.cumsum(n) - n
+            here = np.zeros(len(columns), bool)
+            for a in np.flatnonzero(place != count.argmax()).tolist():
+                mine = flat[begins[a] : begins[a] + n[a]]
+                here[mine] = True
+                both = np.add.reduceat(here[flat], begins, dtype=np.int64)
+                here[mine] = False
+                ok = (100 * both >= percent * (n + n[a] - both)) & (parts != parts[a])
+                if i != j:
+                    ok &= tiles != tiles[a]
+                for b in np.flatnonzero(ok).tolist():
+                    out.setdefault((min(parts[a], parts[b]), max(parts[a], parts[b])), (int(sigs[a]), int(sigs[b])))
+        return pa.table({k: pa.array([x[c] for x in out.values()], pa.int64()) for c, k in enumerate("ab")})
+
+    return blocks.groupBy("star", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id of every row."""
     rows = materialize(signatures(docs, n), "signatures")
     classes = materialize(rows.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id")), "classes")
     by_key = W.partitionBy("key")
     shared = keyed(docs, n, percent).withColumns({"star": F.min("sig").over(by_key), "most": F.max("sig").over(by_key)}).filter("star <> most")
-    shared = materialize(shared.select("key", "sig", "star").distinct(), "blocks")
-    wanted = shared.select("sig").distinct().join(classes, "sig").select(F.col("class_id").alias("doc_id"), "sig")
+    # rows that share a block share its star
+    stars = materialize(shared.filter("sig <> star").select("star", "sig").distinct(), "stars")
+    members = stars.union(stars.select("star", F.col("star").alias("sig")).distinct())
+    wanted = members.select("sig").distinct().join(classes, "sig").select(F.col("class_id").alias("doc_id"), "sig")
     sets = materialize(sets_of(docs, wanted, n), "sets")
-    stars = materialize(shared.filter("sig <> star").select(F.col("star").alias("a"), F.col("sig").alias("b")).distinct(), "stars")
-    links = materialize(overlaps(stars, sets, percent), "links")
+    links = materialize(overlaps(stars.select(F.col("star").alias("a"), F.col("sig").alias("b")), sets, percent), "links")
     known = components(links)
-    # what no star has linked: pairs of one block in different components
-    labelled = shared.join(known, shared["sig"] == known["node"], "left").select("key", "sig", F.coalesce("component", "sig").alias("part"))
-    open_keys = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    open_rows = materialize(labelled.join(open_keys, "key", "left_semi"), "open")
-    x, y = open_rows.select("key", F.col("sig").alias("a"), F.col("part").alias("pa")), open_rows.select("key", F.col("sig").alias("b"), F.col("part").alias("pb"))
-    across = x.join(y, "key").filter("a < b and pa <> pb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    found = links.unionByName(overlaps(across, sets, percent))
-    parts = components(found)
+    # what no star has linked: rows of one star in different components
+    labelled = members.join(known, members["sig"] == known["node"], "left").select("star", "sig", F.coalesce("component", "sig").alias("part"))
+    # a star with one other row has been multiplied with it
+    open_stars = labelled.groupBy("star").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("rows")).filter("low <> high and rows > 2").select("star")
+    open_rows = materialize(labelled.join(open_stars, "star", "left_semi"), "open")
+    parts = components(links.unionByName(products(open_rows.join(sets, "sig"), percent, tile)))
     # signatures are unordered labels; the smallest id of a component is its name
     of_class = classes.join(parts, classes["sig"] == parts["node"], "left").select("sig", "class_id", F.coalesce("component", "sig").alias("part"))
     names = of_class.groupBy("part").agg(F.min("class_id").alias("name"))

@@ -10,8 +10,9 @@ consecutive windows of one anchor are a stretch of text, a context. So
 1. contexts are hashed where they are read; equal ones are counted, with partial counts by task:
    their windows are all repeated;
 2. an anchor with one context only has no other repeats;
-3. the contexts of the other anchors, one copy of each, go through suffix arrays made by linear grouping
-   (``suffixes``), shard by shard; neighbours in the array that share ``length`` bytes are repeated.
+3. the contexts of the other anchors, one copy of each and cut to what they share with another on either side
+   of the anchor, go through suffix arrays made by linear grouping (``suffixes``), shard by shard; neighbours
+   in the array that share ``length`` bytes are repeated.
 
 An anchor may have any number of different contexts (a common passage among changing neighbours). They are
 dealt out to shards of about ``SHARD`` contexts; each shard sends one copy of every window of its own, as a
@@ -59,10 +60,10 @@ def _prefix(data: np.ndarray) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """anchor hash, first and last window start, hash of the context, of each context in up to 2**20 bytes."""
+    """anchor hash, first and last window start, hash of the context, place of the anchor in it, of each context in up to 2**20 bytes."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none.astype(np.uint64), none, none, none.astype(np.uint64)
+        return none.astype(np.uint64), none, none, none.astype(np.uint64), none
     total, k = _prefix(data), min(ANCHOR, length)
     at = np.arange(len(data) - k + 1)
     h = wd.mix((total[k:] - total[:-k]) * wd._power("down", len(data) + 1)[at])
@@ -73,7 +74,7 @@ def contexts(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     stop = last + length
     body = (total[stop] - total[first]) * wd._power("down", len(data) + 1)[first]
     same = wd.mix(body ^ wd.mix((stop - first).astype(np.uint64) << np.uint64(32) | (anchor - first).astype(np.uint64)))
-    return h[anchor], first, last, same
+    return h[anchor], first, last, same, anchor - first
 
 
 def of_text(data: bytes, length: int = LENGTH) -> list[tuple[np.ndarray, ...]]:
@@ -81,8 +82,8 @@ def of_text(data: bytes, length: int = LENGTH) -> list[tuple[np.ndarray, ...]]:
     raw, block = np.frombuffer(data, np.uint8), 1 << 19
     out = []
     for b in range(0, max(1, len(raw) - length + 1), block):
-        a, first, last, same = contexts(raw[b : b + block + length - 1], length)
-        out.append((a, first + b, last + b, same))
+        a, first, last, same, at = contexts(raw[b : b + block + length - 1], length)
+        out.append((a, first + b, last + b, same, at))
     return out
 
 
@@ -102,19 +103,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def found_contexts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """anchor, same, doc_id, first, last, n (1): a row for each context."""
+    """anchor, same, doc_id, first, last, at (the anchor's place in it), n (1): a row for each context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, CHUNK):
-            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for a, first, last, same in of_text(text.encode(), length):
-                    for c, v in zip(cols, (_signed(a), _signed(same), np.full(len(a), doc), first, last, np.ones(len(a), np.int64))):
+                for a, first, last, same, at in of_text(text.encode(), length):
+                    for c, v in zip(cols, (_signed(a), _signed(same), np.full(len(a), doc), first, last, at, np.ones(len(a), np.int64))):
                         c.append(v)
             flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in flat], names=["anchor", "same", "doc_id", "first", "last", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in flat], names=["anchor", "same", "doc_id", "first", "last", "at", "n"])
 
-    return docs.mapInArrow(run, "anchor long, same long, doc_id long, first long, last long, n long")
+    return docs.mapInArrow(run, "anchor long, same long, doc_id long, first long, last long, at long, n long")
 
 
 def _windows(texts: list[bytes], firsts: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,6 +146,34 @@ def _windows(texts: list[bytes], firsts: list[int], length: int) -> tuple[np.nda
     return owner[at], at - begins[owner[at]] + np.array(firsts, np.int64)[owner[at]], twins[at], leads[at]
 
 
+def _shared(texts: list[bytes]) -> list[int]:
+    """The length of the longest prefix that each text shares with any other."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    out = [0] * len(texts)
+    for i, j in zip(order, order[1:]):
+        n = min(len(texts[i]), len(texts[j]))
+        differ = np.flatnonzero(np.frombuffer(texts[i], np.uint8, n) != np.frombuffer(texts[j], np.uint8, n)) if n else ()
+        n = int(differ[0]) if len(differ) else n
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def trimmed(rows: list[tuple], length: int = LENGTH) -> list[tuple]:
+    """(hot, doc_id, first, body) of one anchor's (hot, doc_id, first, at, body).
+
+    Left and right of the anchor, bytes that a context shares with no other of its anchor lie in no repeated window and go, and so
+    does a context that is then too short for a window. Contexts of hot anchors stay whole, as other shards hold more of them.
+    """
+    if rows and rows[0][0]:
+        return [(hot, doc, first, body) for hot, doc, first, _, body in rows]
+    k, out = min(ANCHOR, length), []
+    left, right = _shared([r[4][: r[3]][::-1] for r in rows]), _shared([r[4][r[3] + k :] for r in rows])
+    for (hot, doc, first, at, body), a, b in zip(rows, left, right):
+        if a + k + b >= length:
+            out.append((hot, doc, first + at - a, body[at - a : at + k + b]))
+    return out
+
+
 def _runs(doc: int, starts: np.ndarray, length: int) -> list[tuple]:
     """(doc, start, end) of the bytes that windows with these sorted starts cover, a row for each run of starts."""
     cut = np.flatnonzero(np.diff(starts) > 1)
@@ -156,7 +185,7 @@ _MATCHED = "doc_id long, start long, end long, bucket int, asked binary"
 
 
 def matched(open_contexts: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """open_contexts: anchor, shard, hot, doc_id, first, body, with the rows of a shard together.
+    """open_contexts: anchor, shard, hot, doc_id, first, at, body, with the rows of a shard together.
 
     Rows with a document say that its bytes from start to end go. Rows with a bucket hold the windows of hot anchors that
     other shards may have too (start is -1 where the window itself is decided).
@@ -184,16 +213,18 @@ def matched(open_contexts: DataFrame, buckets: int, length: int = LENGTH) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, None
+        mine: list[tuple] = []
+        last = None
         for batch in batches:
-            for anchor, shard, *row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "shard", "hot", "doc_id", "first", "body"))):
-                if (anchor, shard) != last and size >= SHARD_BYTES:
-                    yield solve(held)
-                    held, size = [], 0
-                last = (anchor, shard)
-                held.append(tuple(row))
-                size += len(row[3])
-        if held:
+            for anchor, shard, *row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "shard", "hot", "doc_id", "first", "at", "body"))):
+                if (anchor, shard) != last:
+                    held += trimmed(mine, length)
+                    mine, last = [], (anchor, shard)
+                    if sum(len(r[3]) for r in held) >= SHARD_BYTES:
+                        yield solve(held)
+                        held = []
+                mine.append(tuple(row))
+        if held := held + trimmed(mine, length):
             yield solve(held)
 
     return open_contexts.mapInArrow(run, _MATCHED)
@@ -217,14 +248,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, start, end (bytes) of what repeats; ranges may overlap. docs: doc_id, text without nulls."""
     all_contexts = materialize(found_contexts(docs, length), "contexts")
     # equal contexts: partial counts first, so a hot one is a row per task
-    kinds = all_contexts.groupBy("anchor", "same").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("one"))
+    kinds = all_contexts.groupBy("anchor", "same").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "first", "last", "at")).alias("one"))
     by_anchor = kinds.groupBy("anchor").agg(F.sum("n").alias("all"), F.count("*").alias("different")).filter("all > 1")
     judged = materialize(kinds.join(by_anchor.select("anchor", "different"), "anchor").filter("n > 1 or different > 1"), "judged")
     decided = all_contexts.join(judged.filter("n > 1").select("anchor", "same"), ["anchor", "same"], "left_semi").select("doc_id", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     hot = F.col("different") > SHARD
     undecided = judged.filter("different > 1").select("anchor", F.pmod("same", F.ceil(F.col("different") / SHARD).cast("long")).alias("shard"), hot.alias("hot"), "one.*")
     body = F.substring(F.col("text").cast("binary"), F.col("first").cast("int") + 1, (F.col("last") - F.col("first") + length).cast("int"))
-    bodies = docs.join(undecided, "doc_id").select("anchor", "shard", "hot", "doc_id", "first", body.alias("body"))
+    bodies = docs.join(undecided, "doc_id").select("anchor", "shard", "hot", "doc_id", "first", "at", body.alias("body"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = bodies.dropDuplicates(["anchor", "shard", "doc_id", "first"]).repartition(parts, "anchor", "shard").sortWithinPartitions("anchor", "shard")
     found = materialize(matched(together, 4 * parts, length), "matched")

@@ -29,7 +29,7 @@ def quotas(df: DataFrame, type_column: str, target: int, floor: int = 5, share:
 def stratified(df: DataFrame, type_column: str, id_column: str, target: int, scenarios: list[str] | None = None, floor: int = 5, share: float = 0.40) -> DataFrame:
     """At most target records: each type's quota, one of each scenario first, then the best judged, no dialogue twice; gaps are filled from what is left.
 
-    A dialogue that has several types is offered to the first of them (by smallest id); gap filling offers its other records again.
+    A dialogue that has several types is offered to the first of them (by smallest id), with its best record of that type, also for filling gaps.
     """
     scenarios = L.SCENARIOS if scenarios is None else scenarios
     best = [F.coalesce("judge_average", F.lit(0.0)).desc(), F.col(id_column)]

@@ -232,14 +232,19 @@ def w11(spark, d):
     return C.repaired_order(s).select("cid", F.col("source_query.turn_index").alias("source_turn"), F.col("ordering_fixed").cast("int").alias("fixed"))
 
 
-def _copies(spark, d) -> DataFrame:
-    """Saved records of which several share a dialogue: the source stands for it."""
-    return X.saved(spark, d).withColumn("cid", F.col("failure_dimension"))
+def _retried(spark, d) -> DataFrame:
+    """Saved records, every fifth of them again with a mark behind its query and another score."""
+    s = X.saved(spark, d)
+    again = s.filter("doc_id % 5 = 0").withColumns(
+        {"source_query": F.struct(F.col("source_query.turn_index").alias("turn_index"), F.concat("source_query.message", F.lit("?")).alias("message")), "judge_average": F.col("judge_average") + (F.col("doc_id") % 3 - 1) * 0.5, "doc_id": F.col("doc_id") + 1_000_000_000}
+    )
+    return s.unionByName(again)
 
 
-@query("j11_near_duplicates")
+# two texts of which one has a character more are near for 5 characters on
+@query("j11_near_duplicates", "WITH p AS (SELECT doc_id AS a, doc_id + 1000000000 AS b, judge_average AS ja, judge_average + (doc_id % 3 - 1) * 0.5 AS jb FROM saved WHERE doc_id % 5 = 0 AND length(sq_message) >= 5) SELECT CASE WHEN ja >= jb THEN b ELSE a END AS id, CASE WHEN ja >= jb THEN a ELSE b END AS duplicate_of FROM p")
 def j11(spark, d):
-    return C.near_duplicates(_copies(spark, d), "doc_id")
+    return C.near_duplicates(_retried(spark, d), "doc_id")
 
 
 @query("w9_sequential_ids", "SELECT cid, 'tc_' || lpad(row_number() OVER (ORDER BY doc_id)::VARCHAR, 5, '0') AS id FROM saved")

@@ -150,7 +150,16 @@ def nearest(rows, k=10):
     return {q: sorted((float(np.sqrt(((ok[q] - v) ** 2).sum())), i) for i, v in ok.items() if i != q)[:k] for q in ok if q % 100 == 0}
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("together", ["true", "false"])
+def test_neighbours(spark, together):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", together)  # cells in one task, or far apart
+    try:
+        check_neighbours(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def check_neighbours(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(600)]
     rows += [(1000 + i, rows[0][1]) for i in range(40)]  # equal vectors, queries among them

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import bound_batches, materialize, table
 
 K, DIMS, SAMPLE, CELL_ROWS, CONFIDENCE, EVERY = 10, 8, 20_000, 4096, 0.97, 100
-_STEP = 256
+_STEP = 512
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -100,7 +100,7 @@ class Cells:
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.array(column.values.to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)  # a slice has its own rows only
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -173,7 +173,7 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = K, cell_rows: int = CE
     asked = materialize(index.join(queries.select("v").distinct(), "v").select(F.xxhash64("v").alias("q"), "v", "flat", "cell"), "queries")
     # large cells in parts, so that a part and a block of queries fit in a task
     split = index.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / (2 * cell_rows)).cast("int").alias("parts"))
-    parted = index.join(split, "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).select("cell", "part", "v", "flat", "ids")
+    parted = index.join(split, "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).select("cell", "part", "v", "flat", "ids")
     found_schema = "v array<double>, ids array<long>, score double"
 
     def search(visits: DataFrame) -> DataFrame:

@@ -96,12 +96,20 @@ class Model:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 150) -> Model | None:
     """labelled: doc_id, text, lang. Takes at most sample texts of each language."""
-    rows = labelled.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, FIT_BYTES).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("key"))
-    # the languages are few, but one may hold most rows: the sample is cut in salted groups first
-    first = W.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy("key", "text")
-    again = W.partitionBy("lang").orderBy("key", "text")
-    few = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).withColumn("n", F.row_number().over(again)).filter(F.col("n") <= sample)
-    got = [(r["lang"], r["text"]) for r in few.select("lang", "text").collect() if has_letter(r["text"])]
+    rows = labelled.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("key"), "text")
+    # keys alone are ranked, in salted groups first, as one language may hold most rows; texts move only for the sample
+    first = W.partitionBy("lang", F.pmod("key", F.lit(16))).orderBy("key")
+    again = W.partitionBy("lang").orderBy("key")
+    few = rows.select("lang", "key").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).withColumn("n", F.row_number().over(again)).filter(F.col("n") <= sample)
+    bounds = few.groupBy("lang").agg(F.max("key").alias("most"), F.count("*").alias("n")).collect()  # one row a language
+    if not bounds:
+        return None
+    within = F.lit(False)
+    for r in bounds:
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("key") <= r["most"]))
+    # rows that repeat a key are as many as they are: the last key's may pass the bound, so it is held again
+    taken = rows.filter(within).select("lang", F.substring("text", 1, FIT_BYTES).alias("text")).limit(sample * len(bounds))
+    got = sorted((r["lang"], r["text"]) for r in taken.collect() if has_letter(r["text"]))
     if not got:
         return None
     languages = sorted({a for a, _ in got})

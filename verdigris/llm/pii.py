@@ -145,10 +145,10 @@ def detected(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """doc_id, text, the columns in keep, base and terms: arrays of (kind, start, end, value)."""
     keep = keep or []
     found = docs.select("doc_id", text_or_empty("text").alias("text"), *keep).withColumn("base", base_spans(F.col("text")))
-    terms = disclosing_terms(found.select("doc_id", "text", "base"), docs)
-    # only documents with base spans are joined: they are few, and no others can hold disclosing terms
+    # documents with base spans are few, and no others can hold disclosing terms: they alone are written, counted and joined
     has = F.size("base") > 0
-    some = found.filter(has).join(terms, "doc_id", "left")
+    holding = materialize(found.filter(has), "holding")
+    some = holding.join(disclosing_terms(holding.select("doc_id", "text", "base"), docs), "doc_id", "left")
     words = F.array_join(F.transform("revealing", lambda r: r["term"]), "|")
     hits = _matches(F.col("text"), F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), words, F.lit(r")(?!\p{L})")))
     apart = F.filter(F.when(F.size("revealing") > 0, hits), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))

@@ -94,7 +94,7 @@ class Model:
         return at, share[np.arange(len(at)), at]
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 150) -> Model | None:
+def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 40) -> Model | None:
     """labelled: doc_id, text, lang. Takes at most sample texts of each language."""
     rows = labelled.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("key"), "text")
     # keys alone are ranked, in salted groups first, as one language may hold most rows; texts move only for the sample
@@ -123,8 +123,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 150) -> Model |
     step = np.zeros_like(weights)
     for i in range(steps):
         pull = each * target / (1 + np.exp(np.clip(target * (x @ weights + bias), -30, 30)))
-        step = 0.9 * step + 40 * (x.T @ pull - 1e-6 * weights)
-        weights += step * 0.5
+        step = 0.9 * step + 60 * (x.T @ pull - 1e-6 * weights)
+        weights += step
         bias += 4 * pull.sum(0)
     return Model(languages, code, weights.astype(np.float32), bias.astype(np.float32))
 

@@ -15,6 +15,9 @@ from verdigris.llm.langid import accepted
 from verdigris.llm.packing import packed
 from verdigris.llm.pii import sanitised
 
+#: Documents are near copies from this share (in percent) of common word shingles of this length on; op6 has its own rule.
+SHINGLE, PERCENT = 5, 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
@@ -23,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return deduplicated(docs)
+    return deduplicated(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

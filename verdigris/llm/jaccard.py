@@ -5,7 +5,9 @@ set are one row (their class); a row is known by its signature.
 
 Two sets A, B with Jaccard similarity t or more differ in at most (|A| + |B|)(1 - t)/(1 + t) columns.
 For every range of sizes this gives a bound d; the columns are cut into d + 1 blocks by hash, and two
-rows within the bound have at least one block whose non-zeros are the same. Pairs that share no block
+rows within the bound have at least one block whose non-zeros are the same. Blocks without non-zeros are
+the same for many rows, so where the bound leaves few columns a block, s more blocks are cut: two rows then have
+s + 1 same blocks, and a row with s empty ones or fewer sends only the others. Pairs that share no block
 are discarded unseen, and so are pairs whose sizes differ too much: a size range only meets those that
 the bound allows. The product is then taken for the pairs that are left: overlap counts of both rows,
 exactly, from the whole sets.
@@ -75,6 +77,7 @@ class Ranges:
     def __init__(self, percent: int):
         self.percent = percent
         self.low = [1]
+        self.cut: dict[int, tuple[int, int]] = {}
 
     def of(self, n: int) -> int:
         """Number of the range that holds n: single sizes first, then ever wider ones."""
@@ -83,9 +86,22 @@ class Ranges:
             self.low.append(max(a + 1, a * 100 // self.percent) if a > 20 else a + 1)
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def blocks(self, k: int) -> int:
-        high = self.low[k + 1] - 1
-        return (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent) + 1
+    def blocks(self, k: int) -> tuple[int, int]:
+        """The number of blocks of range k, and how many of them a row may have empty without sending those."""
+        if k not in self.cut:
+            low, high = self.low[k], self.low[k + 1] - 1
+            m = (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent) + 1
+            spare = 0
+            while m > 1 and not self.rare(low, m + spare, spare):
+                spare += 1
+            self.cut[k] = m + spare, spare
+        return self.cut[k]
+
+    @staticmethod
+    def rare(n: int, m: int, spare: int) -> bool:
+        """Whether more than spare of m blocks are seldom empty for n columns (three standard deviations)."""
+        mean = m * (1 - 1 / m) ** n
+        return mean + 3 * max(0.0, m * (m - 1) * (1 - 2 / m) ** n + mean - mean * mean) ** 0.5 < spare + 1
 
     def met(self, n: int) -> range:
         """The ranges of all sizes of the same or smaller sets that can be linked with a set of n."""
@@ -95,7 +111,7 @@ class Ranges:
 def block_keys(s: np.ndarray, ranges: Ranges) -> np.ndarray:
     out = []
     for k in ranges.met(len(s)):
-        m = ranges.blocks(k)
+        m, spare = ranges.blocks(k)
         if m == 1:  # nothing may differ: such sets have the same signature
             continue
         block = (wd.mix(s) % np.uint64(m)).astype(np.int64)
@@ -103,7 +119,8 @@ def block_keys(s: np.ndarray, ranges: Ranges) -> np.ndarray:
         sums = np.zeros(m, np.uint64)
         at = np.flatnonzero(np.diff(block[order], prepend=-1))
         sums[block[order][at]] = np.add.reduceat(wd.mix(s[order] + np.uint64(0xA24BAED4)), at)
-        out.append(wd.mix(sums + wd.mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 32 | 1))))
+        keys = wd.mix(sums + wd.mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 32 | 1)))
+        out.append(keys if m - len(at) > spare else keys[block[order][at]])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -236,9 +253,9 @@ def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, tile: int
     return rows.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest id, with the same columns; rows without an id stay."""
-    kept = joined(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = joined(docs.select("doc_id", "text"), n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     first = W.partitionBy("doc_id").orderBy("text")
     stay = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").drop("_copy")
     return stay.unionByName(docs.filter("doc_id is null"))

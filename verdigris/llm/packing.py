@@ -8,6 +8,9 @@ patterns, each with a number of sequences, and at least one length runs out with
 the plan is bounded by the number of lengths too. Pieces find their place by their rank within
 their length, which is counted in salted groups: one length may hold any share of the rows.
 
+Token ids are those of the tokenizer of byte_bpe_50k.json without special tokens added around a text: an added token of
+that file (<|endoftext|>) that stands inside a text is its one id there too, and the parts beside it are encoded alone.
+
 Cases: a null text is an empty one and still has the end token; repeated rows are packed each;
 an empty table gives an empty result; further columns of the input are ignored.
 """
@@ -15,9 +18,11 @@ an empty table gives an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +42,22 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
-    """A byte-level BPE encoder of a rank file; strings of special tokens inside texts are ordinary text."""
+def added_tokens() -> dict[str, int]:
+    """The tokens that the tokenizer matches inside texts before all else."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(path: str, added: dict[str, int]):
+    """A byte-level BPE encoder of a rank file and the added tokens."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -55,10 +68,10 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenized(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
-    path = path or vocabulary()
+    path, added = path or vocabulary(), added_tokens()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = partial(encoder(path, added).encode, allowed_special="all")
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

@@ -200,11 +200,20 @@ def scored(docs: DataFrame, order: int = ORDER, seen: int = SEEN, backoff: float
     return rows.select("doc_id", "n_words", "log10_sum", (F.col("log10_sum") / F.nullif(F.col("n_words"), F.lit(0))).alias("log10_mean"), "n_backoff")
 
 
-def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _query(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    out = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), order)
     return out.select("doc_id", "n_words", F.round("log10_sum", 4).alias("log10_sum"), F.round("log10_mean", 6).alias("log10_mean"), "n_backoff")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(spark, sf_dir, ORDER)
+
+
+def op2_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two words of context, and two steps of backoff."""
+    return _query(spark, sf_dir, 3)
+
+
 ORACLE = r"""
 WITH w AS (
   SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (
@@ -221,3 +230,24 @@ d AS (SELECT doc_id, count(*) AS n_words, sum(v) AS v, sum(b)::BIGINT AS n_backo
 SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(v, 0), 4) AS log10_sum, round(v / n_words, 6) AS log10_mean, coalesce(n_backoff, 0)::BIGINT AS n_backoff
 FROM documents LEFT JOIN d USING (doc_id)
 """
+
+ORACLE_TRIGRAMS = r"""
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents)),
+g AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev, lag(word, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS prev2 FROM w),
+c1 AS (SELECT word, count(*) AS n FROM g GROUP BY word),
+c2 AS (SELECT prev, word, count(*) AS n FROM g WHERE prev IS NOT NULL GROUP BY prev, word),
+c3 AS (SELECT prev2, prev, word, count(*) AS n FROM g WHERE prev2 IS NOT NULL GROUP BY prev2, prev, word),
+s AS (
+  SELECT doc_id,
+    CASE WHEN c3.n >= 2 THEN log10(c3.n / h.n) ELSE
+      CASE WHEN g.prev2 IS NULL THEN 0 ELSE log10(0.4) END +
+      CASE WHEN g.prev IS NULL THEN log10(a.n / t.n) WHEN c2.n >= 2 THEN log10(c2.n / p.n) ELSE log10(a.n / t.n) + log10(0.4) END END AS v,
+    CASE WHEN g.prev2 IS NULL THEN CASE WHEN c2.n < 2 THEN 1 ELSE 0 END WHEN c3.n < 2 THEN 1 ELSE 0 END AS b
+  FROM g JOIN c1 a ON a.word = g.word LEFT JOIN c1 p ON p.word = g.prev LEFT JOIN c2 ON c2.prev = g.prev AND c2.word = g.word
+    LEFT JOIN c2 h ON h.prev = g.prev2 AND h.word = g.prev LEFT JOIN c3 ON c3.prev2 = g.prev2 AND c3.prev = g.prev AND c3.word = g.word, (SELECT count(*)::DOUBLE AS n FROM g) t),
+d AS (SELECT doc_id, count(*) AS n_words, sum(v) AS v, sum(b)::BIGINT AS n_backoff FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(v, 0), 4) AS log10_sum, round(v / n_words, 6) AS log10_mean, coalesce(n_backoff, 0)::BIGINT AS n_backoff
+FROM documents LEFT JOIN d USING (doc_id)
+"""

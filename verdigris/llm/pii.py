@@ -11,6 +11,8 @@ Beyond the base, corpus co-occurrence estimates how strongly a term reveals an e
 
 is the share of e's information content that t gives away. In a document that holds e, terms with
 ``DISCLOSURE`` or more are generalised to their word class; terms that occur with e alone are removed.
+Terms are the runs of letters, marks and digits outside the base matches, and the runs of letters and marks in
+them (a name before a number), of ``term_chars`` characters or more: the query and the pipeline take all of them.
 Only entities and pairs that occur in at least ``SUPPORT`` different texts count, so that copies of a
 page prove nothing. Documents without base matches are never changed.
 
@@ -31,6 +33,8 @@ from verdigris.llm.common import materialize, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE, SUPPORT, TERM_CHARS, BLOCK = 0.8, 3, 3, 256
+#: What a word may hold, without and with digits.
+LETTERS, WORD = r"\p{L}\p{M}", r"\p{L}\p{M}\p{N}"
 # The patterns of the contract. Where a match can only start at the head of a run of characters
 # (or where the last match ended), this is said, and what can't help by giving back is possessive:
 # both keep the work linear in the length of a run and change no match.
@@ -105,12 +109,14 @@ def _of_kind(text: Column, k: int, kind: str) -> Column:
     return F.coalesce(spans, F.array().cast(f"array<{_SPAN}>"))
 
 
-def _terms(text: Column) -> Column:
-    """The distinct terms of a text, outside what the base patterns match."""
-    rest = text
-    for pattern in PATTERNS.values():
-        rest = F.regexp_replace(rest, pattern, " ")
-    return F.filter(F.array_distinct(F.split(F.lower(rest), r"[^\p{L}]+")), lambda t: F.length(t) >= TERM_CHARS)
+def _terms(text: Column, base: Column, term_chars: int) -> Column:
+    """The distinct terms of a text, outside its base spans."""
+    gaps = F.transform(base, lambda s: F.struct(F.lit(4).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("value")))
+    rest = redacted(text, gaps)
+    words = F.split(F.lower(rest), f"[^{WORD}]+")
+    # of words with digits also the letters
+    parts = F.flatten(F.transform(F.filter(words, lambda w: w.rlike(r"\p{N}")), lambda w: F.split(w, f"[^{LETTERS}]+")))
+    return F.filter(F.array_distinct(F.concat(words, parts)), lambda t: F.length(t) >= term_chars)
 
 
 def _entity(span: Column) -> Column:
@@ -118,13 +124,13 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), value)
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosing_terms(found: DataFrame, docs: DataFrame, term_chars: int = TERM_CHARS) -> DataFrame:
     """doc_id and the terms, as (term, certain), that give away an entity of that document.
 
     found: doc_id, text, base of the documents with base spans; docs: all documents.
     """
     holders = materialize(
-        found.filter(F.size("base") > 0).select("doc_id", F.xxhash64("text").alias("same"), F.array_distinct(F.transform("base", _entity)).alias("entities"), _terms(F.col("text")).alias("terms")),
+        found.filter(F.size("base") > 0).select("doc_id", F.xxhash64("text").alias("same"), F.array_distinct(F.transform("base", _entity)).alias("entities"), _terms(F.col("text"), F.col("base"), term_chars).alias("terms")),
         "holders",
     )
     by_entity = holders.select("doc_id", "same", F.explode("entities").alias("entity"), "terms")
@@ -133,7 +139,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = by_entity.join(entities.select("entity"), "entity").select("doc_id", "same", "entity", F.explode("terms").alias("term"))
     both = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_both"), F.countDistinct("same").alias("texts")).filter(F.col("texts") >= SUPPORT)
     # a term counts for as many documents as hold it, over the whole corpus
-    in_docs = docs.select(F.explode(_terms(text_or_empty("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    based = docs.select(text_or_empty("text").alias("text")).withColumn("base", base_spans(F.col("text")))
+    in_docs = based.select(F.explode(_terms(F.col("text"), F.col("base"), term_chars)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("n"))  # one row
     scored = both.join(entities, "entity").join(in_docs, "term").crossJoin(F.broadcast(total))
     share = F.log(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))) / F.nullif(F.log(F.col("n") / F.col("n_entity")), F.lit(0.0))
@@ -141,16 +148,19 @@ def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(flagged, ["term", "entity"]).groupBy("doc_id", "term").agg(F.max("certain").alias("certain")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "certain"))).alias("revealing"))
 
 
-def detected(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def detected(docs: DataFrame, keep: list[str] | None = None, term_chars: int = TERM_CHARS) -> DataFrame:
     """doc_id, text, the columns in keep, base and terms: arrays of (kind, start, end, value)."""
     keep = keep or []
     found = docs.select("doc_id", text_or_empty("text").alias("text"), *keep).withColumn("base", base_spans(F.col("text")))
     # documents with base spans are few, and no others can hold disclosing terms: they alone are written, counted and joined
     has = F.size("base") > 0
     holding = materialize(found.filter(has), "holding")
-    some = holding.join(disclosing_terms(holding.select("doc_id", "text", "base"), docs), "doc_id", "left")
-    words = F.array_join(F.transform("revealing", lambda r: r["term"]), "|")
-    hits = _matches(F.col("text"), F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), words, F.lit(r")(?!\p{L})")))
+    some = holding.join(disclosing_terms(holding.select("doc_id", "text", "base"), docs, term_chars), "doc_id", "left")
+    # a term with digits is a whole word, others end where letters do; terms with digits come first, as they may begin with another term
+    digits = F.filter("revealing", lambda r: r["term"].rlike(r"\p{N}"))
+    letters = F.filter("revealing", lambda r: ~r["term"].rlike(r"\p{N}"))
+    words = F.array_join(F.concat(F.transform(digits, lambda r: F.concat(F.lit(r"(?<!\p{N})"), r["term"], F.lit(r"(?!\p{N})"))), F.transform(letters, lambda r: r["term"])), "|")
+    hits = _matches(F.col("text"), F.concat(F.lit(f"(?iu)(?<![{LETTERS}])(?:"), words, F.lit(f")(?![{LETTERS}])")))
     apart = F.filter(F.when(F.size("revealing") > 0, hits), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     certain = F.transform(F.filter("revealing", lambda r: r["certain"]), lambda r: r["term"])
     spans = F.transform(apart, lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.when(F.array_contains(certain, F.lower(t["value"])), F.lit("")).otherwise(F.lit("[WORD]")).alias("value")))
@@ -182,17 +192,17 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
+def sanitised(docs: DataFrame, term_chars: int = TERM_CHARS) -> DataFrame:
     """docs with the same columns, in which base matches are tags and disclosing terms are generalised or gone; null texts stay null."""
     own = docs.withColumn("_null", F.col("text").isNull())
     keep = [c for c in docs.columns if c not in ("doc_id", "text")]
     renamed = own.withColumnsRenamed({c: f"_own_{c}" for c in keep})
-    out = detected(renamed, [*(f"_own_{c}" for c in keep), "_null"])
+    out = detected(renamed, [*(f"_own_{c}" for c in keep), "_null"], term_chars)
     return out.withColumn("text", F.when(~F.col("_null"), redacted(F.col("text"), F.concat("base", "terms")))).drop("base", "terms").withColumnsRenamed({f"_own_{c}": c for c in keep}).select(*docs.columns)
 
 
 def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detected(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = detected(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), term_chars=1)
 
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")

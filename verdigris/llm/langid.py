@@ -6,17 +6,20 @@ predicts that bit. A text's language is the codeword with the least logistic los
 codeword in the softmax of the losses is the score. A text whose two nearest codewords lie close
 together is flagged as ambiguous.
 
-The classifiers are fitted on the driver from a bounded sample: at most ``SAMPLE`` labelled texts of
-each language, those with the smallest hash of their id, of whose text the first ``FIT_BYTES`` are
-used. The bound is a parameter of ``fit``. Prediction reads every whole text.
+The classifiers are fitted on the driver from a bounded sample of labelled texts: ``sample`` rows of each language at
+most, and ``most`` of all languages together (both parameters of ``fit``), those with the smallest hash of their id. Tasks
+turn the whole texts of the sample into features, so that a row is ``BUCKETS`` numbers at most on the driver, however
+long its text. Prediction reads every whole text.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and not ambiguous; without any
 labelled text every row is ``und``; with a single language all texts with letters get it; repeated
-rows get the same answer; further columns are kept, and columns of the same names are replaced.
+rows get the same answer; very long texts are read in blocks; further columns are kept, and columns of the same names are
+replaced. ``accepted`` drops what has no letter, and, where nothing is labelled, keeps all else with a warning.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import bound_batches, pieces, table
 
-SAMPLE, FIT_BYTES, BUCKETS, BITS, CHUNK, BLOCK = 1000, 4000, 1 << 13, 15, 1 << 20, 1 << 20
+SAMPLE, MOST, BUCKETS, BITS, CHUNK, BLOCK = 1000, 4000, 1 << 13, 15, 1 << 20, 1 << 20
 #: Softmax share below which the nearest codeword isn't clear.
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
@@ -94,27 +97,48 @@ class Model:
         return at, share[np.arange(len(at)), at]
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 40) -> Model | None:
-    """labelled: doc_id, text, lang. Takes at most sample texts of each language."""
+def sampled(rows: DataFrame) -> DataFrame:
+    """lang, places, values: the features of texts with letters that aren't 0, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, CHUNK):
+            out: tuple[list, ...] = ([], [], [])
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                if has_letter(text):
+                    x = features(text)
+                    at = np.flatnonzero(x)
+                    for c, v in zip(out, (lang, at.astype("<u2").tobytes(), x[at].astype("<f2").tobytes())):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.binary(), pa.binary()))], names=["lang", "places", "values"])
+
+    return rows.mapInArrow(run, "lang string, places binary, values binary")
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 40, most: int = MOST) -> Model | None:
+    """labelled: doc_id, text, lang. Takes at most sample texts of each language, and most of all."""
+    bound_batches(labelled.sparkSession)
     rows = labelled.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("key"), "text")
-    # keys alone are ranked, in salted groups first, as one language may hold most rows; texts move only for the sample
-    first = W.partitionBy("lang", F.pmod("key", F.lit(16))).orderBy("key")
+    # keys alone are ranked, in salted groups first, as one language may hold most rows; texts are read only of the sample
+    first = W.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy("key")
     again = W.partitionBy("lang").orderBy("key")
     few = rows.select("lang", "key").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).withColumn("n", F.row_number().over(again)).filter(F.col("n") <= sample)
-    bounds = few.groupBy("lang").agg(F.max("key").alias("most"), F.count("*").alias("n")).collect()  # one row a language
+    bounds = few.groupBy("lang").agg(F.sort_array(F.collect_list("key")).alias("keys")).collect()  # one row a language, sample keys at most in each
     if not bounds:
         return None
+    each = max(2, min(sample, most // len(bounds)))
     within = F.lit(False)
     for r in bounds:
-        within = within | ((F.col("lang") == r["lang"]) & (F.col("key") <= r["most"]))
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("key") <= r["keys"][min(each, len(r["keys"])) - 1]))
     # rows that repeat a key are as many as they are: the last key's may pass the bound, so it is held again
-    taken = rows.filter(within).select("lang", F.substring("text", 1, FIT_BYTES).alias("text")).limit(sample * len(bounds))
-    got = sorted((r["lang"], r["text"]) for r in taken.collect() if has_letter(r["text"]))
+    taken = sampled(rows.filter(within).select("lang", "text").limit(each * len(bounds)))
+    got = sorted((r["lang"], bytes(r["places"]), bytes(r["values"])) for r in taken.toLocalIterator())
     if not got:
         return None
-    languages = sorted({a for a, _ in got})
-    y = np.array([languages.index(a) for a, _ in got])
-    x = np.stack([features(t) for _, t in got])
+    languages = sorted({a for a, *_ in got})
+    y = np.array([languages.index(a) for a, *_ in got])
+    x = np.zeros((len(got), BUCKETS), np.float32)
+    for i, (_, places, values) in enumerate(got):
+        x[i, np.frombuffer(places, "<u2")] = np.frombuffer(values, "<f2")
     code = codewords(len(languages))
     target = code[y]
     each = (1 / np.bincount(y, minlength=len(languages)))[y]  # languages count alike
@@ -159,6 +183,9 @@ def held_out(doc_id: Column) -> Column:
 def accepted(docs: DataFrame) -> DataFrame:
     """docs whose language is known, with the same columns: texts without letters go."""
     model = fit(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    if model is None:
+        warnings.warn("no labelled text to learn a language from: only texts without letters are dropped", stacklevel=2)
+        return docs.filter(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
     own = [c for c in docs.columns if c in ("lang_pred", "score", "ambiguous")]
     kept = docs.withColumnsRenamed({c: f"_own_{c}" for c in own})
     return identified(kept, model).filter(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score", "ambiguous").withColumnsRenamed({f"_own_{c}": c for c in own}).select(*docs.columns)

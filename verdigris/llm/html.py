@@ -1,19 +1,20 @@
 """Operator 1, HTML extraction by site template removal.
 
-Pages are parsed into a stream of opened and closed elements and texts. What HTML itself marks as no
-article (navigation, headers, footers, asides, forms, scripts; elements with the usual class, id or role
-names of adverts, notices, comments and the like) is left out, and an article or main element, where there
-is one, bounds the rest.
+Pages are parsed into a stream of opened and closed elements and texts. The subtree of every block element with text is
+hashed: its tag, its texts and the hashes of its children. Spark counts, per host, the different pages with each hash; pages
+that say the same count once. What recurs on ``PAGES`` pages of a host and on ``SHARE`` of them is that site's template and is
+deleted: menus, mastheads, footers, boxes, of which a site may have several. A lone paragraph or heading is what pages quote
+from each other too, and needs ``PARAGRAPH_PAGES`` and ``PARAGRAPH_SHARE``. What stands in an article or main element is
+never deleted by its count. The hot host's counts are summed in the tasks first, and joins are plain equi-joins.
 
-Every element subtree that remains is hashed. Spark counts, per host, the different pages with each
-hash; copies of one page count once. Subtrees that recur on at least ``SHARE`` of a host's pages and on
-``PAGES`` at least are that site's template and are deleted. The hot host's counts are summed in the
-tasks first, and joins are plain equi-joins.
+What doesn't recur is judged by what HTML says of it: an article or main element bounds the text, where there is one, and
+navigation, headers, footers, asides, forms, scripts and elements with the usual class, id or role names of adverts,
+notices, comments and the like are left out.
 
 Cases: a null or empty page has an empty text; a page cut off in the middle of a tag or comment ends
 there; elements that are never closed end with the element around them; pages of one id are parsed
-each, and lose the templates found for that id; a null url is a host of its own; an empty table gives an
-empty result; further columns are ignored.
+each, and lose the templates found for that id; a null id is one id; a null url is a host of its own; very long pages are
+parsed alone; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import bound_batches, materialize, pieces, table
 
-SHARE, PAGES, CHUNK = 0.5, 8, 2 << 20
+SHARE, PAGES, PARAGRAPH_SHARE, PARAGRAPH_PAGES, CHUNK = 0.05, 3, 0.5, 8, 2 << 20
 
 #: Elements whose text is never shown in the page, raw or not.
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -38,6 +39,7 @@ DROPPED = RAW | frozenset("head nav header footer aside form button select optio
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PARAGRAPHS = HEADINGS | {"p", "blockquote", "pre"}
 #: What the start of an element ends besides paragraphs, and where the search for it stops.
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 NAMES = frozenset(
@@ -54,6 +56,7 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style
 _NAME = re.compile(r"[a-z0-9]+")
 
 OPEN, CLOSE, TEXT = 0, 1, 2
+NO_ID = -(1 << 63)
 
 
 def _named(tag: str, attributes: str) -> str:
@@ -181,33 +184,42 @@ class Page:
         return not self.out[node] and self.tags[node] != "header" and (self.inside[node] or not self.bounded)
 
     def hashes(self) -> list[int]:
-        """A hash of each block element's subtree, as a signed 64-bit number; 0 where it has no text that counts, and for words marked inside a block."""
+        """A hash of each block element's subtree, as a signed 64-bit number; 0 where it has no text or an article around it, and for words marked inside a block."""
         parts: list[list[bytes]] = [[t.encode("utf-8", "replace")] for t in self.tags]
         said = [False] * len(self.tags)
         out = [0] * len(self.tags)
         for kind, n, text in self.events:
             if kind == TEXT:
-                if n >= 0 and self.counts(n) and (words := text.split()):
+                if n >= 0 and (words := text.split()):
                     parts[n].append(" ".join(words).encode("utf-8", "replace"))
                     said[n] = True
             elif kind == CLOSE and said[n]:
                 h = xxhash.xxh3_64_intdigest(b"\x1f".join(parts[n]))
-                if self.tags[n] in BLOCKS:
+                if self.tags[n] in BLOCKS and not self.inside[n]:
                     out[n] = h - (1 << 64) if h >> 63 else h
                 if (p := self.parents[n]) >= 0:
                     parts[p].append(h.to_bytes(8, "big"))
                     said[p] = True
         return out
 
-    def text(self, deleted: frozenset[int] | set[int] = frozenset()) -> str:
-        """The blocks of the main text, without the subtrees of these hashes."""
+    def templates(self, deleted: frozenset[int] | set[int]) -> list[bool]:
+        """Which elements are or lie in subtrees of these hashes."""
         gone = [False] * len(self.tags)
         if deleted:
-            h = self.hashes()
-            for n in range(len(h)):
-                gone[n] = h[n] in deleted or (self.parents[n] >= 0 and gone[self.parents[n]])
+            for n, h in enumerate(self.hashes()):
+                gone[n] = h in deleted or (self.parents[n] >= 0 and gone[self.parents[n]])
+        return gone
+
+    def text(self, deleted: frozenset[int] | set[int] = frozenset()) -> str:
+        """The blocks of the main text, without the subtrees of these hashes."""
+        return self.parted(deleted)[0]
+
+    def parted(self, deleted: frozenset[int] | set[int] = frozenset()) -> tuple[str, int]:
+        """The blocks of the main text, without the subtrees of these hashes, and the characters of these subtrees."""
+        gone = self.templates(deleted)
         blocks: list[str] = []
         now: list[str] = []
+        lost = 0
 
         def flush() -> None:
             if now:
@@ -217,14 +229,16 @@ class Page:
 
         for kind, n, text in self.events:
             if kind == TEXT:
-                if self.counts(n) and not (n >= 0 and gone[n]):
+                if n >= 0 and gone[n]:
+                    lost += len(text)
+                elif self.counts(n):
                     now.append(text)
             elif self.tags[n] in BLOCKS:
                 flush()
             elif self.tags[n] == "br" and kind == OPEN:
                 now.append(" ")
         flush()
-        return "\n".join(blocks)
+        return "\n".join(blocks), lost
 
 
 def host(url: str | None) -> str:
@@ -233,36 +247,39 @@ def host(url: str | None) -> str:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """page_id, host, content, hash: one row for each different subtree of a page, and one with hash 0 for the page."""
+    """page_id, host, content (a hash of what the page says), paragraph, hash: one row for each different subtree of a page, and one with hash 0 for the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64())
         for batch in pieces(batches, CHUNK, "html"):
-            cols: tuple[list, ...] = ([], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [])
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 parsed = Page(html or "")
                 content = xxhash.xxh3_64_intdigest(parsed.text().encode("utf-8", "replace")) >> 1
-                hashes = {0, *parsed.hashes()}
-                for c, v in zip(cols, ([page] * len(hashes), [host(url)] * len(hashes), [content] * len(hashes), hashes)):
+                hashes = {0: False} | {h: t in PARAGRAPHS for h, t in zip(parsed.hashes(), parsed.tags) if h}
+                n = len(hashes)
+                for c, v in zip(cols, ([page] * n, [host(url)] * n, [content] * n, hashes.values(), hashes)):
                     c.extend(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["page_id", "host", "content", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "host", "content", "paragraph", "hash"])
 
-    return pages.mapInArrow(run, "page_id long, host string, content long, hash long")
+    return pages.mapInArrow(run, "page_id long, host string, content long, paragraph boolean, hash long")
 
 
 def templates(found: DataFrame, share: float = SHARE, pages: int = PAGES) -> DataFrame:
     """host, hash of the subtrees that recur on that host."""
-    counts = found.groupBy("host", "hash").agg(F.countDistinct("content").alias("n")).filter(F.col("n") >= pages)
+    counts = found.groupBy("host", "hash").agg(F.countDistinct("content").alias("n"), F.max("paragraph").alias("paragraph")).filter(F.col("n") >= pages)
     hosts = counts.filter("hash = 0").select("host", F.col("n").alias("of"))
-    return counts.filter("hash <> 0").join(hosts, "host").filter(F.col("n") >= share * F.col("of")).select("host", "hash")
+    enough = (F.col("n") >= share * F.col("of")) & (~F.col("paragraph") | ((F.col("n") >= PARAGRAPH_PAGES) & (F.col("n") >= PARAGRAPH_SHARE * F.col("of"))))
+    return counts.filter("hash <> 0").join(hosts, "host").filter(enough).select("host", "hash")
 
 
 def extracted(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """page_id, url, text, n_chars, n_templates (subtrees deleted as the site's template)."""
+    """page_id, url, text, n_chars, n_templates (subtrees deleted as the site's template), template_chars (what they say)."""
     spark = pages.sparkSession
     bound_batches(spark)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     found = materialize(subtrees(source), "subtrees")
-    deleted = found.join(templates(found, share, least), ["host", "hash"]).groupBy("page_id").agg(F.collect_set("hash").alias("deleted"))
+    deleted = found.join(templates(found, share, least), ["host", "hash"]).groupBy(F.coalesce("page_id", F.lit(NO_ID)).alias("_page")).agg(F.collect_set("hash").alias("deleted"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -272,18 +289,20 @@ def extracted(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, CHUNK >> 2, "body"):
-            texts, gone = [], []
+            texts, gone, lost = [], [], []
             unpack = zstandard.ZstdDecompressor().decompress
             for body, hashes in zip(batch.column("body").to_pylist(), batch.column("deleted").to_pylist()):
                 parsed = Page("" if body is None else unpack(body).decode())
-                texts.append(parsed.text(set(hashes or ())))
+                text, n = parsed.parted(set(hashes or ()))
+                texts.append(text)
                 gone.append(len(hashes or ()))
-            cols = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars", "n_templates"])
+                lost.append(n)
+            cols = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (map(len, texts), gone, lost))]
+            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars", "n_templates", "template_chars"])
 
     # the pages move compressed
     small = source.mapInArrow(shrink, "page_id long, url string, body binary")
-    return small.join(deleted, "page_id", "left").select("page_id", "url", "body", "deleted").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_templates long")
+    return small.join(deleted, F.coalesce(small["page_id"], F.lit(NO_ID)) == deleted["_page"], "left").select("page_id", "url", "body", "deleted").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_templates long, template_chars long")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,14 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, column: str) -> DataFrame:
+    """df written as a table in the shared folder that is bucketed by a column, so that grouping and joining by it moves the other side only."""
+    spark, path = df.sparkSession, fresh(df.sparkSession, what)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

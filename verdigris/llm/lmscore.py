@@ -4,16 +4,21 @@ For a word w after its history h of n - 1 words, S(w | h) is count(h w) / count(
 ``SEEN`` times in the corpus, and ``BACKOFF`` times S(w | h without its first word) otherwise; a single word
 has count(w) / all words. A document's score is the sum of log10 S over its words.
 
-Texts become a table of batches: word hashes of each batch once, and the words as places in that list. From it
-each batch sends its distinct n-grams with their counts, partitioned by hash; every hash partition is a slice of
-the corpus count table, sums the counts, and answers each batch in the order of its question. The answers join the
-batches, where they are spread over the positions and summed per document. An n-gram crosses the
-network once per batch that has it, however often it occurs, and all partitions are alike in size.
-
-The order is a parameter. With it the n-grams sent grow, and with those the shuffle.
+Texts become a table of batches, bucketed by batch: word hashes of each batch once, and the words as places in that list.
+The counts are made order by order. A batch sends its distinct n-grams with their counts, partitioned by hash; every hash
+partition is a slice of the corpus count table of that order, sums the counts, and answers each batch in the order of its
+question. N-grams are only asked for where both n-grams one word shorter were seen ``SEEN`` times: no other can have been,
+so nothing is lost, and most rare n-grams are never sent. At last the answers join the batches, where they are spread
+over the positions and summed per document. An n-gram crosses the network once per batch that has it, however often it
+occurs, and all partitions are alike in size; rows, of a batch and a partition each, are never more than the n-grams sent.
+
+A row for every position and order, exploded and joined, would be the plainer form. It is about 780 million rows for each
+GB of Parquet, 12 GB before any join, which no disk budget here holds; so n-grams move by batch, in sorted arrays.
+N-grams are known by 64-bit hashes.
 
 Cases: null and empty texts have no words, sum 0 and no mean; repeated rows and ties are scored alike and counted
-each; an empty table gives an empty result; very long texts are a batch of their own; further columns are ignored.
+each; a null id keeps its row; an empty table gives an empty result; very long texts are a batch of their own; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import words as wd
-from verdigris.llm.common import bound_batches, materialize, table, text_or_empty
+from verdigris.llm.common import bound_batches, bucketed, materialize, table, text_or_empty
 from verdigris.llm.decontaminate import shard
 
-ORDER, SEEN, BACKOFF = 2, 2, 0.4
+ORDER, SEEN, BACKOFF = 3, 2, 0.4
+NO_ID = -(1 << 63)
 BATCH_TEXT, BUCKET_NGRAMS, STEP = 6 << 20, 1 << 21, 1 << 20
 
 
@@ -99,7 +105,7 @@ def batches_of(docs: DataFrame) -> DataFrame:
         if ids:
             yield send()
 
-    return docs.filter("doc_id is not null").mapInArrow(run, _BATCH)
+    return docs.mapInArrow(run, _BATCH)
 
 
 def _ngrams(h: np.ndarray, n: int) -> np.ndarray:
@@ -115,89 +121,123 @@ def _ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _questions(vocabulary: bytes, words: bytes, order: int, buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(n, bucket, sorted distinct n-gram hashes, counts) in order of n and bucket."""
-    h = _unpack_sorted(vocabulary)[_unpack(words, np.uint32)]
-    for n in range(1, order + 1):
-        g = _ngrams(h, n)
-        u, c = np.unique(g[g != 0], return_counts=True)
-        # the high bits choose the bucket, so that sorted hashes are in bucket order
-        cut = np.searchsorted(u, (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[1:-1].astype(np.uint64)) if buckets > 1 else []
-        for b, (x, y) in enumerate(zip(np.split(u, cut), np.split(c, cut))):
-            yield n, b, x, y
+class Counted:
+    """A batch, and the counts of its n-grams as far as they are known, by position."""
+
+    def __init__(self, vocabulary: bytes, words: bytes, seen: int):
+        self.vocabulary, self.place, self.seen = _unpack_sorted(vocabulary), _unpack(words, np.uint32), seen
+        self.hashes = self.vocabulary[self.place]
+        self.counts: list[np.ndarray] = []
+
+    def asked(self, n: int, inverse: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct n-grams to be counted, with their counts here, or with the place in them of each position of the third."""
+        if n == 1:
+            word = self.vocabulary != 0
+            at = np.flatnonzero(self.hashes)
+            own = self.place[at] - int(not word.all())  # the mark between texts is the first of the vocabulary
+            return self.vocabulary[word], own if inverse else np.bincount(own, minlength=int(word.sum())), at
+        g = _ngrams(self.hashes, n)
+        often = self.counts[n - 2] >= self.seen
+        at = np.flatnonzero((g != 0) & often & np.append(False, often[:-1]))
+        u, other = np.unique(g[at], return_inverse=inverse, return_counts=not inverse)
+        return u, other, at
+
+    def answered(self, n: int, totals: np.ndarray) -> None:
+        """totals: of asked(n), in its order."""
+        _, place, at = self.asked(n, True)
+        counts = np.zeros(len(self.hashes), np.int64)
+        counts[at] = totals[place]
+        self.counts.append(counts)
+
+    def told(self, answers: pa.Table, orders: int) -> None:
+        """answers: bucket, n, totals of the orders up to this one."""
+        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "totals")))) if len(answers) else []
+        for n in range(1, orders + 1):
+            parts = [np.ascontiguousarray(_unpack(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for k, _, b in rows if k == n]
+            self.answered(n, np.concatenate([np.zeros(0, np.int64), *parts]))
+
+
+_ASKED = "bucket int, batch long, n int, ngrams binary, counts binary"
+_TOLD = "batch long, bucket int, n int, totals binary"
+_SCORES = "doc_id long, n_words long, log10_sum double, n_backoff long"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _questions(batch: Counted, key: int, n: int, buckets: int) -> pa.Table:
+    """A row for each bucket that has n-grams of the batch."""
+    u, c, _ = batch.asked(n)
+    # the high bits choose the bucket, so that sorted hashes are in bucket order
+    cut = np.searchsorted(u, (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[1:-1].astype(np.uint64)) if buckets > 1 else []
+    rows = [(b, key, n, _pack_sorted(x), _pack(y.astype(np.uint32))) for b, (x, y) in enumerate(zip(np.split(u, cut), np.split(c, cut))) if len(x)]
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table({k: pa.array(v, t) for k, v, t in zip(_names(_ASKED), zip(*rows) if rows else [[]] * 5, types)})
+
+
+def _count(group: pa.Table) -> pa.Table:
+    """The count table of one bucket, and its answers."""
+    hashes = [_unpack_sorted(b) for b in group.column("ngrams").to_pylist()]
+    counts = [_unpack(b, np.uint32) for b in group.column("counts").to_pylist()]
+    _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    sums = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)[place]
+    answers = np.split(sums, np.cumsum([len(x) for x in hashes])[:-1])
+    packed = pa.array([_pack(a.view(np.uint8).reshape(-1, 8).T) for a in answers], pa.binary())
+    return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "n": group.column("n"), "totals": packed})
 
 
 def scored(docs: DataFrame, order: int = ORDER, seen: int = SEEN, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, log10_sum, log10_mean, n_backoff (words scored with less than the full history there was)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    corpus = materialize(batches_of(source), "batches")
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty("text").alias("text"))
+    corpus = bucketed(batches_of(source), "batches", "batch")
     total = corpus.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(1, -(-total * order // BUCKET_NGRAMS))
-
-    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for k, vocabulary, words in zip(*(batch.column(c).to_pylist() for c in ("batch", "vocabulary", "words"))):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for n, b, x, y in _questions(vocabulary, words, order, buckets):
-                    if len(x):
-                        for c, v in zip(out, (b, k, n, _pack_sorted(x), _pack(y.astype(np.uint32)))):
-                            c.append(v)
-                types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["bucket", "batch", "n", "ngrams", "counts"])
-
-    def count(group: pa.Table) -> pa.Table:
-        """The count table of one bucket, and its answers."""
-        hashes = [_unpack_sorted(b) for b in group.column("ngrams").to_pylist()]
-        counts = [_unpack(b, np.uint32) for b in group.column("counts").to_pylist()]
-        order_of = np.repeat(group.column("n").to_numpy(), [len(x) for x in hashes]).astype(np.uint64)
-        # hashes of different orders are kept apart by the order in the key
-        _, place = np.unique(wd.mix(np.concatenate(hashes) + order_of), return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)[place]
-        answers = np.split(sums, np.cumsum([len(x) for x in hashes])[:-1])
-        return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "n": group.column("n"), "totals": pa.array([_pack(a.astype(np.int64).view(np.uint8).reshape(-1, 8).T) for a in answers], pa.binary())})
-
-    questions = corpus.select("batch", "vocabulary", "words").mapInArrow(ask, "bucket int, batch long, n int, ngrams binary, counts binary")
-    answers = questions.groupBy("bucket").applyInArrow(count, "batch long, bucket int, n int, totals binary")
+    buckets = max(1, -(-total // BUCKET_NGRAMS))
+    batches, answers = corpus.groupBy("batch"), spark.createDataFrame([], _TOLD)
+
+    def ask(n: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = left.select(["batch", "vocabulary", "words"]).to_pylist()
+            out = []
+            for r in rows:
+                batch = Counted(r["vocabulary"], r["words"], seen)
+                batch.told(right, n - 1)
+                out.append(_questions(batch, r["batch"], n, buckets))
+            return pa.concat_tables(out)
+
+        return run
+
+    for n in range(1, order + 1):
+        questions = batches.cogroup(answers.groupBy("batch")).applyInArrow(ask(n), _ASKED)
+        # written, as the next order and the scores read it
+        answers = answers.unionByName(materialize(questions.groupBy("bucket").applyInArrow(_count, _TOLD), "answers"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = ([], [], [], [])
-        if len(left):
-            row = left.to_pylist()[0]
-            totals: dict[int, np.ndarray] = {}
-            for n in range(1, order + 1):
-                mine = sorted((r["bucket"], r["totals"]) for r in right.select(["bucket", "n", "totals"]).to_pylist() if r["n"] == n)
-                parts = [np.ascontiguousarray(_unpack(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for _, b in mine]
-                totals[n] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            h = _unpack_sorted(row["vocabulary"])[_unpack(row["words"], np.uint32)]
-            before: np.ndarray | None = None
-            value = np.zeros(len(h))
-            full = np.zeros(len(h), bool)
-            for n in range(1, order + 1):
-                g = _ngrams(h, n)
-                u = np.unique(g[g != 0])
-                counts = np.zeros(len(h), np.int64)
-                counts[g != 0] = totals[n][np.searchsorted(u, g[g != 0])]
-                if n == 1:
-                    value[g != 0] = np.log10(counts[g != 0] / total)
-                else:
-                    # count(h) is the count of the n - 1 words that end one place before
-                    history = np.concatenate([[1], before[:-1]])
-                    has, ok = g != 0, (g != 0) & (counts >= seen)
-                    value[has] += np.log10(backoff)
-                    value[ok] = np.log10(counts[ok] / history[ok])
-                    full[has & ~ok] = True
-                    full[ok] = False
-                before = counts
-            n_words = _unpack(row["counts"], np.int64)
-            at = np.repeat(np.arange(len(n_words)), n_words + 1)
-            word = h != 0
-            out = (_unpack(row["docs"], np.int64), n_words, np.bincount(at[word], weights=value[word], minlength=len(n_words)), np.bincount(at[word & full], minlength=len(n_words)))
-        return pa.table({k: pa.array(v, t) for k, v, t in zip(("doc_id", "n_words", "log10_sum", "n_backoff"), out, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))})
-
-    rows = corpus.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, n_words long, log10_sum double, n_backoff long")
-    return rows.select("doc_id", "n_words", "log10_sum", (F.col("log10_sum") / F.nullif(F.col("n_words"), F.lit(0))).alias("log10_mean"), "n_backoff")
+        row = left.to_pylist()[0]
+        batch = Counted(row["vocabulary"], row["words"], seen)
+        batch.told(right, order)
+        word = batch.hashes != 0
+        value, fewer = np.zeros(len(word)), np.zeros(len(word), bool)
+        for n, counts in enumerate(batch.counts, 1):
+            if n == 1:
+                value[word] = np.log10(counts[word] / total)
+                continue
+            has = _ngrams(batch.hashes, n) != 0
+            ok = np.flatnonzero(counts >= seen)
+            # the n - 1 words before are those that end one place before
+            value[has] += np.log10(backoff)
+            value[ok] = np.log10(counts[ok] / batch.counts[n - 2][ok - 1])
+            fewer[has] = True
+            fewer[ok] = False
+        n_words = _unpack(row["counts"], np.int64)
+        at = np.repeat(np.arange(len(n_words)), n_words + 1)
+        out = (_unpack(row["docs"], np.int64), n_words, np.bincount(at, weights=np.where(word, value, 0.0), minlength=len(n_words)), np.bincount(at[word & fewer], minlength=len(n_words)))
+        return pa.table({k: pa.array(v, t) for k, v, t in zip(_names(_SCORES), out, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))})
+
+    rows = batches.cogroup(answers.groupBy("batch")).applyInArrow(score, _SCORES)
+    return rows.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words", "log10_sum", (F.col("log10_sum") / F.nullif(F.col("n_words"), F.lit(0))).alias("log10_mean"), "n_backoff")
 
 
 def _query(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
@@ -209,12 +249,17 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, ORDER)
 
 
+def op2_lm_scoring_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one word of context."""
+    return _query(spark, sf_dir, 2)
+
+
 def op2_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with two words of context, and two steps of backoff."""
+    """The production query by the name that says its order."""
     return _query(spark, sf_dir, 3)
 
 
-ORACLE = r"""
+ORACLE_BIGRAMS = r"""
 WITH w AS (
   SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents)),

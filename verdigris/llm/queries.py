@@ -8,7 +8,7 @@ from verdigris.llm.decontaminate import op4_benchmark_decontamination
 from verdigris.llm.html import op1_html_extraction
 from verdigris.llm.jaccard import op6_ngram_jaccard_join
 from verdigris.llm.langid import op8_language_id
-from verdigris.llm.lmscore import op2_lm_scoring, op2_lm_scoring_trigrams
+from verdigris.llm.lmscore import op2_lm_scoring, op2_lm_scoring_bigrams, op2_lm_scoring_trigrams
 from verdigris.llm.neighbours import op7_nearest_neighbours
 from verdigris.llm.packing import op10_best_fit_packing
 from verdigris.llm.pii import op5_pii_sanitisation
@@ -19,6 +19,7 @@ QUERIES = {
     for f in (
         op1_html_extraction,
         op2_lm_scoring,
+        op2_lm_scoring_bigrams,
         op2_lm_scoring_trigrams,
         op3_suffix_array_dedup,
         op4_benchmark_decontamination,
@@ -30,4 +31,4 @@ QUERIES = {
         op10_best_fit_packing,
     )
 }
-ORACLES = {"op2_lm_scoring": lmscore.ORACLE, "op2_lm_scoring_trigrams": lmscore.ORACLE_TRIGRAMS, "op9_chat_formatting": chat.ORACLE}
+ORACLES = {"op2_lm_scoring": lmscore.ORACLE_TRIGRAMS, "op2_lm_scoring_bigrams": lmscore.ORACLE_BIGRAMS, "op2_lm_scoring_trigrams": lmscore.ORACLE_TRIGRAMS, "op9_chat_formatting": chat.ORACLE}

@@ -103,11 +103,11 @@ def test_personal_data(docs, texts):
 def test_disclosing_terms(spark):
     rows = [(k, f"contact zorblatt office word{k} at help@corp.example now or {k}") for k in range(6)] + [(100 + k, f"common office text number{k} contact now") for k in range(60)] + [(200, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("terms", F.lit("clash"))
-    out = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.sanitised(docs, term_chars=3).collect()}
     assert out[1] == "contact  office 1 at [EMAIL] now or 1"  # zorblatt and word occur with the address alone
     assert out[100] == rows[6][1] and out[200] is None
     assert pii.sanitised(docs).columns == docs.columns
-    spans = by_id(pii.detected(docs.select("doc_id", "text")).select("doc_id", pii._joined(F.concat("base", "terms")).alias("s")), "s")
+    spans = by_id(pii.detected(docs.select("doc_id", "text"), term_chars=3).select("doc_id", pii._joined(F.concat("base", "terms")).alias("s")), "s")
     assert spans[1] == "email:33:50,term:8:16,term:24:28"
 
 

@@ -50,7 +50,7 @@ PATTERNS = {
     "secret": r"(?i)(?:(?<=token)|(?<=secret)|(?<=passw(?:or)?d)|(?<=api[_-]?key))[\"']?[ \t]*[=:][ \t]*[\"']?[A-Za-z0-9+/_-]{16,}+",
 }
 #: A cheap test of whether a pattern can match at all.
-GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "secret": "(?i)(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?[ \t]*[=:]"}
+GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": "+", "secret": "[=:][ \t]*[\"']?[A-Za-z0-9+/_-]{16}"}
 _SPAN = "struct<kind:int,start:bigint,end:bigint,value:string>"
 
 
@@ -112,21 +112,22 @@ def secret_spans(text: Column) -> Column:
 
 
 def _of_kind(text: Column, k: int, kind: str) -> Column:
-    gate = F.contains(text, F.lit(GATES[kind])) if kind == "email" else text.rlike(GATES[kind])
+    gate = F.contains(text, F.lit(GATES[kind])) if len(GATES[kind]) == 1 else text.rlike(GATES[kind])
     found = F.when(gate, _matches(text, PATTERNS[kind]))
     kept = F.filter(found, lambda m: _valid(kind, m["value"]))
     spans = F.transform(kept, lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
     return F.coalesce(spans, F.array().cast(f"array<{_SPAN}>"))
 
 
-def _terms(text: Column, base: Column, term_chars: int) -> Column:
-    """The distinct terms of a text, outside its base spans."""
-    gaps = F.transform(base, lambda s: F.struct(F.lit(TERM).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("value")))
-    rest = F.lower(F.when(F.size(base) > 0, redacted(text, gaps)).otherwise(text))
-    words = F.split(rest, f"[^{WORD}]+")
+def _terms(found: DataFrame, term_chars: int, *keep: str) -> DataFrame:
+    """The columns in keep, and the distinct terms of each text outside its spans. found: text, base, the columns in keep."""
+    gaps = F.transform("base", lambda s: F.struct(F.lit(TERM).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("value")))
+    rest = found.select(*keep, F.lower(F.when(F.size("base") > 0, redacted(F.col("text"), gaps)).otherwise(F.col("text"))).alias("rest"))
+    words = F.split("rest", f"[^{WORD}]+")
     # of words with digits also the letters
-    parts = F.when(rest.rlike(r"\p{N}"), F.split(rest, f"[^{LETTERS}]+")).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.array_distinct(F.concat(words, parts)), lambda t: F.length(t) >= term_chars)
+    every = F.when(F.col("rest").rlike(r"\p{N}"), F.concat(words, F.split("rest", f"[^{LETTERS}]+"))).otherwise(words)
+    terms = F.array_remove(F.array_distinct(every), "")
+    return rest.select(*keep, (F.filter(terms, lambda t: F.length(t) >= term_chars) if term_chars > 1 else terms).alias("terms"))
 
 
 def _entities(span: Column) -> Column:
@@ -147,7 +148,8 @@ def holders_of(found: DataFrame, term_chars: int) -> DataFrame:
     rows = found.filter(F.size("base") > 0)
     texts = rows.select(F.xxhash64("text").alias("same"), "text", "base").dropDuplicates(["same"])
     copies = rows.groupBy(F.xxhash64("text").alias("same")).agg(F.count("*").alias("copies"))
-    return texts.join(copies, "same").select("same", "copies", F.array_distinct(F.flatten(F.transform("base", _entities))).alias("entities"), _terms(F.col("text"), F.col("base"), term_chars).alias("terms"))
+    named = texts.join(copies, "same").withColumn("entities", F.array_distinct(F.flatten(F.transform("base", _entities))))
+    return _terms(named, term_chars, "same", "copies", "entities")
 
 
 def _merged(rows: DataFrame, what: str, *also: str) -> DataFrame:
@@ -163,10 +165,10 @@ def scored_terms(holders: DataFrame, found: DataFrame, term_chars: int) -> tuple
     named = holders.select("same", "copies", F.explode("entities").alias("entity"))
     entities = materialize(_merged(named, "entity"), "entities")
     held = named.join(entities.filter("entity = class").select("entity", F.col("n").alias("n_entity")), "entity")
-    said = holders.select("same", "copies", F.explode(F.transform("terms", lambda t: F.xxhash64(t))).alias("h"))
+    said = holders.select("same", "copies", F.explode("terms").alias("term")).select("same", "copies", F.xxhash64("term").alias("h"))
     often = said.groupBy("h").agg(F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT).select("h")
     # a term counts for as many documents as hold it, over the whole corpus
-    in_docs = found.select(F.explode(F.transform(_terms(F.col("text"), F.col("base"), term_chars), lambda t: F.xxhash64(t))).alias("h")).groupBy("h").agg(F.count("*").alias("n_term"))
+    in_docs = _terms(found, term_chars).select(F.explode("terms").alias("term")).groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("n_term"))
     terms = materialize(_merged(said.join(in_docs.join(often, "h", "left_semi"), "h"), "h", "n_term"), "terms")
     mine = said.join(terms.filter("h = class").select("h", "n_term"), "h").drop("copies")
     both = held.join(mine, "same").groupBy("entity", "h", "n_entity", "n_term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)

@@ -18,9 +18,13 @@ already and need no further product. What is left are rows of one star in differ
 cut into tiles, each two tiles are multiplied in a task, and a row for each two components that are found
 to be linked comes out, so no link between components is lost.
 
+A set's signature is a 63-bit hash. A second one of 64 bits is kept beside it: where two different sets have one signature,
+all with that signature are signed anew by another hash.
+
 Cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; with
 fewer words than a shingle the whole sequence is one shingle; repeated rows and ties are in one
-class, whose smallest id counts; a null id keeps its row with a null component; an empty table gives an
+class, whose smallest id counts; rows that share an id and differ in text are told apart; a row with a null id has the
+component of its class, null if no row of it has an id; very long texts are sets like others; an empty table gives an
 empty result; further columns are ignored.
 """
 
@@ -31,7 +35,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.llm import words as wd
@@ -66,9 +69,15 @@ def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> int:
-    """A 63-bit hash of a set."""
-    return int(wd.mix(np.array([wd.mix(s + np.uint64(0x51ED270B)).sum() + np.uint64(len(s))], np.uint64))[0] >> np.uint64(1))
+def signature(s: np.ndarray, met: frozenset[int] = frozenset()) -> int:
+    """A 63-bit hash of a set; another one for signatures that different sets have been met with."""
+    first = int(wd.mix(np.array([wd.mix(s + np.uint64(0x51ED270B)).sum() + np.uint64(len(s))], np.uint64))[0] >> np.uint64(1))
+    return check(s) >> 1 & (1 << 63) - 1 if first in met else first
+
+
+def check(s: np.ndarray) -> int:
+    """A signed 64-bit hash of a set, by other numbers than its signature."""
+    return int(wd.mix(np.array([wd.mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
 class Ranges:
@@ -126,21 +135,23 @@ def block_keys(s: np.ndarray, ranges: Ranges) -> np.ndarray:
 
 def _source(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    text = text_or_empty("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, sig of every row (sig is null for an empty set)."""
+def signatures(docs: DataFrame, n: int = SHINGLE, met: frozenset[int] = frozenset()) -> DataFrame:
+    """doc_id, row (hash of the text), n_shingles, sig, check of every row (sig is null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, CHUNK):
             sets = shingle_sets([t.encode() for t in batch.column("text").to_pylist()], n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "sig"])
+            cols = ([len(s) for s in sets], [signature(s, met) if len(s) else None for s in sets], [check(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "row", "n_shingles", "sig", "check"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, n_shingles long, sig long")
+    return _source(docs).mapInArrow(run, "doc_id long, row long, n_shingles long, sig long, check long")
 
 
-def keyed(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def keyed(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, met: frozenset[int] = frozenset()) -> DataFrame:
     """key, sig: the column blocks of every set; a task sends a set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +159,7 @@ def keyed(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFram
         for batch in pieces(batches, CHUNK):
             keys, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in shingle_sets([t.encode() for t in batch.column("text").to_pylist()], n):
-                if len(s) and (sig := signature(s)) not in seen:
+                if len(s) and (sig := signature(s, met)) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(sig)
@@ -160,15 +171,14 @@ def keyed(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFram
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """sig, shingles (sorted 64-bit values) of the wanted (doc_id, sig)."""
+    """sig, shingles (sorted 64-bit values) of the wanted (row, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, CHUNK):
             sets = shingle_sets([t.encode() for t in batch.column("text").to_pylist()], n)
-            ok = [i for i, (s, sig) in enumerate(zip(sets, batch.column("sig").to_pylist())) if len(s) and signature(s) == sig]
-            yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(ok, pa.int64())), pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "shingles"])
 
-    return _source(docs).join(wanted, "doc_id").mapInArrow(run, "sig long, shingles binary").dropDuplicates(["sig"])
+    return _source(docs).join(wanted, "row").select("sig", "text").mapInArrow(run, "sig long, shingles binary").dropDuplicates(["sig"])
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -227,16 +237,25 @@ def products(rows: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataF
     return blocks.groupBy("star", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set), component_id of every row."""
+def signed(docs: DataFrame, n: int) -> tuple[DataFrame, frozenset[int]]:
+    """The signatures, and those that had to be replaced as different sets had them."""
     rows = materialize(signatures(docs, n), "signatures")
-    classes = materialize(rows.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id")), "classes")
-    by_key = W.partitionBy("key")
-    shared = keyed(docs, n, percent).withColumns({"star": F.min("sig").over(by_key), "most": F.max("sig").over(by_key)}).filter("star <> most")
+    odd = rows.filter("sig is not null").groupBy("sig").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high")
+    met = frozenset(r["sig"] for r in odd.select("sig").toLocalIterator())  # hardly ever one: it takes about 3,000,000,000 sets
+    return (materialize(signatures(docs, n, met), "signatures") if met else rows), met
+
+
+def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and sig, part (equal for what is linked) of all sets that aren't empty."""
+    rows, met = signed(docs, n)
+    classes = materialize(rows.filter("sig is not null").groupBy("sig").agg(F.min("row").alias("row")), "classes")
+    # a key's least and greatest set by partial sums, then a join that Spark can split: any share of the sets may have one block
+    keys = keyed(docs, n, percent, met)
+    common = keys.groupBy("key").agg(F.min("sig").alias("star"), F.max("sig").alias("most")).filter("star <> most").select("key", "star")
     # rows that share a block share its star
-    stars = materialize(shared.filter("sig <> star").select("star", "sig").distinct(), "stars")
+    stars = materialize(keys.join(common, "key").filter("sig <> star").select("star", "sig").distinct(), "stars")
     members = stars.union(stars.select("star", F.col("star").alias("sig")).distinct())
-    wanted = members.select("sig").distinct().join(classes, "sig").select(F.col("class_id").alias("doc_id"), "sig")
+    wanted = members.select("sig").distinct().join(classes, "sig").select("row", "sig")
     sets = materialize(sets_of(docs, wanted, n), "sets")
     links = materialize(overlaps(stars.select(F.col("star").alias("a"), F.col("sig").alias("b")), sets, percent), "links")
     known = components(links)
@@ -246,19 +265,32 @@ def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, tile: int
     open_stars = labelled.groupBy("star").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("rows")).filter("low <> high and rows > 2").select("star")
     open_rows = materialize(labelled.join(open_stars, "star", "left_semi"), "open")
     parts = components(links.unionByName(products(open_rows.join(sets, "sig"), percent, tile)))
+    return rows, classes.join(parts, classes["sig"] == parts["node"], "left").select("sig", F.coalesce("component", "sig").alias("part"))
+
+
+def joined(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with the same set), component_id of every row."""
+    rows, parts = linked(docs, n, percent, tile)
+    ids = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
     # signatures are unordered labels; the smallest id of a component is its name
-    of_class = classes.join(parts, classes["sig"] == parts["node"], "left").select("sig", "class_id", F.coalesce("component", "sig").alias("part"))
+    of_class = ids.join(parts, "sig")
     names = of_class.groupBy("part").agg(F.min("class_id").alias("name"))
     named = of_class.join(names, "part").select("sig", "class_id", F.col("name").alias("component_id"))
     return rows.join(named, "sig", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest id, with the same columns; rows without an id stay."""
-    kept = joined(docs.select("doc_id", "text"), n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = W.partitionBy("doc_id").orderBy("text")
-    stay = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").drop("_copy")
-    return stay.unionByName(docs.filter("doc_id is null"))
+    """One row of each component, the one with the smallest id (rows without an id come last), with the same columns; rows without words stay."""
+    text, own = text_or_empty("text"), F.col("doc_id").cast("long")
+    named = docs.select(F.col("doc_id"), "text")
+    rows, parts = linked(named, n, percent)
+    nobody, key = (1 << 63) - 1, ["_id", "_row"]
+    kept = rows.join(parts, "sig").groupBy("part").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(nobody)).alias("_id"), F.col("row").alias("_row"))).alias("k")).select("k._id", "k._row").distinct()
+    keyed_docs = docs.withColumns({"_id": F.coalesce(own, F.lit(nobody)), "_row": F.xxhash64(text)})
+    some = F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]"))
+    # rows that repeat id and text are copies of each other
+    stay = keyed_docs.filter(some).join(kept, key, "left_semi").dropDuplicates(key)
+    return stay.unionByName(keyed_docs.filter(~some)).drop(*key).select(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

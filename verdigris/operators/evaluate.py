@@ -92,38 +92,28 @@ def token_logprobs(tokens: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
-def _balanced(text: str) -> tuple[str | None, str]:
-    """The JSON of an answer, as text, and an error code ('' if it was found plainly)."""
-    for opening, closing in ("{}", "[]"):
-        first = text.find(opening)
-        if first < 0:
-            continue
-        depth, inside, escaped = 0, False, False
-        for i, c in enumerate(text[first:], first):
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                inside = not inside
-            elif not inside and c in (opening, closing):
-                depth += 1 if c == opening else -1
-                if depth == 0:
-                    try:
-                        return json.dumps(json.loads(text[first : i + 1]), ensure_ascii=False), ""
-                    except ValueError:
-                        return None, "json_decode_fail"
-        break
-    return None, "no_json_found"
+def _embedded(text: str) -> tuple[str, str]:
+    """The JSON value that starts at an answer's first brace, or else at its first bracket, as text, and an error code ('' if there is one)."""
+    starts = [at for at in (text.find("{"), text.find("[")) if at >= 0]
+    if not starts:
+        return "", "no_json_found"
+    try:
+        value, _ = json.JSONDecoder().raw_decode(text, starts[0])
+    except json.JSONDecodeError as e:
+        # an answer that was cut off ends inside its value; anything else is a value that isn't JSON
+        rest, pair = text[starts[0] :].rstrip(), "{}" if text[starts[0]] == "{" else "[]"
+        cut = e.pos >= starts[0] + len(rest) or e.msg.startswith("Unterminated") or rest.count(pair[1]) < rest.count(pair[0])
+        return "", "no_json_found" if cut else "json_decode_fail"
+    return json.dumps(value, ensure_ascii=False), ""
 
 
 @F.pandas_udf(StringType())
 def _scan(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: "\x1f".join(x or "" for x in _balanced(t)))
+    return text.map(lambda t: "\x1f".join(_embedded(t)))
 
 
 def extracted_json(outputs: DataFrame, column: str) -> DataFrame:
-    """Adds parsed (JSON text or null) and error. Whole answers are parsed natively; only the residue is scanned for balanced brackets."""
+    """Adds parsed (JSON text or null) and error. Whole answers are parsed natively; only the residue is searched for a value among other text."""
     c = F.col("_clean")
     df = outputs.withColumn("_clean", T.unfenced(F.col(column)))
     whole = F.try_parse_json(c)

@@ -5,14 +5,16 @@ positions of its words in the order of the words that follow, ``window`` words d
 between documents so that no match crosses them. Suffixes that share no leading words with any
 test suffix can't be found by any search and are left out before sorting. Every test suffix is
 then binary-searched in the array of every shard; the range it falls in holds the documents and
-places of its matches, which are extended to the longest verbatim match where asked for.
+places of its matches, which are extended word by word to the longest verbatim match. Of each document the longest is
+reported with its item and its places in both, the first of equal ones; ``longest_matches`` lists all.
 
 The benchmark is the query set: it goes to the tasks in blocks of at most ``BLOCK_BYTES``
 (one broadcast each, size checked), and what the blocks find in a document is merged by document.
 
 Cases: null or empty texts have no words and no hits; an item of fewer words than a window is one
-window, an item without words none; repeated items and documents each count; empty tables give
-empty results or documents without hits; further columns of the inputs are ignored.
+window, an item without words none; repeated items and documents each count; documents with repeated or null ids are rows like
+others, items with null ids are left out; very long texts are shards of their own; empty tables give
+empty results or documents without hits; further columns of documents are kept, except for those named like a result.
 """
 
 from __future__ import annotations
@@ -131,6 +133,17 @@ class Tests:
             b[live] += 1
         return n
 
+    def longest(self, s: Shard, test: np.ndarray, place: np.ndarray) -> dict[int, tuple]:
+        """(words, item, word of the item, word of the text) of the longest match of each text of the shard."""
+        n, owner = self.extended(s, test, place), s.text[place]
+        order = np.lexsort((self.at[test], place, -n, owner))
+        first = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
+        begins = np.full(len(self.names), len(self.words), np.int64)
+        np.minimum.at(begins, self.owner, self.at)
+        item = self.owner[test[first]]
+        cols = (n[first], [self.names[i] for i in item], self.at[test[first]] - begins[item], place[first] - s.first[owner[first]])
+        return {int(i): (int(a), b, int(c), int(d)) for i, a, b, c, d in zip(owner[first], *cols)}
+
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
     """The items in blocks of bounded size; a longer item is a block of its own."""
@@ -179,7 +192,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id string, item_word long, doc_word long, n_words long")
 
 
-REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, item_word long, doc_word long"
 
 
 def _digest(n_words: int, n_hit: int, items: list[str]) -> tuple:
@@ -194,7 +207,7 @@ def _covered(test: np.ndarray, place: np.ndarray, s: Shard, tests: Tests) -> np.
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of docs and n_words, n_hit, n_items, items_sha256, contaminated."""
+    """All columns of docs and n_words, n_hit, n_items, items_sha256, contaminated, and words, item and places of the longest verbatim match."""
     spark = docs.sparkSession
     bound_batches(spark)
     own = [c for c in docs.columns if c not in {x.split()[0] for x in REPORT.split(", ")}]
@@ -208,6 +221,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         for batch in pieces(batches, CHUNK):
             s = shard([(t or "").encode() for t in batch.column("text").to_pylist()])
             found: list[set[str]] = [set() for _ in s.first]
+            longest: list[tuple] = [(0, None, None, None)] * len(found)
             hit = np.zeros(len(s.hashes), bool)
             for block in held:
                 tests = single or Tests(block.value, window)
@@ -217,11 +231,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     pairs = np.unique(s.text[place] * len(tests.names) + tests.owner[test])
                     for p in pairs.tolist():
                         found[p // len(tests.names)].add(tests.names[p % len(tests.names)])
+                    for i, row in tests.longest(s, test, place).items():
+                        longest[i] = max(longest[i], row, key=lambda r: r[0])
                 if not single:
                     vars(block).pop("_value", None)  # this task's copy; it is read again from the broadcast's file
             n_hit = np.bincount(s.text[hit], minlength=len(found))
-            rows = [_digest(int(n), int(k), list(items)) for n, k, items in zip(s.counts, n_hit, found)]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+            rows = [(*_digest(int(n), int(k), list(items)), *row) for n, k, items, row in zip(s.counts, n_hit, found, longest)]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=[*batch.schema.names, *(x.split()[0] for x in REPORT.split(", "))])
 
     return source.mapInArrow(run, f"{kinds}, {REPORT}")
@@ -229,7 +245,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones, with the same columns."""
-    return contamination(docs, benchmark).filter(~F.col("contaminated")).select(*docs.columns)
+    names = {x.split()[0] for x in REPORT.split(", ")}
+    own = {c: f"_own_{c}" for c in docs.columns if c in names}
+    kept = contamination(docs.withColumnsRenamed(own), benchmark).filter(~F.col("contaminated")).drop(*names)
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ their length, which is counted in salted groups: one length may hold any share o
 Token ids are those of the tokenizer of byte_bpe_50k.json without special tokens added around a text: an added token of
 that file (<|endoftext|>) that stands inside a text is its one id there too, and the parts beside it are encoded alone.
 
-Cases: a null text is an empty one and still has the end token; repeated rows are packed each;
-an empty table gives an empty result; further columns of the input are ignored.
+Cases: a null text is an empty one and still has the end token; repeated rows, and rows with repeated or null ids, are packed
+each; a very long text is cut into pieces; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import bound_batches, materialize, table, text_or_empty
 
-CAPACITY, SALTS = 2048, 64
+CAPACITY, SALTED = 2048, 1 << 20
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -162,17 +162,19 @@ def slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, in
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a table with doc_id, piece and length."""
     spark = parts.sparkSession
-    # at most capacity * SALTS rows
-    counts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))).groupBy("length", "salt").agg(F.count("*").alias("n"))
+    # at most capacity rows reach the driver
+    lengths = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    # salts of about SALTED rows each, as many as a length needs
+    salts = spark.createDataFrame([(n, max(1, -(-c // SALTED))) for n, c in lengths.items()], "length long, salts long")
+    salted = parts.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("salts"))).drop("salts")
+    # as many rows as there are salts, a row for each SALTED pieces and length at most
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("ranks_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # at most capacity rows reach the driver
-    lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.createDataFrame(slots(plan(lengths, capacity)), "length long, lo long, hi long, sequence long, times long, at long")
     ranked = (
-        parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-        .withColumn("in_salt", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-        .join(F.broadcast(offsets.select("length", "salt", "ranks_before")), ["length", "salt"])
+        salted.withColumn("in_salt", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
+        .join(offsets.select("length", "salt", "ranks_before"), ["length", "salt"])
         .withColumn("rank", F.col("in_salt") + F.col("ranks_before"))
     )
     placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).drop(places["length"])

@@ -1,7 +1,8 @@
 """A training corpus from raw documents: language, near duplicates, contamination, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
-return the columns of documents.
+return the columns of documents, also where these are named like columns that an operator adds. An empty table
+goes through every stage as an empty one. What each does with odd rows stands in its docstring.
 """
 
 from __future__ import annotations
@@ -20,27 +21,41 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a recognisable language go: null and empty texts, and texts without a letter.
+
+    Short, mixed and ambiguous texts stay, with whatever language is nearest. Rows with repeated or null ids are judged each by
+    their text. Where no row has a language to learn from, texts with letters stay, and a warning says so.
+    """
     return accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the smallest id (null ids come last).
+
+    Rows that share an id and differ in text are different documents; texts without words are in no group and stay; texts of fewer
+    than five words are near copies where all their words are the same.
+    """
     return deduplicated(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages in a twentieth of their words or more go.
+
+    Null and empty texts hold nothing and stay; items with null ids or without words match nothing; with an empty benchmark all stay.
+    """
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that reveal it leave the texts."""
+    """Personal data, secrets and the terms that reveal them leave the texts; no document goes.
+
+    Null texts stay null; rows with repeated or null ids are changed each by their own text; texts without matches are never changed.
+    """
     return sanitised(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences of the corpus, one row per piece of a document."""
+    """The sequences of the corpus, one row per piece of a document; a null or empty text is a piece with the end token alone."""
     return packed(docs)
 
 

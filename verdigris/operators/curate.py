@@ -87,6 +87,21 @@ def benchmark_entries(df: DataFrame) -> DataFrame:
     )
 
 
+#: The fields of a candidate's summary for a judge, with their types.
+SUMMARY = (
+    ("dislike_turn_id", "int"), ("source_query_turn_id", "int"), ("source_query_text", "string"), ("agent_response_preview", "string"), ("failure_dimension", "string"), ("scenario", "string"), ("signal_type", "string"), ("signal_confidence", "string"),
+    ("sentiment", "string"), ("complaint_snippet", "string"), ("explanation", "string"), ("user_reaction_after_failure", "string"), ("recovery_attempted", "boolean"), ("recovery_successful", "boolean"), ("representativeness", "string"), ("confidence", "double"),
+)
+
+
+def candidate_summary(df: DataFrame, index: str = "idx", preview: int = 200) -> Column:
+    """A candidate as a JSON text of its index and the fields of SUMMARY; those that df lacks are null, and the answer is cut."""
+    value = lambda c, kind: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
+    cut = F.substring(F.coalesce(value("agent_response_preview", "string"), F.lit("")), 1, preview)
+    fields = [(cut if c == "agent_response_preview" else value(c, kind)).alias(c) for c, kind in SUMMARY]
+    return F.to_json(F.struct(F.coalesce(value(index, "int"), F.lit(0)).alias("candidate_index"), *fields), {"ignoreNullFields": "false"})
+
+
 def track(df: DataFrame) -> Column:
     signal, dislike = F.col("signal_type"), F.col("signal_type") == "dislike"
     explicit = signal.isin(L.EXPLICIT_SIGNALS) | (dislike & (F.col("sentiment") == "explicit"))

@@ -49,7 +49,7 @@ def stratified(df: DataFrame, type_column: str, id_column: str, target: int, sce
 
 def balanced(df: DataFrame, side: str, id_column: str, n: int, used: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """n records of each side in a seeded random order, without those used before; a side that is short takes used ones after all."""
-    order = F.xxhash64(F.lit(seed), F.col(id_column))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_column)))
     out = df.withColumn("_used", F.lit(0))
     if used is not None:
         out = df.join(used.select(id_column).distinct().withColumn("_u", F.lit(1)), id_column, "left").withColumn("_used", F.coalesce("_u", F.lit(0))).drop("_u")

@@ -51,7 +51,8 @@ def with_neighbours(turns: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    """Null texts are pairs that are decided already."""
+    return pd.Series([None if x is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
 def sequence_similarity(pairs: DataFrame, a: str, b: str, name: str, thresholds: tuple[float, ...] = ()) -> DataFrame:
@@ -128,12 +129,14 @@ def reactions(turns: DataFrame, complaint: str | None = None, group: int = 0, di
     if similarity == "exact":
         some = sequence_similarity(rows.filter(compared), "_a", "_b", "_s")
         return _labelled(rows.filter(~compared).withColumn("_s", F.lit(0.0)).unionByName(some), F.greatest(j, F.col("_s")), True)
-    long, bound = F.length(T.strip(F.col("text"))) > 4, T.ratio_bound(F.col("_a"), F.col("_b"))
+    # lengths alone bound the similarity; one branch, so that the windows before are computed once
+    a, b, long = F.length("_a"), F.length("_b"), F.length(T.strip(F.col("text"))) > 4
+    bound = F.coalesce(2.0 * F.least(a, b) / F.nullif(a + b, F.lit(0)), F.lit(0.0))
     best = F.greatest(j, bound)
-    decided = ~compared | ~long | (j > 0.80) | ((j > 0.45) & (bound <= 0.80)) | ((j >= 0.15) & (best <= 0.45)) | (best < 0.15)
-    rows = rows.withColumn("_decided", decided)
-    open_rows = sequence_similarity(rows.filter(~F.col("_decided")), "_a", "_b", "_s")
-    return _labelled(rows.filter("_decided").withColumn("_s", F.lit(0.0)).unionByName(open_rows), F.greatest(j, F.col("_s")), False)
+    decided = ~compared | ~long | (j > 0.80) | ((j > 0.45) & (bound <= 0.80)) | ((j >= 0.15) & (best <= 0.45)) | (best < 0.15) | (a == 0) | (b == 0) | (F.col("_a") == F.col("_b"))
+    rows = rows.withColumn("_open", ~decided)
+    ratio = _ratio(F.when(F.col("_open"), F.col("_a")), F.when(F.col("_open"), F.col("_b")))
+    return _labelled(rows.withColumn("_s", F.coalesce(ratio, F.lit(0.0))), F.greatest(j, F.col("_s")), False)
 
 
 def complaints(turns: DataFrame, complaint: str | None = None, group: int = 0) -> DataFrame:

@@ -107,11 +107,34 @@ def p30(spark, d):
     )
 
 
-@query("p29_candidate_summaries")
+@query(
+    "p29_candidate_summaries",
+    """SELECT c.cid, c.idx, md5(concat('{"candidate_index":', c.idx, ',"dislike_turn_id":', c.dislike_turn_id, ',"source_query_turn_id":', c.source_query_turn_id, ',"source_query_text":', coalesce(to_json(q.message)::VARCHAR, 'null'),
+        ',"agent_response_preview":', to_json(substring(coalesce(a.message, ''), 1, 200))::VARCHAR, ',"failure_dimension":"', c.failure_dimension, '","scenario":"', ['writing', 'coding', 'chat'][(c.n % 3 + 1)::INT],
+        '","signal_type":"dislike","signal_confidence":"', CASE WHEN c.n % 2 = 0 THEN 'high' ELSE 'low' END, '","sentiment":"explicit","complaint_snippet":null,"explanation":"turn ', c.n, '","user_reaction_after_failure":', CASE WHEN c.n % 4 = 0 THEN 'null' ELSE '"repeat"' END,
+        ',"recovery_attempted":', (c.n % 2 = 0)::VARCHAR, ',"recovery_successful":', (c.n % 6 = 0)::VARCHAR, ',"representativeness":"', CASE WHEN c.n % 5 = 0 THEN 'low' ELSE 'high' END, '","confidence":', c.confidence, '}')) AS summary
+    FROM candidates c LEFT JOIN turns a ON a.cid = c.cid AND a.turn_index = c.dislike_turn_id LEFT JOIN turns q ON q.cid = c.cid AND q.turn_index = c.source_query_turn_id""",
+)
 def p29(spark, d):
-    c = X.candidates(spark, d).join(X.turns(spark, d).select("cid", F.col("turn_index").alias("dislike_turn_id"), "message"), ["cid", "dislike_turn_id"], "left")
-    body = F.struct(F.col("idx").alias("candidate_index"), "dislike_turn_id", "source_query_turn_id", F.substring(F.coalesce("message", F.lit("")), 1, 200).alias("agent_response_preview"), "failure_dimension", "confidence")
-    return c.select("cid", "idx", F.to_json(body).alias("summary"))
+    said = X.turns(spark, d).select("cid", "turn_index", "message")
+    answer = said.select("cid", F.col("turn_index").alias("dislike_turn_id"), F.col("message").alias("agent_response_preview"))
+    asked = said.select("cid", F.col("turn_index").alias("source_query_turn_id"), F.col("message").alias("source_query_text"))
+    c = X.candidates(spark, d).join(answer, ["cid", "dislike_turn_id"], "left").join(asked, ["cid", "source_query_turn_id"], "left")
+    n = F.col("n")
+    mined = c.withColumns(
+        {
+            "scenario": F.element_at(F.array(*map(F.lit, ("writing", "coding", "chat"))), (n % 3 + 1).cast("int")),
+            "signal_type": F.lit("dislike"),
+            "signal_confidence": F.when(n % 2 == 0, "high").otherwise("low"),
+            "sentiment": F.lit("explicit"),
+            "explanation": F.concat(F.lit("turn "), n),
+            "user_reaction_after_failure": F.when(n % 4 != 0, "repeat"),
+            "recovery_attempted": n % 2 == 0,
+            "recovery_successful": n % 6 == 0,
+            "representativeness": F.when(n % 5 == 0, "low").otherwise("high"),
+        }
+    )
+    return mined.select("cid", "idx", F.md5(C.candidate_summary(mined)).alias("summary"))
 
 
 @query("p31_tags", "SELECT CASE WHEN sentiment = 'explicit' THEN 'failure_testcase' ELSE 'query_testcase' END AS tag, count(*) AS n FROM saved GROUP BY 1")
@@ -273,18 +296,32 @@ def k5_quotas(spark, d):
     return K.quotas(X.saved(spark, d), "failure_dimension", 200)
 
 
-@query("k5_stratified_sample")
+#: A stratified sample of 200 records from a table {0} like saved; {1} are the columns wanted.
+STRATIFIED = """z AS (SELECT failure_dimension, count(*) AS n FROM {0} GROUP BY 1), t AS (SELECT sum(n) AS total, sum(least(5, n)) AS floors FROM z),
+    q AS (SELECT failure_dimension, least(least(5, n) + floor(greatest(200 - floors, 0) * n / total), 80, n)::BIGINT AS quota FROM z, t),
+    l AS (SELECT *, scenario IN ('en', 'fr', 'de', 'es') AND row_number() OVER (PARTITION BY failure_dimension, scenario ORDER BY coalesce(judge_average, 0) DESC, doc_id) = 1 AS lead FROM {0}),
+    k AS (SELECT *, row_number() OVER (PARTITION BY failure_dimension ORDER BY CASE WHEN lead THEN 0 ELSE 1 END, coalesce(judge_average, 0) DESC, doc_id) AS rk FROM l),
+    w AS (SELECT k.*, CASE WHEN rk <= quota THEN 'quota' ELSE 'gap' END AS stage FROM k JOIN q USING (failure_dimension))
+    SELECT {1} FROM w ORDER BY CASE WHEN stage = 'quota' THEN 0 ELSE 1 END, coalesce(judge_average, 0) DESC, doc_id LIMIT 200"""
+
+
+# a dialogue is one record here, so that none has several types
+@query("k5_stratified_sample", "WITH " + STRATIFIED.format("saved", "cid, failure_dimension, stage"))
 def k5(spark, d):
     return K.stratified(X.saved(spark, d), "failure_dimension", "doc_id", 200, ["en", "fr", "de", "es"]).select("cid", "failure_dimension", "stage")
 
 
-@query("k6_balanced_sample")
+@query(
+    "k6_balanced_sample",
+    """WITH r AS (SELECT cid, ground_truth, row_number() OVER (PARTITION BY ground_truth ORDER BY CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END, md5('7:' || cid), cid) AS n FROM task1)
+    SELECT cid, ground_truth FROM r WHERE n <= 25""",
+)
 def k6(spark, d):
     s = X.task1(spark, d)
     return K.balanced(s, "ground_truth", "cid", 25, s.filter("doc_id % 2 = 0").select("cid"), seed=7).select("cid", "ground_truth")
 
 
-@query("o15_golden_set")
+@query("o15_golden_set", f"WITH good AS (SELECT * FROM saved WHERE {GATE} AND {SOLVABLE} AND {DIFFICULT}), best AS {BEST.format('good')}, " + STRATIFIED.format("best", "cid, failure_dimension, scenario, round(judge_average, 6) AS judge_average, stage"))
 def o15(spark, d):
     s = X.saved(spark, d)
     good = s.filter(C.quality_gate(s)).filter(_solvable()).filter(C.difficult(s))

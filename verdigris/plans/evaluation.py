@@ -37,7 +37,11 @@ def p20(spark, d):
     return t.groupBy("model", "v.verdict", "v.note").agg(F.count("*").alias("n"))
 
 
-@query("p21_json_extraction")
+@query(
+    "p21_json_extraction",
+    """SELECT model, CASE WHEN contains(raw_output, 'verdict') THEN '' WHEN raw_output = '' AND doc_id % 3 = 2 THEN 'empty_output' ELSE 'no_json_found' END AS error, contains(raw_output, 'verdict')::INT AS found, count(*) AS n
+    FROM task1 GROUP BY ALL""",
+)
 def p21(spark, d):
     wrapped = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Answer: "), "raw_output", F.lit(" done"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```json\n"), "raw_output", F.lit("\n```"))).otherwise(F.col("raw_output"))
     out = E.extracted_json(X.task1(spark, d).select("doc_id", "model", wrapped.alias("raw")), "raw")
@@ -158,7 +162,10 @@ def o17(spark, d):
     return E.metrics(j, "model").select("model", "n_total", "n_good", "n_bad", "good_pct")
 
 
-@query("o18_batched_scorer")
+@query(
+    "o18_batched_scorer",
+    f"SELECT CASE WHEN length('[' || coalesce({LINES.format(BOLD, 'chr(10)')}, '（无历史对话）') || ']<' || query || '>(ok)') % 2 = 1 THEN 1 ELSE -1 END AS verdict, count(*) AS n FROM task2 k GROUP BY 1",
+)
 def o18(spark, d):
     prompts = X.task2(spark, d).select("cid", E.judge_prompt(F.col("history"), F.col("query"), F.lit("ok"), TEMPLATE).alias("prompt"))
     outputs = E.scored_in_batches(prompts, "cid", lambda batch: ["好" if len(p) % 2 else "差" for p in batch])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.plans.registry import query
+from verdigris.plans.turn_queries import F1_SQL
 from verdigris.sources import dialogues as D
 from verdigris.sources import fixtures as X
 from verdigris.sources.shared import fresh
@@ -87,7 +88,7 @@ def s11(spark, d):
     return D.latest(spark, base).agg(F.count("*").alias("n"), F.count_if("marked").alias("n_marked"))
 
 
-@query("r1_incremental_curation")
+@query("r1_incremental_curation", f"WITH f AS ({F1_SQL}) SELECT cid, reason, CASE WHEN reason = 'pass' THEN 'kept' ELSE 'deleted' END AS route FROM f")
 def r1(spark, d):
     folder, sink, checkpoint = (fresh(spark, x) for x in ("arrivals", "curated", "stream"))
     lines = dialogue_lines(spark, d)

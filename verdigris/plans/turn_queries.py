@@ -202,12 +202,12 @@ def o1(spark, d):
     return e.select("cid", "turn_count", "total_unliked", "total_dissatisfied", F.to_json("reaction_summary").alias("reaction_summary"), F.size(F.coalesce("explicit_complaints", F.array())).alias("n_complaints"), F.to_json("recovery_chains").alias("recovery_chains"))
 
 
-@query(
-    "f1_prefilter",
-    f"""WITH {SIGNALS}, g1 AS (SELECT cid, count(*) FILTER (role = 'assistant' AND is_unliked) AS u, count(*) AS n, count(*) FILTER (role = 'assistant') AS na, count(*) FILTER (role = 'assistant' AND NOT interrupted) AS nr,
+F1_SQL = f"""WITH {SIGNALS}, g1 AS (SELECT cid, count(*) FILTER (role = 'assistant' AND is_unliked) AS u, count(*) AS n, count(*) FILTER (role = 'assistant') AS na, count(*) FILTER (role = 'assistant' AND NOT interrupted) AS nr,
     arg_min(regexp_extract(message, '{X.UNSAFE}', 0, 'i'), pos) FILTER (regexp_matches(message, '{X.UNSAFE}', 'i')) AS x FROM s GROUP BY cid)
-    SELECT cid, CASE WHEN u = 0 THEN 'no_unliked_turns' WHEN n < 2 THEN 'too_short' WHEN na > 0 AND nr = 0 THEN 'all_interrupted' WHEN x IS NOT NULL THEN 'unsafe_match:' || x ELSE 'pass' END AS reason FROM g1""",
-)
+    SELECT cid, CASE WHEN u = 0 THEN 'no_unliked_turns' WHEN n < 2 THEN 'too_short' WHEN na > 0 AND nr = 0 THEN 'all_interrupted' WHEN x IS NOT NULL THEN 'unsafe_match:' || x ELSE 'pass' END AS reason FROM g1"""
+
+
+@query("f1_prefilter", F1_SQL)
 def f1(spark, d):
     return O.prefilter(O.signals(X.turns(spark, d)), X.UNSAFE)
 

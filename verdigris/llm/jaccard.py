@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.llm import words as wd
@@ -46,6 +47,8 @@ SHINGLE, PERCENT, CHUNK = 3, 90, 1 << 20
 WORD_BYTES = wd.table_of(lambda c: c != 32 and not 9 <= c <= 13)
 #: Signatures that a task remembers to have sent.
 SEEN = 500_000
+#: Rows of keys that a task holds at a time.
+FLUSH = 1 << 20
 #: Rows of a tile of the matrix product.
 TILE = 1024
 
@@ -151,23 +154,44 @@ def signatures(docs: DataFrame, n: int = SHINGLE, met: frozenset[int] = frozense
     return _source(docs).mapInArrow(run, "doc_id long, row long, n_shingles long, sig long, check long")
 
 
-def keyed(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, met: frozenset[int] = frozenset()) -> DataFrame:
-    """key, sig: the column blocks of every set; a task sends a set once."""
+def keyed(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, met: frozenset[int] = frozenset(), members: bool = False) -> DataFrame:
+    """key, sig, least: the column blocks of every set, of which tasks bring the rows together that they hold at a time.
+
+    A key has one row of those, with the least signature; with members, the others come instead, with the least one beside.
+    So a key that any share of the sets have is a row for each FLUSH rows, and never met whole in one task. A task sends a set once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, seen = Ranges(percent), set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def together() -> pa.RecordBatch:
+            keys, sigs = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*held) if held else ((), ())))
+            order = np.lexsort((sigs, keys))
+            keys, sigs = keys[order], sigs[order]
+            first = np.diff(keys, prepend=keys[:1] - 1) != 0
+            least = sigs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+            take = (sigs != least) if members else first
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c[take]) for c in (keys, sigs, least)], names=["key", "sig", "least"])
+
+        size = 0
         for batch in pieces(batches, CHUNK):
-            keys, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in shingle_sets([t.encode() for t in batch.column("text").to_pylist()], n):
                 if len(s) and (sig := signature(s, met)) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(sig)
-                    keys.append(block_keys(s, ranges))
-                    sigs.append(np.full(len(keys[-1]), sig))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sigs))], names=["key", "sig"])
+                    keys = block_keys(s, ranges)
+                    held.append((keys, np.full(len(keys), sig)))
+                    size += len(keys)
+            if size >= FLUSH:
+                size = 0
+                yield together()
+        if held:
+            yield together()
 
-    return _source(docs).mapInArrow(run, "key long, sig long")
+    return _source(docs).mapInArrow(run, "key long, sig long, least long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -249,11 +273,13 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, tile: int
     """The signatures of all rows, and sig, part (equal for what is linked) of all sets that aren't empty."""
     rows, met = signed(docs, n)
     classes = materialize(rows.filter("sig is not null").groupBy("sig").agg(F.min("row").alias("row")), "classes")
-    # a key's least and greatest set by partial sums, then a join that Spark can split: any share of the sets may have one block
-    keys = keyed(docs, n, percent, met)
-    common = keys.groupBy("key").agg(F.min("sig").alias("star"), F.max("sig").alias("most")).filter("star <> most").select("key", "star")
-    # rows that share a block share its star
-    stars = materialize(keys.join(common, "key").filter("sig <> star").select("star", "sig").distinct(), "stars")
+    # rows that share a block share its star, the least of them: among what tasks bring together, and then among those
+    by_key = W.partitionBy("key")
+    first = keyed(docs, n, percent, met).select("key", "sig").withColumns({"star": F.min("sig").over(by_key), "most": F.max("sig").over(by_key)}).filter("star <> most")
+    first = materialize(first.select("key", "star", "sig"), "first")
+    others = keyed(docs, n, percent, met, members=True).join(first.select("key", "star").distinct(), "key", "left")
+    stars = first.select("star", "sig").union(others.select(F.coalesce("star", "least").alias("star"), "sig"))
+    stars = materialize(stars.filter("sig <> star").distinct(), "stars")
     members = stars.union(stars.select("star", F.col("star").alias("sig")).distinct())
     wanted = members.select("sig").distinct().join(classes, "sig").select("row", "sig")
     sets = materialize(sets_of(docs, wanted, n), "sets")

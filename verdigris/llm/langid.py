@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import bound_batches, pieces, table
 
 SAMPLE, MOST, BUCKETS, BITS, CHUNK, BLOCK = 1000, 4000, 1 << 13, 15, 1 << 20, 1 << 20
+#: Rows of the sample that are computed with at a time.
+FIT_ROWS = 256
 #: Softmax share below which the nearest codeword isn't clear.
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
@@ -136,20 +138,26 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 40, most: int =
         return None
     languages = sorted({a for a, *_ in got})
     y = np.array([languages.index(a) for a, *_ in got])
-    x = np.zeros((len(got), BUCKETS), np.float32)
+    x = np.zeros((len(got), BUCKETS), np.float16)  # 64 MB for 4000 rows
     for i, (_, places, values) in enumerate(got):
         x[i, np.frombuffer(places, "<u2")] = np.frombuffer(values, "<f2")
+    del got
     code = codewords(len(languages))
     target = code[y]
     each = (1 / np.bincount(y, minlength=len(languages)))[y]  # languages count alike
     each = (each / each.sum()).astype(np.float32)[:, None]
     weights, bias = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     step = np.zeros_like(weights)
-    for i in range(steps):
-        pull = each * target / (1 + np.exp(np.clip(target * (x @ weights + bias), -30, 30)))
-        step = 0.9 * step + 60 * (x.T @ pull - 1e-6 * weights)
+    for _ in range(steps):
+        slope, shift = np.zeros_like(weights), np.zeros_like(bias)
+        for i in range(0, len(x), FIT_ROWS):
+            rows, goal = x[i : i + FIT_ROWS].astype(np.float32), target[i : i + FIT_ROWS]
+            pull = each[i : i + FIT_ROWS] * goal / (1 + np.exp(np.clip(goal * (rows @ weights + bias), -30, 30)))
+            slope += rows.T @ pull
+            shift += pull.sum(0)
+        step = 0.9 * step + 60 * (slope - 1e-6 * weights)
         weights += step
-        bias += 4 * pull.sum(0)
+        bias += 4 * shift
     return Model(languages, code, weights.astype(np.float32), bias.astype(np.float32))
 
 

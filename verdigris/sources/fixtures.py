@@ -154,7 +154,7 @@ def task1(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("quality") == 1, 1).otherwise(-1).alias("ground_truth"),
         raw.alias("raw_output"),
         F.concat(F.lit("m"), i % 4).alias("model"),
-        F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("agent_response_full"),
+        F.coalesce("text", F.lit("")).alias("agent_response_full"),
         F.col("lang").alias("difficulty"),
     )
 
@@ -212,7 +212,7 @@ SQL = {
         json_extract_string(props, '$.k')::DOUBLE / 10.0 AS latency_s, CASE WHEN event_id % 11 <> 0 THEN 'dim' || (event_id % 5) END AS failure_dimension FROM events""",
     "task1": """SELECT doc_id, 'd' || doc_id AS cid, CASE quality WHEN 1 THEN 1 ELSE -1 END AS ground_truth,
         ['好', '差。', '不好', '{"verdict": 1}', '回答一般' || chr(10) || '总体令用户满意', ''][(doc_id % 6 + 1)::INT] AS raw_output, 'm' || (doc_id % 4) AS model,
-        substring(coalesce(text, ''), 1, 200) AS agent_response_full, lang AS difficulty FROM documents JOIN labels USING (doc_id)""",
+        coalesce(text, '') AS agent_response_full, lang AS difficulty FROM documents JOIN labels USING (doc_id)""",
     "task2": """SELECT cid, max(pos) AS at, arg_max(message, pos) AS query, (SELECT t.message FROM turns t WHERE t.cid = u.cid AND t.role = 'assistant' AND t.pos > max(u.pos) ORDER BY t.pos LIMIT 1) AS next_text,
         substring(cid, 2)::BIGINT AS n FROM turns u WHERE role = 'user' GROUP BY cid""",
     "responses": """SELECT CASE WHEN (n + k) % 11 = 0 THEN 'x' || cid ELSE cid END AS cid, 'r' || k AS model,

@@ -155,18 +155,66 @@ def repaired_order(df: DataFrame) -> DataFrame:
     return df.withColumns({"source_query_original": F.when(fixed, F.col("source_query")), "ordering_fixed": fixed, "source_query": replaced})
 
 
+#: Queries are compared by so many characters.
+COMPARED = 100
+
+
+def _gram_rules(threshold: float, longest: int = COMPARED) -> tuple[int, list[int]]:
+    """The length of grams, and for texts of 0, 1, ... characters how many of them a text and any other near one share at least.
+
+    Of two texts with lengths that sum up to n and a similarity of m/n or more, n - m characters are unmatched at most; they leave
+    n - m + 1 matching runs at most, one of which has the average length, and each unmatched one and each end breaks length - 1 grams.
+    0 where no different text can be near.
+    """
+    pairs = []  # of lengths, with the matched characters and unmatched ones that the threshold still allows
+    for x in range(1, longest + 1):
+        for y in range(1, longest + 1):
+            matched = next((m for m in range(min(x, y) + 1) if 2.0 * m / (x + y) > threshold), None)
+            if matched is not None and x + y > 2 * matched:
+                pairs.append((x, matched, x + y - 2 * matched))
+    length = max(1, min((-(-m // (d + 1)) for _, m, d in pairs), default=1))
+    shared = [0] * (longest + 1)
+    for x, m, d in pairs:
+        least = max(1, m - (length - 1) * (d + 1))
+        shared[x] = min(shared[x] or least, least)
+    return length, shared
+
+
 def near_duplicates(df: DataFrame, id_column: str, threshold: float = 0.90) -> DataFrame:
     """id, duplicate_of: records of one dialogue, failing turn and source turn whose queries are nearly the same.
 
-    The better judged record stays, of equals the one with the smaller id.
+    The better judged record stays, of equals the one with the smaller id. Null keys are equal to each other; rows without an id or
+    a query are no duplicates. Equal queries are merged first. Different ones are compared if one of the rarest grams of both is the
+    same, so many of them that near texts can't miss each other, in the order of their first ids.
     """
-    k = df.select(F.col(id_column).alias("id"), "cid", "dislike_turn_id", F.col("source_query.turn_index").alias("st"), F.substring(F.coalesce("source_query.message", F.lit("")), 1, 100).alias("q"), F.coalesce("judge_average", F.lit(0.0)).alias("j")).filter("q <> ''")
-    keys = ["cid", "dislike_turn_id", "st"]
-    x, y = (k.withColumnsRenamed({c: f"{c}_{s}" for c in k.columns}) for s in "ab")
-    pairs = x.join(y, [x[f"{c}_a"].eqNullSafe(y[f"{c}_b"]) for c in keys] + [x["id_a"] < y["id_b"]])
+    keys = F.to_json(F.struct("cid", "dislike_turn_id", F.col("source_query.turn_index").alias("st")))
+    query = F.substring(F.coalesce("source_query.message", F.lit("")), 1, COMPARED)
+    k = df.select(F.col(id_column).alias("id"), keys.alias("g"), query.alias("q"), F.struct((-F.coalesce("judge_average", F.lit(0.0))).alias("j"), F.col(id_column).alias("of")).alias("w")).filter("q <> '' and id is not null")
+    texts = k.groupBy("g", "q").agg(F.min("id").alias("first"), F.min("w").alias("w"))
+
+    length, shared = _gram_rules(threshold)
+    least = F.get(F.array(*map(F.lit, shared)), F.length("q"))
+    n = F.length("q") - (length - 1)
+    plain = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("q", i, F.lit(length)))
+    # the second and later places of a gram are grams of their own
+    numbered_grams = F.transform("_plain", lambda c, i: F.concat(c, F.size(F.filter(F.slice("_plain", F.lit(1), i), lambda e: e == c)).cast("string")))
+    grams = texts.withColumn("_least", least).filter((F.col("_least") > 0) & (n > 0)).withColumn("_plain", plain).select("g", "q", "first", "_least", F.explode(numbered_grams).alias("gram"))
+    counts = grams.groupBy("g", "gram").agg(F.count("*").alias("n"))
+    ordered = grams.join(counts, ["g", "gram"]).groupBy("g", "q").agg(F.first("first").alias("first"), F.first("_least").alias("_least"), F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("_grams"))
+    rare = F.slice("_grams", F.lit(1), F.greatest(F.size("_grams") - F.col("_least") + 1, F.lit(0)))
+    keyed = ordered.select("g", "q", "first", F.explode(F.filter(rare, lambda x: x["n"] > 1)["gram"]).alias("gram"))
+    x, y = (keyed.withColumnsRenamed({"q": f"q_{s}", "first": f"first_{s}"}) for s in "ab")
+    ordered_pairs = (F.col("first_a") < F.col("first_b")) | ((F.col("first_a") == F.col("first_b")) & (F.col("q_a") < F.col("q_b")))
+    close = 2.0 * F.least(F.length("q_a"), F.length("q_b")) / (F.length("q_a") + F.length("q_b")) > threshold
+    pairs = x.join(y, ["g", "gram"]).filter(ordered_pairs & close).select("g", "q_a", "q_b").distinct()
     near = sequence_similarity(pairs, "q_a", "q_b", "ratio", thresholds=(threshold,)).filter(F.col("ratio") > threshold)
-    marked = near.select(F.when(F.col("j_a") >= F.col("j_b"), F.col("id_b")).otherwise(F.col("id_a")).alias("id"), F.when(F.col("j_a") >= F.col("j_b"), F.struct(F.lit(0) - F.col("j_a"), F.col("id_a").alias("of"))).otherwise(F.struct(F.lit(0) - F.col("j_b"), F.col("id_b").alias("of"))).alias("w"))
-    return marked.groupBy("id").agg(F.min("w")["of"].alias("duplicate_of"))
+
+    both = F.explode(F.array(F.struct(F.col("q_a").alias("q"), F.col("q_b").alias("o")), F.struct(F.col("q_b").alias("q"), F.col("q_a").alias("o")))).alias("p")
+    neighbours = near.select("g", both).select("g", "p.q", F.col("p.o").alias("o"))
+    of_others = neighbours.join(texts.select("g", F.col("q").alias("o"), "w"), ["g", "o"]).select("g", "q", "w")
+    best = texts.select("g", "q", "w").unionByName(of_others).groupBy("g", "q").agg(F.min("w").alias("best"))
+    marked = k.join(best, ["g", "q"]).filter((F.col("best") < F.col("w")) & (F.col("best")["of"] != F.col("id")))
+    return marked.groupBy("id").agg(F.min("best")["of"].alias("duplicate_of"))
 
 
 def numbered(df: DataFrame, order: list[str], prefix: str, name: str = "id") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.functions import lexicons as L
 from verdigris.functions import text as T
+from verdigris.sources.shared import materialize
+
+
+#: Parts of a type or side, each of which gives its best rows.
+PARTS = 256
 
 
 def best_of_group(df: DataFrame, type_column: str, query: str, id_column: str) -> DataFrame:
@@ -26,6 +31,22 @@ def quotas(df: DataFrame, type_column: str, target: int, floor: int = 5, share:
     return sizes.crossJoin(F.broadcast(totals)).select(type_column, "n", quota.alias("quota"))  # totals is one row
 
 
+def ranked(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """Adds the rank of each row in its group, with no window over all rows of a group.
+
+    Rows are range-partitioned by group and order; what earlier partitions hold of a group is the first rank less one in the next.
+    The order must be total. Null groups are one group.
+    """
+    by = [F.col(group).asc(), *order]
+    rows = materialize(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"))  # a row for each group and partition that holds some of it
+    before = F.sum("_n").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    first = sizes.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = rows.withColumn("_in", F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)))
+    joined = inside.join(first, inside[group].eqNullSafe(first["_group"]) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn(name, F.col("_before") + F.col("_in")).drop("_group", "_of", "_part", "_in", "_before")
+
+
 def stratified(df: DataFrame, type_column: str, id_column: str, target: int, scenarios: list[str] | None = None, floor: int = 5, share: float = 0.40) -> DataFrame:
     """At most target records: each type's quota, one of each scenario first, then the best judged, no dialogue twice; gaps are filled from what is left.
 
@@ -38,9 +59,14 @@ def stratified(df: DataFrame, type_column: str, id_column: str, target: int, sce
     offered = df.withColumn("_first", first_type)
     one = F.row_number().over(W.partitionBy("cid").orderBy((F.col(type_column) != F.col("_first")).cast("int"), *best))
     offered = offered.withColumn("_one", one)
-    lead = F.when(F.col("scenario").isin(scenarios), F.row_number().over(W.partitionBy(type_column, "scenario").orderBy(*best))).otherwise(2)
-    pool = offered.filter("_one = 1").withColumn("_lead", F.when(lead == 1, 0).otherwise(1))
-    ranked = pool.withColumn("_rank", F.row_number().over(W.partitionBy(type_column).orderBy("_lead", *best))).join(F.broadcast(q.select(type_column, "quota")), type_column)
+    pool = offered.filter("_one = 1")
+    first = F.struct((-F.coalesce("judge_average", F.lit(0.0))).alias("j"), F.col(id_column).alias("id"))
+    leads = pool.filter(F.col("scenario").isin(scenarios)).groupBy(type_column, "scenario").agg(F.min(first)["id"].alias("_leader"))  # a row for each type and scenario
+    pool = pool.join(F.broadcast(leads), [type_column, "scenario"], "left").withColumn("_lead", F.when(F.col("_leader") == F.col(id_column), 0).otherwise(1)).drop("_leader")
+    # nothing behind the target in a part of its type can be chosen, so that a large type is never ranked in one task
+    part = F.pmod(F.xxhash64(id_column), F.lit(PARTS))
+    heads = pool.withColumn("_part", part).withColumn("_head", F.row_number().over(W.partitionBy(type_column, "_part").orderBy("_lead", *best))).filter(F.col("_head") <= target).drop("_part", "_head")
+    ranked = heads.withColumn("_rank", F.row_number().over(W.partitionBy(type_column).orderBy("_lead", *best))).join(F.broadcast(q.select(type_column, "quota")), type_column)
     # quotas is one row a type; what is ranked behind its quota waits for gaps
     waiting = F.when(F.col("_rank") <= F.col("quota"), 0).otherwise(1)
     chosen = ranked.withColumn("_wait", waiting).orderBy("_wait", *best).limit(target)
@@ -53,4 +79,6 @@ def balanced(df: DataFrame, side: str, id_column: str, n: int, used: DataFrame |
     out = df.withColumn("_used", F.lit(0))
     if used is not None:
         out = df.join(used.select(id_column).distinct().withColumn("_u", F.lit(1)), id_column, "left").withColumn("_used", F.coalesce("_u", F.lit(0))).drop("_u")
-    return out.withColumn("_n", F.row_number().over(W.partitionBy(side).orderBy("_used", order, id_column))).filter(F.col("_n") <= n).drop("_n", "_used")
+    for of in ((side, F.pmod(F.xxhash64(id_column), F.lit(PARTS))), (side,)):  # the first of each part, then the first of these
+        out = out.withColumn("_n", F.row_number().over(W.partitionBy(*of).orderBy("_used", order, id_column))).filter(F.col("_n") <= n)
+    return out.drop("_n", "_used")

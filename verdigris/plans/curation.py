@@ -270,6 +270,13 @@ def j11(spark, d):
     return C.near_duplicates(_retried(spark, d), "doc_id")
 
 
+@query("j11_near_duplicate_groups")
+def j11_groups(spark, d):
+    """Records of one source as those of one dialogue, so that groups are large and their queries are near, equal and different."""
+    one = F.struct(F.lit(0).alias("turn_index"), F.col("source_query.message").alias("message"))
+    return C.near_duplicates(X.saved(spark, d).withColumns({"cid": F.col("failure_dimension"), "dislike_turn_id": F.lit(1), "source_query": one}), "doc_id")
+
+
 @query("w9_sequential_ids", "SELECT cid, 'tc_' || lpad(row_number() OVER (ORDER BY doc_id)::VARCHAR, 5, '0') AS id FROM saved")
 def w9(spark, d):
     return C.numbered(X.saved(spark, d).select("doc_id", "cid"), ["doc_id"], "tc").select("cid", "id")
@@ -277,10 +284,7 @@ def w9(spark, d):
 
 @query("w10_bucket_ranks", "SELECT cid, failure_dimension, row_number() OVER (PARTITION BY failure_dimension ORDER BY judge_average DESC, doc_id) AS bucket_rank FROM saved")
 def w10(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("failure_dimension").orderBy(F.col("judge_average").desc(), "doc_id")
-    return X.saved(spark, d).select("cid", "failure_dimension", F.row_number().over(w).alias("bucket_rank"))
+    return K.ranked(X.saved(spark, d), "failure_dimension", [F.col("judge_average").desc(), F.col("doc_id")], "bucket_rank").select("cid", "failure_dimension", "bucket_rank")
 
 
 BEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trim(failure_dimension), {KEY.format('sq_message')} ORDER BY judge_average DESC, doc_id) AS rn FROM {{}}) WHERE rn = 1)"

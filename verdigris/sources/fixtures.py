@@ -58,7 +58,7 @@ def saved(spark: SparkSession, d: str, histories: bool = False) -> DataFrame:
     out = docs.select(
         "doc_id",
         F.concat(F.lit("d"), i).alias("cid"),
-        F.struct((i % 6).cast("int").alias("turn_index"), F.substring(text, 1, 300).alias("message")).alias("source_query"),
+        F.struct((i % 6).cast("int").alias("turn_index"), text.alias("message")).alias("source_query"),
         F.when(i % 17 == 0, "其他").otherwise(F.col("source")).alias("failure_dimension"),
         F.col("lang").alias("scenario"),
         F.create_map(*(x for a, s in zip(AXES, scores) for x in (F.lit(a), s))).alias("judge_scores"),
@@ -186,7 +186,7 @@ SQL = {
     "turns": """SELECT 'c' || conv_id AS cid, turn::INT AS pos, turn::INT AS turn_index, role, coalesce(text, '') AS message, e.ts AS create_time,
         coalesce(role = 'assistant' AND event_type = 'error', false) AS is_unliked, length(coalesce(text, '')) AS length, conv_id
         FROM conversations c LEFT JOIN events e ON e.event_id = c.conv_id * 10 + c.turn""",
-    "saved": """SELECT doc_id, 'd' || doc_id AS cid, (doc_id % 6)::INT AS sq_turn, substring(coalesce(text, ''), 1, 300) AS sq_message,
+    "saved": """SELECT doc_id, 'd' || doc_id AS cid, (doc_id % 6)::INT AS sq_turn, coalesce(text, '') AS sq_message,
         CASE WHEN doc_id % 17 = 0 THEN '其他' ELSE source END AS failure_dimension, lang AS scenario,
         (1 + doc_id % 5)::DOUBLE AS s1, (1 + (doc_id * 3) % 5)::DOUBLE AS s2, (1 + (doc_id * 7) % 5)::DOUBLE AS s3, (1 + (doc_id * 11) % 5)::DOUBLE AS s4, (1 + (doc_id * 13) % 5)::DOUBLE AS s5,
         (s1 + s2 + s3 + s4 + s5) / 5 AS judge_average,

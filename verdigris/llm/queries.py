@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from verdigris.llm import chat, lmscore
+from verdigris.llm.alignment import op11_token_alignment
 from verdigris.llm.chat import op9_chat_formatting
 from verdigris.llm.decontaminate import op4_benchmark_decontamination
 from verdigris.llm.html import op1_html_extraction
@@ -29,6 +30,7 @@ QUERIES = {
         op8_language_id,
         op9_chat_formatting,
         op10_best_fit_packing,
+        op11_token_alignment,
     )
 }
 ORACLES = {"op2_lm_scoring": lmscore.ORACLE_TRIGRAMS, "op2_lm_scoring_bigrams": lmscore.ORACLE_BIGRAMS, "op2_lm_scoring_trigrams": lmscore.ORACLE_TRIGRAMS, "op9_chat_formatting": chat.ORACLE}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.plans.registry import query
-from verdigris.plans.turn_queries import F1_SQL
+from verdigris.plans.turn_queries import A1_SQL, F1_SQL, LEXICON, W7_SQL, rollup
 from verdigris.sources import dialogues as D
 from verdigris.sources import fixtures as X
 from verdigris.sources.shared import fresh
@@ -96,32 +96,49 @@ def r1(spark, d):
     S.curate(S.dialogue_stream(spark, folder), sink, checkpoint, X.UNSAFE).awaitTermination()
     lines.write.mode("append").text(folder)  # all come again: none is processed twice
     S.curate(S.dialogue_stream(spark, folder), sink, checkpoint, X.UNSAFE).awaitTermination()
-    return spark.read.schema("cid string, reason string, batch long, route string").parquet(sink).select("cid", "reason", "route")
+    return S.curated(spark, sink).select("cid", "reason", "route")
+
+
+def arrivals(spark, rows: DataFrame, time: str, slices: int = 4, again: bool = False, files: int = 2) -> DataFrame:
+    """rows as a stream that brings them in slices of time, a batch for each; with again, every slice brings the one before it once more."""
+    folder = fresh(spark, "slices")
+    t = F.unix_micros(F.col(time))
+    low, high = rows.agg(F.min(t), F.max(t)).first()
+    width = ((high or 0) - (low or 0)) // slices + 1
+    for k in range(slices):
+        at = F.floor((t - F.lit(low or 0)) / width)
+        part = rows.filter((at == k) | (at == k - 1) if again else at == k)
+        part.repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("r2_route_counters", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, judged_model, count(*) AS n FROM judged GROUP BY ALL")
 def r2(spark, d):
-    out = S.counters(X.judged(spark, d), "ts", "judged_model")
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "judged_model", "n")
+    sink, checkpoint = fresh(spark, "counters"), fresh(spark, "stream")
+    events = X.judged(spark, d).select("ts", "judged_model")
+    S.count_on(arrivals(spark, events, "ts"), sink, checkpoint, "ts", "judged_model", late="8 days").awaitTermination()
+    return S.counted(spark, sink, "judged_model").select(F.col("start").cast("timestamp_ntz").alias("start"), "judged_model", "n")
 
 
-def _streamed(spark, df: DataFrame, transform, schema: str) -> DataFrame:
-    """What a stream over df's rows, written to files first, has put out when it ends."""
-    source, sink, checkpoint = (fresh(spark, x) for x in ("source", "sink", "stream"))
-    df.write.parquet(source)
-    stream = transform(spark.readStream.schema(df.schema).parquet(source))
-    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(sink)
+#: A dialogue is closed when the watermark, a day behind the last turn, is past its last turn and twelve hours.
+CLOSED = "WITH z AS (SELECT cid, max(create_time) + INTERVAL 12 HOUR AS e FROM turns GROUP BY cid), w AS (SELECT max(create_time) - INTERVAL 1 DAY AS at FROM turns)"
 
 
-@query("r3_closed_dialogues")
+@query("r3_closed_dialogues", f"{CLOSED}, a AS ({A1_SQL}), o AS ({W7_SQL}) SELECT a.*, (SELECT count(*) FROM o WHERE o.cid = a.cid) AS n_chains, coalesce((SELECT string_agg(failure_turn_id || '=' || recovery_outcome, ',' ORDER BY failure_turn_id) FROM o WHERE o.cid = a.cid), '') AS outcomes FROM a JOIN z USING (cid), w WHERE z.e <= w.at")
 def r3(spark, d):
+    sink, checkpoint = fresh(spark, "enriched"), fresh(spark, "stream")
     t = X.turns(spark, d).filter("create_time is not null")
-    out = _streamed(spark, t, lambda s: S.closed_dialogues(s).select("cid", "start", "end", F.size("history").alias("n")), "cid string, start timestamp, end timestamp, n int")
-    return out
+    S.enrich_closed(arrivals(spark, t, "create_time"), sink, checkpoint, "12 hours", "1 day", similarity="jaccard", **LEXICON).awaitTermination()
+    chains = "array<struct<failure_turn_id:int,recovery_outcome:string>>"
+    schema = f"cid string, turn_count long, unliked_turns array<int>, has_interrupted boolean, reaction_summary map<string,long>, dissatisfied_turns array<int>, total_dissatisfied int, recovery_chains {chains}"
+    e = spark.read.schema(schema).parquet(sink)
+    outcomes = F.transform(F.array_sort("recovery_chains"), lambda c: F.concat(c["failure_turn_id"], F.lit("="), c["recovery_outcome"]))
+    return rollup(e, F.coalesce(F.size("recovery_chains"), F.lit(0)).cast("long").alias("n_chains"), F.coalesce(F.array_join(outcomes, ","), F.lit("")).alias("outcomes"))
 
 
 @query("r4_once_per_dialogue", "SELECT DISTINCT cid FROM turns WHERE create_time IS NOT NULL")
 def r4(spark, d):
+    sink, checkpoint = fresh(spark, "once"), fresh(spark, "stream")
     t = X.turns(spark, d).filter("create_time is not null").select("cid", "create_time")
-    return _streamed(spark, t, lambda s: S.once(s, "create_time", "36500 days").select("cid"), "cid string")
+    S.write_once(arrivals(spark, t, "create_time", again=True), sink, checkpoint, "create_time", "2 days").awaitTermination()
+    return spark.read.schema("cid string").parquet(sink)

@@ -166,7 +166,10 @@ def w6(spark, d):
     return _chains(spark, d).select("cid", "failure_turn_id", F.posexplode("recovery_chain").alias("p", "s")).select("cid", "failure_turn_id", (F.col("p") + 1).cast("long").alias("step"), "s.turn_id", "s.role", "s.action")
 
 
-@query("w7_chain_outcomes", f"WITH {CHAINS} SELECT cid, failure_turn_id, failure_reaction, chain_length, recovery_outcome FROM oc")
+W7_SQL = f"WITH {CHAINS} SELECT cid, failure_turn_id, failure_reaction, chain_length, recovery_outcome FROM oc"
+
+
+@query("w7_chain_outcomes", W7_SQL)
 def w7(spark, d):
     return _chains(spark, d).select("cid", "failure_turn_id", "failure_reaction", F.col("chain_length").cast("long").alias("chain_length"), "recovery_outcome")
 
@@ -180,20 +183,25 @@ def j7(spark, d):
     return r.join(f, ["cid", "asst_turn_id"]).join(u, ["cid", "next_user_turn_id"], "left").select("cid", F.col("asst_turn_id").alias("failure_turn_id"), "failure_text", "next_text")
 
 
-@query(
-    "a1_dialogue_rollup",
-    f"""WITH {REACTED}, t AS (SELECT cid, count(*) AS turn_count, coalesce(string_agg(turn_index, ',' ORDER BY pos) FILTER (role = 'assistant' AND is_unliked), '') AS unliked_turns, bool_or(interrupted)::INT AS has_interrupted FROM s GROUP BY cid),
+A1_SQL = f"""WITH {REACTED}, t AS (SELECT cid, count(*) AS turn_count, coalesce(string_agg(turn_index, ',' ORDER BY pos) FILTER (role = 'assistant' AND is_unliked), '') AS unliked_turns, bool_or(interrupted)::INT AS has_interrupted FROM s GROUP BY cid),
     q AS (SELECT cid, string_agg(reaction || '=' || n, ',' ORDER BY reaction) AS reaction_summary FROM (SELECT cid, reaction, count(*) AS n FROM r GROUP BY ALL) GROUP BY cid),
     u AS (SELECT cid, coalesce(string_agg(turn_index, ',' ORDER BY pos) FILTER (dissatisfied), '') AS dissatisfied_turns, count(*) FILTER (dissatisfied) AS total_dissatisfied FROM r GROUP BY cid)
-    SELECT t.*, coalesce(reaction_summary, '') AS reaction_summary, coalesce(dissatisfied_turns, '') AS dissatisfied_turns, coalesce(total_dissatisfied, 0) AS total_dissatisfied FROM t LEFT JOIN q USING (cid) LEFT JOIN u USING (cid)""",
-)
-def a1(spark, d):
-    s = O.signals(X.turns(spark, d))
+    SELECT t.*, coalesce(reaction_summary, '') AS reaction_summary, coalesce(dissatisfied_turns, '') AS dissatisfied_turns, coalesce(total_dissatisfied, 0) AS total_dissatisfied FROM t LEFT JOIN q USING (cid) LEFT JOIN u USING (cid)"""
+
+
+def rollup(e: DataFrame, *also) -> DataFrame:
+    """The roll-up of dialogues in flat columns."""
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     summary = F.array_join(F.transform(F.array_sort(F.map_entries("reaction_summary")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return O.summaries(s, O.reactions(s, similarity="jaccard", **LEXICON)).select(
-        "cid", "turn_count", joined("unliked_turns").alias("unliked_turns"), F.col("has_interrupted").cast("int").alias("has_interrupted"), F.coalesce(summary, F.lit("")).alias("reaction_summary"), joined("dissatisfied_turns").alias("dissatisfied_turns"), F.col("total_dissatisfied").cast("long").alias("total_dissatisfied")
-    )
+    return e.select(
+        "cid", "turn_count", joined("unliked_turns").alias("unliked_turns"), F.col("has_interrupted").cast("int").alias("has_interrupted"), F.coalesce(summary, F.lit("")).alias("reaction_summary"), joined("dissatisfied_turns").alias("dissatisfied_turns"), F.col("total_dissatisfied").cast("long").alias("total_dissatisfied"), *also
+    )
+
+
+@query("a1_dialogue_rollup", A1_SQL)
+def a1(spark, d):
+    s = O.signals(X.turns(spark, d))
+    return rollup(O.summaries(s, O.reactions(s, similarity="jaccard", **LEXICON)))
 
 
 @query("o1_enriched_dialogues")

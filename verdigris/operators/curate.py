@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import lexicons as L
 from verdigris.functions import text as T
 from verdigris.operators.turns import sequence_similarity
+from verdigris.sources.shared import materialize
 
 
 def message_at(history: Column, turn: Column) -> Column:
@@ -75,15 +76,62 @@ def benchmark_funnel(df: DataFrame, qualities: tuple[str, ...] = ("high", "mediu
 
 
 def benchmark_entries(df: DataFrame) -> DataFrame:
-    """The flat and nested fields of a benchmark case, of records that pass the funnel."""
+    """The 29 fields of a benchmark case, of records that pass the funnel."""
     response = F.coalesce(message_at(F.col("full_history"), F.col("dislike_turn_id"))["message"], F.lit(""))
-    keep = ("cid", "source_query", "selected_history", "failure_dimension", "scenario", "overall_quality", "judge_average", "judge_scores", "needs_context", "needs_image", "is_duplicate", "explanation", "signal_type", "signal_confidence", "dislike_turn_id", "representativeness", "confidence")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    none = F.array().cast("array<string>")
     return df.filter("fail_reason is null").select(
-        *keep,
+        "cid",
+        "save_time",
+        F.struct(F.col("source_query.turn_index").alias("turn_index"), F.coalesce("source_query.message", F.lit("")).alias("message")).alias("source_query"),
         F.transform("selected_history", lambda m: m["turn_index"]).alias("selected_turn_indices"),
+        "selected_history",
         response.alias("agent_response_full"),
-        F.substring(response, 1, 200).alias("agent_response_preview"),
-        T.severity_tier(F.col("judge_scores")["severity"]).alias("severity_tier"),
+        "failure_dimension",
+        "failure_dimension_raw",
+        "scenario",
+        "severity_tier",
+        "overall_quality",
+        "judge_average",
+        "judge_scores",
+        "judge_audit",
+        "needs_context",
+        flag("needs_image"),
+        flag("is_duplicate"),
+        "explanation",
+        F.col("agent_response_preview") if "agent_response_preview" in df.columns else F.substring(response, 1, 200).alias("agent_response_preview"),
+        "signal_type",
+        "signal_confidence",
+        "dislike_turn_id",
+        "representativeness",
+        "confidence",
+        F.col("qa_verdict.verdict").alias("qa_verdict"),
+        F.coalesce("qa_verdict.issues", none).alias("qa_issues"),
+        F.coalesce("qa_verdict.notes", F.lit("")).alias("qa_notes"),
+        flag("failure_dimension_reclassified"),
+        "reclassify_confidence",
+    )
+
+
+def review_summary(df: DataFrame, strong: bool = False) -> Column:
+    """What a reviewer is shown of a record. Short: 150 characters of query and explanation, 250 of the reply. Strong: 300, 500, and what came before the query."""
+    text = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    said = lambda turn: F.coalesce(F.get(F.filter("full_history", lambda m: (m["turn_index"] == turn) & (m["role"] == "assistant")), F.lit(0))["message"], F.lit(""))
+    asked = F.coalesce("source_query.turn_index", F.lit(0))
+    plain = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    average = F.coalesce("judge_average", F.lit(0.0)).alias("judge_average")
+    if not strong:
+        return F.struct(text(F.col("source_query.message"), 150).alias("source_query"), text(said(F.col("dislike_turn_id")), 250).alias("agent_response_preview"), plain("failure_dimension"), text(F.col("explanation"), 150).alias("explanation"), plain("signal_type"), average, plain("overall_quality"))
+    return F.struct(
+        text(F.col("source_query.message"), 300).alias("source_query"),
+        text(said(asked - 1), 300).alias("prior_turn"),
+        text(said(F.col("dislike_turn_id")), 500).alias("agent_response_preview"),
+        plain("failure_dimension"),
+        text(F.col("explanation"), 300).alias("explanation"),
+        plain("signal_type"),
+        plain("signal_confidence"),
+        average,
+        F.floor(asked / 2).cast("int").alias("context_rounds"),
     )
 
 
@@ -180,41 +228,79 @@ def _gram_rules(threshold: float, longest: int = COMPARED) -> tuple[int, list[in
     return length, shared
 
 
-def near_duplicates(df: DataFrame, id_column: str, threshold: float = 0.90) -> DataFrame:
+#: The best judged texts of a group that all others are compared with first, in as many rounds.
+LEADERS = (4,)
+#: Parts of a group, each of which names its best texts.
+PARTS = 64
+
+
+def _near(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (q, o of one group, with their first ids) that are near, compared in the order of their first ids."""
+    turned = (F.col("first_o") < F.col("first")) | ((F.col("first_o") == F.col("first")) & (F.col("o") < F.col("q")))
+    close = 2.0 * F.least(F.length("q"), F.length("o")) / (F.length("q") + F.length("o")) > threshold
+    compared = pairs.filter(close).withColumns({"_x": F.when(turned, F.col("o")).otherwise(F.col("q")), "_y": F.when(turned, F.col("q")).otherwise(F.col("o"))})
+    return sequence_similarity(compared, "_x", "_y", "ratio", thresholds=(threshold,)).filter(F.col("ratio") > threshold).drop("_x", "_y", "ratio")
+
+
+def _leaders(texts: DataFrame, count: int) -> DataFrame:
+    """g, o, first_o, w_o: the best judged texts of each group. Parts of a group give theirs first, so that no task ranks a large group."""
+    part = F.pmod(F.xxhash64("q"), F.lit(PARTS))
+    few = texts.withColumn("_n", F.row_number().over(W.partitionBy("g", part).orderBy("w"))).filter(F.col("_n") <= count)
+    best = few.withColumn("_n", F.row_number().over(W.partitionBy("g").orderBy("w"))).filter(F.col("_n") <= count)
+    return best.select("g", F.col("q").alias("o"), F.col("first").alias("first_o"), F.col("w").alias("w_o"))
+
+
+def near_duplicates(df: DataFrame, id_column: str, threshold: float = 0.90, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """id, duplicate_of: records of one dialogue, failing turn and source turn whose queries are nearly the same.
 
     The better judged record stays, of equals the one with the smaller id. Null keys are equal to each other; rows without an id or
-    a query are no duplicates. Equal queries are merged first. Different ones are compared if one of the rarest grams of both is the
-    same, so many of them that near texts can't miss each other, in the order of their first ids.
+    a query are no duplicates. Equal queries are merged first.
+
+    What a record needs is its best judged near text. All texts of a group are compared with the group's best few first: the best
+    of them that is near is the answer, as every better text was compared too. So a group whose texts are all near each other costs a few
+    comparisons for each text. Only texts that no leader settles are compared on, with the texts that share one of their
+    rarest grams, so many of them that near texts can't miss each other. Pairs are compared in the order of their first ids.
     """
     keys = F.to_json(F.struct("cid", "dislike_turn_id", F.col("source_query.turn_index").alias("st")))
     query = F.substring(F.coalesce("source_query.message", F.lit("")), 1, COMPARED)
     k = df.select(F.col(id_column).alias("id"), keys.alias("g"), query.alias("q"), F.struct((-F.coalesce("judge_average", F.lit(0.0))).alias("j"), F.col(id_column).alias("of")).alias("w")).filter("q <> '' and id is not null")
     texts = k.groupBy("g", "q").agg(F.min("id").alias("first"), F.min("w").alias("w"))
 
+    left, settled = texts, []
+    for count in leaders:
+        pairs = left.join(_leaders(texts, count), "g").filter(F.col("w_o") < F.col("w"))
+        found = materialize(_near(pairs, threshold).groupBy("g", "q").agg(F.min("w_o").alias("best")), "settled")
+        settled.append(found)
+        left = left.join(found, ["g", "q"], "left_anti")
+    left = materialize(left, "unsettled")
+    rest = _near(candidates_of(texts, left, threshold).filter(F.col("w_o") < F.col("w")), threshold).groupBy("g", "q").agg(F.min("w_o").alias("best"))
+    best = texts.select("g", "q", F.col("w").alias("best"))
+    for found in (*settled, rest):
+        best = best.unionByName(found)
+    best = best.groupBy("g", "q").agg(F.min("best").alias("best"))
+    marked = k.join(best, ["g", "q"]).filter((F.col("best") < F.col("w")) & (F.col("best")["of"] != F.col("id")))
+    return marked.groupBy("id").agg(F.min("best")["of"].alias("duplicate_of"))
+
+
+def candidates_of(texts: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of each asked text (q) with the other texts of its group (o) that may be near: both have one of the rarest grams of the other."""
     length, shared = _gram_rules(threshold)
     least = F.get(F.array(*map(F.lit, shared)), F.length("q"))
     n = F.length("q") - (length - 1)
     plain = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("q", i, F.lit(length)))
     # the second and later places of a gram are grams of their own
     numbered_grams = F.transform("_plain", lambda c, i: F.concat(c, F.size(F.filter(F.slice("_plain", F.lit(1), i), lambda e: e == c)).cast("string")))
-    grams = texts.withColumn("_least", least).filter((F.col("_least") > 0) & (n > 0)).withColumn("_plain", plain).select("g", "q", "first", "_least", F.explode(numbered_grams).alias("gram"))
+    # groups without an asked text have nothing to compare
+    open_groups = texts.join(asked.select("g").distinct(), "g", "left_semi")
+    marked = open_groups.join(asked.select("g", "q", F.lit(True).alias("asked")), ["g", "q"], "left")
+    grams = marked.withColumn("_least", least).filter((F.col("_least") > 0) & (n > 0)).withColumn("_plain", plain).select("g", "q", "first", "w", "asked", "_least", F.explode(numbered_grams).alias("gram"))
     counts = grams.groupBy("g", "gram").agg(F.count("*").alias("n"))
-    ordered = grams.join(counts, ["g", "gram"]).groupBy("g", "q").agg(F.first("first").alias("first"), F.first("_least").alias("_least"), F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("_grams"))
+    one = [F.first(c).alias(c) for c in ("first", "w", "asked", "_least")]
+    ordered = grams.join(counts, ["g", "gram"]).groupBy("g", "q").agg(*one, F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("_grams"))
     rare = F.slice("_grams", F.lit(1), F.greatest(F.size("_grams") - F.col("_least") + 1, F.lit(0)))
-    keyed = ordered.select("g", "q", "first", F.explode(F.filter(rare, lambda x: x["n"] > 1)["gram"]).alias("gram"))
-    x, y = (keyed.withColumnsRenamed({"q": f"q_{s}", "first": f"first_{s}"}) for s in "ab")
-    ordered_pairs = (F.col("first_a") < F.col("first_b")) | ((F.col("first_a") == F.col("first_b")) & (F.col("q_a") < F.col("q_b")))
-    close = 2.0 * F.least(F.length("q_a"), F.length("q_b")) / (F.length("q_a") + F.length("q_b")) > threshold
-    pairs = x.join(y, ["g", "gram"]).filter(ordered_pairs & close).select("g", "q_a", "q_b").distinct()
-    near = sequence_similarity(pairs, "q_a", "q_b", "ratio", thresholds=(threshold,)).filter(F.col("ratio") > threshold)
-
-    both = F.explode(F.array(F.struct(F.col("q_a").alias("q"), F.col("q_b").alias("o")), F.struct(F.col("q_b").alias("q"), F.col("q_a").alias("o")))).alias("p")
-    neighbours = near.select("g", both).select("g", "p.q", F.col("p.o").alias("o"))
-    of_others = neighbours.join(texts.select("g", F.col("q").alias("o"), "w"), ["g", "o"]).select("g", "q", "w")
-    best = texts.select("g", "q", "w").unionByName(of_others).groupBy("g", "q").agg(F.min("w").alias("best"))
-    marked = k.join(best, ["g", "q"]).filter((F.col("best") < F.col("w")) & (F.col("best")["of"] != F.col("id")))
-    return marked.groupBy("id").agg(F.min("best")["of"].alias("duplicate_of"))
+    keyed = ordered.select("g", "q", "first", "w", "asked", F.explode(F.filter(rare, lambda x: x["n"] > 1)["gram"]).alias("gram"))
+    others = keyed.drop("asked").withColumnsRenamed({"q": "o", "first": "first_o", "w": "w_o"})
+    return keyed.filter("asked").drop("asked").join(others, ["g", "gram"]).filter(F.col("q") != F.col("o")).drop("gram").dropDuplicates(["g", "q", "o"])
 
 
 def numbered(df: DataFrame, order: list[str], prefix: str, name: str = "id") -> DataFrame:
@@ -222,8 +308,6 @@ def numbered(df: DataFrame, order: list[str], prefix: str, name: str = "id") ->
 
     Rows are range-partitioned by the order; the partitions' sizes, one row each, give every partition its first number.
     """
-    from verdigris.sources.shared import materialize
-
     sorted_rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = sorted_rows.groupBy("_part").agg(F.count("*").alias("n"))
     first = sizes.withColumn("_first", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -263,17 +347,45 @@ def routed(candidates: DataFrame, judged: DataFrame, reasons: DataFrame | None =
     return out.withColumns({"route": route, "quality": quality, "reason": why, "failure_dimension": F.coalesce("corrected_dimension", "failure_dimension")}).drop("_reason")
 
 
-def saved_entries(candidates: DataFrame, dialogues: DataFrame) -> DataFrame:
-    """Saved records of routed candidates: source query, history before it, tags and labels with the normalised dimension."""
+#: Label fields of a saved record that come from the miner as they are, and those with a default.
+MINED = ("dislike_turn_id", "scenario", "sentiment", "complaint_snippet", "explanation", "recovery_attempted", "recovery_successful", "representativeness", "confidence")
+MINED_DEFAULTS = {"signal_type": "dislike", "signal_confidence": "high", "agent_response_preview": "", "user_reaction_after_failure": ""}
+
+
+def saved_entries(candidates: DataFrame, dialogues: DataFrame, enrichment: DataFrame | None = None, saved_at: Column | None = None) -> DataFrame:
+    """Saved records of routed candidates: cid, save_time, tags, source query, history before it, full history, enrichment and the 24 labels.
+
+    enrichment: cid, user_reactions, recovery_chains, reaction_summary, total_dissatisfied. Fields that the candidates lack are null, or their default.
+    """
     joined = candidates.filter("route = 'saved'").join(dialogues, "cid")
+    has = lambda c: F.col(c) if c in joined.columns else F.lit(None)
     source = F.col("source_query_turn_id")
-    explicit = F.col("sentiment") == "explicit" if "sentiment" in candidates.columns else F.lit(False)
-    out = joined.withColumns(
+    sentiment = F.coalesce(has("sentiment").cast("string"), F.lit("implicit"))
+    labelled = normalised(joined.withColumn("_raw_dim", F.coalesce("failure_dimension", F.lit(""))), "_raw_dim", "_dim")
+    label = F.struct(
+        *((sentiment if c == "sentiment" else has(c)).alias(c) for c in MINED),
+        F.col("_dim").alias("failure_dimension"),
+        F.col("_raw_dim").alias("failure_dimension_raw"),
+        *(F.coalesce(has(c).cast("string"), F.lit(v)).alias(c) for c, v in MINED_DEFAULTS.items()),
+        *(has(c).alias(c) for c in ("judge_scores", "judge_average")),
+        F.col("quality").alias("overall_quality"),
+        *(has(c).alias(c) for c in ("judge_audit", "miner_model", "judge_model", "miner_latency_s", "judge_latency_s")),
+        (F.coalesce(has("miner_tokens").cast("long"), F.lit(0)) + F.coalesce(has("judge_tokens").cast("long"), F.lit(0))).alias("total_tokens"),
+    )
+    before = F.filter("history", lambda m: m["turn_index"] < F.coalesce(source, F.lit(0)))
+    out = labelled.withColumns(
         {
+            "save_time": F.date_format(F.current_timestamp() if saved_at is None else saved_at, "yyyy-MM-dd HH:mm:ss"),
+            "tags": F.array(F.when(sentiment == "explicit", "failure_testcase").otherwise("query_testcase")),
             "source_query": F.struct(source.alias("turn_index"), F.coalesce(message_at(F.col("history"), source)["message"], F.lit("")).alias("message")),
-            "selected_history": F.filter("history", lambda m: m["turn_index"] < F.coalesce(source, F.lit(0))),
-            "tags": F.array(F.when(explicit, "failure_testcase").otherwise("query_testcase")),
-            "failure_dimension_raw": F.col("failure_dimension"),
+            "selected_turn_indices": F.transform(before, lambda m: m["turn_index"]),
+            "selected_history": before,
+            "auto_label": label,
         }
     )
-    return normalised(out, "failure_dimension_raw", "_dim").withColumn("failure_dimension", F.col("_dim")).drop("_dim").withColumnRenamed("history", "full_history")
+    columns = ["cid", "idx", "save_time", "tags", "source_query", "selected_turn_indices", "selected_history", F.col("history").alias("full_history"), "auto_label"]
+    if enrichment is None:
+        return out.select(*columns)
+    fields = ("user_reactions", "recovery_chains", "reaction_summary", "total_dissatisfied")
+    found = enrichment.select("cid", F.struct(*fields).alias("enrichment"))
+    return out.select(*columns).join(found, "cid", "left")

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from verdigris.functions import lexicons as L
 from verdigris.functions import text as T
+from verdigris.sources.shared import has_files
 
 # Labels that scorers expect in their prompts.
 USER, MODEL, NO_HISTORY, NONE = "用户", "AI", "（无历史对话）", "无"
@@ -131,17 +132,68 @@ def extracted_json(outputs: DataFrame, column: str) -> DataFrame:
     return easy.unionByName(rest)
 
 
-def scored_in_batches(prompts: DataFrame, key: str, scorer: Callable[[list[str]], list[str]], batch: int = 20) -> DataFrame:
-    """key, output of a scorer that takes prompts in batches; missing answers are null. Recorded outputs need no scorer: join them on the key."""
+def _asked(scorer: Callable[[list[str]], object], prompts: list[str]) -> tuple[dict[int, str], str]:
+    """Answers by index, and the error if there was one. A scorer answers with texts in order, or in any order with (index, text) or {index, output}."""
+    try:
+        given = list(scorer(prompts))
+    except Exception as e:  # a scorer may fail in any way; its batch is asked again
+        return {}, f"{type(e).__name__}: {e}"[:200]
+    out: dict[int, str] = {}
+    for place, x in enumerate(given):
+        index, text = (x.get("index"), x.get("output")) if isinstance(x, dict) else x if isinstance(x, tuple) else (place, x)
+        if isinstance(index, int) and 0 <= index < len(prompts) and text is not None:
+            out.setdefault(index, str(text))
+    return out, "" if len(out) == len(prompts) else "unanswered"
+
+
+def scored_in_batches(prompts: DataFrame, key: str, scorer: Callable[[list[str]], object], batch: int = 20, attempts: int = 2) -> DataFrame:
+    """key, output, tries, error of a scorer that takes prompts in batches. Recorded outputs need no scorer: join them on the key.
+
+    Answers with an index are put there, whatever their order; indices out of range and second answers are ignored. What a batch
+    leaves open, because the scorer raised or answered too little, is asked again together, up to attempts times, then one by one:
+    a prompt that can't be scored costs none of its neighbours. Its output is null and error says why.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]
-                answers = list(scorer(part["prompt"].tolist()))[: len(part)]
-                yield pd.DataFrame({key: part[key], "output": answers + [None] * (len(part) - len(answers))})
-
-    return prompts.select(key, "prompt").mapInPandas(run, f"{key} {prompts.schema[key].dataType.simpleString()}, output string")
+                texts = part["prompt"].tolist()
+                found: dict[int, str] = {}
+                tries, errors = [0] * len(texts), [""] * len(texts)
+                rounds = [len(texts)] * attempts + [1]
+                for size in rounds:
+                    left = [k for k in range(len(texts)) if k not in found]
+                    for j in range(0, len(left), size):
+                        some = left[j : j + size]
+                        answers, error = _asked(scorer, [texts[k] for k in some])
+                        found |= {some[k]: v for k, v in answers.items()}
+                        for k in some:
+                            tries[k] += 1
+                            errors[k] = "" if k in found else error
+                yield pd.DataFrame({key: part[key], "output": [found.get(k) for k in range(len(texts))], "tries": tries, "error": errors})
+
+    return prompts.select(key, "prompt").mapInPandas(run, f"{key} {prompts.schema[key].dataType.simpleString()}, output string, tries int, error string")
+
+
+def scored_with_ledger(prompts: DataFrame, key: str, scorer: Callable[[list[str]], object], ledger: str, slices: int = 8, **how) -> DataFrame:
+    """The answers of all prompts, asking only for those that the ledger lacks.
+
+    The ledger is a table by slices of the key's hash. Each slice is scored and committed on its own, so a run that breaks off loses one
+    slice at most, and the next run begins there; prompts that failed are asked again. A slice is compared with its own part of the ledger only.
+    """
+    spark = prompts.sparkSession
+    kind = f"{key} {prompts.schema[key].dataType.simpleString()}, output string, tries int, error string"
+    of_slice = prompts.select(key, "prompt").withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)))
+    for n in range(slices):
+        path = f"{ledger}/slice={n}"
+        todo = of_slice.filter(F.col("_slice") == n).drop("_slice")
+        if has_files(spark, path):
+            todo = todo.join(spark.read.schema(kind).parquet(path).filter("output is not null").select(key), key, "left_anti")
+        scored_in_batches(todo, key, scorer, **how).write.mode("append").parquet(path)
+    answers = spark.read.schema(kind).parquet(*(f"{ledger}/slice={n}" for n in range(slices)))
+    # the answer, or where there is none the last error
+    return answers.groupBy(key).agg(F.max("output").alias("output"), F.sum("tries").alias("tries"), F.when(F.max("output").isNull(), F.max("error")).otherwise("").alias("error"))
 
 
 def accuracy(results: DataFrame, *by: str, predicted: str = "predicted", truth: str = "ground_truth") -> DataFrame:
@@ -151,8 +203,31 @@ def accuracy(results: DataFrame, *by: str, predicted: str = "predicted", truth:
     return results.groupBy(*by).agg(F.count_if(t == 1).alias("n_good"), F.count_if(t == -1).alias("n_bad"), F.round(share(1), 2).alias("good_acc"), F.round(share(-1), 2).alias("bad_acc"), F.round((share(1) + share(-1)) / 2, 2).alias("avg_acc"))
 
 
-def metrics(judged: DataFrame, *by: str) -> DataFrame:
-    """Counts, shares, scores and latency of judged answers, with error 'no_valid' where nothing was judged."""
+#: Ranks by which the sketched bracket of a median may be off, as a share of the rows.
+SKETCH = 10_000
+
+
+def upper_medians(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """by, p50: the exact upper median (of n values the one at place n // 2) of each group.
+
+    A mergeable sketch brackets the median between two values with about 4 / SKETCH of the rows between them; a second pass counts
+    what lies below and, for each different value, within. No task holds the values of a group, and hot groups are pre-aggregated.
+    """
+    v = F.col(value)
+    share = 2.0 / SKETCH
+    ends = df.filter(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx(v, [0.5 - share, 0.5 + share], SKETCH).alias("_ends"))
+    named = ends.select(*(F.col(c).alias(f"_{c}") for c in by), "_n", "_ends")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    low, high = F.col("_ends")[0], F.col("_ends")[1]
+    # what lies below the bracket is one value; below a bracket that begins there is nothing
+    slot = F.when(v < low, F.lit(float("-inf"))).when(v <= high, v)
+    counts = df.filter(v.isNotNull()).join(named, same).withColumn("_v", slot).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    upto = F.sum("_k").over(W.partitionBy(*by).orderBy("_v"))
+    return counts.withColumn("_upto", upto).filter(F.col("_upto") > F.floor(F.col("_n") / 2)).groupBy(*by).agg(F.min("_v").alias("p50"))
+
+
+def metrics(judged: DataFrame, *by: str, median: bool = True) -> DataFrame:
+    """Counts, shares, scores and latency of judged answers, with error 'no_valid' where nothing was judged; the median is a pass of its own."""
     v, s = F.coalesce("verdict", F.lit(0)), F.col("score")
     good, bad = F.count_if(v == 1), F.count_if(v == -1)
     g = judged.groupBy(*by).agg(
@@ -164,12 +239,13 @@ def metrics(judged: DataFrame, *by: str) -> DataFrame:
         F.round(F.try_divide(good, good + bad), 4).alias("good_pct"),
         F.round(F.try_divide(bad, good + bad), 4).alias("bad_pct"),
         F.round(F.avg(s), 4).alias("score_mean"),
-        # the upper median
-        F.round(F.expr("percentile_disc(0.5) within group (order by score desc)"), 4).alias("score_p50"),
         F.round(F.avg(F.when(v == 1, s)), 4).alias("good_score_mean"),
         F.round(F.avg(F.when(v == -1, s)), 4).alias("bad_score_mean"),
         F.round(F.coalesce(F.avg(F.when(F.col("latency_s") > 0, F.col("latency_s"))), F.lit(0.0)), 3).alias("avg_latency_s"),
     )
+    if median:
+        m = upper_medians(judged, "score", *by).select(*(F.col(c).alias(f"_{c}") for c in by), F.round("p50", 4).alias("score_p50"))
+        g = g.join(m, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*(f"_{c}" for c in by))
     return g.withColumn("error", F.when(F.col("n_valid") == 0, "no_valid"))
 
 

@@ -9,10 +9,15 @@ from verdigris.functions import lexicons as L
 from verdigris.functions import text as T
 from verdigris.operators import curate as C
 from verdigris.operators import sampling as K
+from verdigris.operators import serving as V
 from verdigris.operators import turns as O
 from verdigris.plans.registry import query
 from verdigris.plans.turn_queries import LEXICON, REACTED, SIGNALS
 from verdigris.sources import fixtures as X
+from verdigris.sources.shared import fresh
+
+#: The reactions, behind the signals.
+REACTED_ONLY = REACTED.removeprefix(SIGNALS).lstrip(", \n")
 
 
 def quoted(s: str) -> str:
@@ -97,14 +102,19 @@ def p16(spark, d):
     return X.saved(spark, d).groupBy(F.md5(T.query_key(F.col("source_query.message"))).alias("query_key")).agg(F.count("*").alias("n"))
 
 
-@query("p30_review_summaries", f"SELECT cid, substring(sq_message, 1, 150) AS source_query, substring(coalesce((SELECT t.message FROM turns t WHERE t.cid = s.h AND t.turn_index = s.dislike_turn_id AND t.role = 'assistant'), ''), 1, 250) AS preview, substring(coalesce((SELECT t.message FROM turns t WHERE t.cid = s.h AND t.turn_index = s.sq_turn - 1 AND t.role = 'assistant'), ''), 1, 300) AS prior_turn, (sq_turn // 2)::BIGINT AS context_rounds, substring(explanation, 1, 150) AS explanation FROM saved s")
+SAID = "coalesce((SELECT t.message FROM turns t WHERE t.cid = s.h AND t.turn_index = {} AND t.role = 'assistant'), '')"
+
+
+@query("p30_review_summaries", f"SELECT cid, substring(sq_message, 1, 150) AS source_query, substring({SAID.format('s.dislike_turn_id')}, 1, 250) AS agent_response_preview, coalesce(failure_dimension, '') AS failure_dimension, substring(explanation, 1, 150) AS explanation, signal_type, round(judge_average, 6) AS judge_average, overall_quality FROM saved s")
 def p30(spark, d):
-    s = X.saved(spark, d, histories=True).withColumns({"rounds": F.expr("source_query.turn_index div 2"), "before": F.col("source_query.turn_index") - 1})
-    said = lambda turn: F.coalesce(F.get(F.filter("full_history", lambda m: (m["turn_index"] == turn) & (m["role"] == "assistant")), F.lit(0))["message"], F.lit(""))
-    return s.select(
-        "cid", F.substring("source_query.message", 1, 150).alias("source_query"), F.substring(said(F.col("dislike_turn_id")), 1, 250).alias("preview"), F.substring(said(F.col("before")), 1, 300).alias("prior_turn"),
-        F.col("rounds").alias("context_rounds"), F.substring("explanation", 1, 150).alias("explanation"),
-    )
+    s = X.saved(spark, d, histories=True)
+    return s.select("cid", C.review_summary(s).alias("s")).select("cid", "s.*").withColumn("judge_average", F.round("judge_average", 6))
+
+
+@query("p30_strong_review_summaries", f"SELECT cid, substring(sq_message, 1, 300) AS source_query, substring({SAID.format('s.sq_turn - 1')}, 1, 300) AS prior_turn, substring({SAID.format('s.dislike_turn_id')}, 1, 500) AS agent_response_preview, coalesce(failure_dimension, '') AS failure_dimension, substring(explanation, 1, 300) AS explanation, signal_type, signal_confidence, round(judge_average, 6) AS judge_average, (sq_turn // 2)::INT AS context_rounds FROM saved s")
+def p30_strong(spark, d):
+    s = X.saved(spark, d, histories=True)
+    return s.select("cid", C.review_summary(s, strong=True).alias("s")).select("cid", "s.*").withColumn("judge_average", F.round("judge_average", 6))
 
 
 @query(
@@ -190,10 +200,23 @@ def a5(spark, d):
     return C.benchmark_funnel(X.saved(spark, d, histories=True)).groupBy(F.coalesce("fail_reason", F.lit("passed")).alias("rule")).agg(F.count("*").alias("n"))
 
 
-@query("o14_benchmark_entries", f"WITH {FUNNEL} SELECT cid, sq_turn, response AS agent_response_full, failure_dimension, scenario, overall_quality, round(judge_average, 6) AS judge_average, substring(response, 1, 200) AS preview, CASE WHEN s4 >= 4 THEN 'critical' WHEN s4 >= 3 THEN 'moderate' ELSE 'mild' END AS severity_tier, (SELECT count(*) FROM turns t WHERE t.cid = f.h AND t.turn_index < f.sq_turn) AS n_selected FROM f WHERE fail_reason IS NULL")
+@query(
+    "o14_benchmark_entries",
+    f"""WITH {FUNNEL} SELECT cid, save_time, sq_turn, md5(sq_message) AS query, coalesce((SELECT string_agg(t.turn_index, ',' ORDER BY pos) FROM turns t WHERE t.cid = f.h AND t.turn_index < f.sq_turn), '') AS selected_turn_indices,
+    md5(coalesce((SELECT string_agg(t.role || t.message, '' ORDER BY pos) FROM turns t WHERE t.cid = f.h AND t.turn_index < f.sq_turn), '')) AS selected_history, response AS agent_response_full, failure_dimension, failure_dimension_raw, scenario, severity_tier, overall_quality,
+    round(judge_average, 6) AS judge_average, concat_ws(',', s1::INT, s2::INT, s3::INT, s4::INT, s5::INT) AS judge_scores, judge_audit, needs_context::INT AS needs_context, needs_image::INT AS needs_image, is_duplicate::INT AS is_duplicate, md5(explanation) AS explanation,
+    substring(response, 1, 200) AS agent_response_preview, signal_type, signal_confidence, dislike_turn_id, representativeness, round(confidence, 6) AS confidence, qa_verdict, qa_issues, qa_notes, reclassified::INT AS failure_dimension_reclassified, reclassify_confidence FROM f WHERE fail_reason IS NULL""",
+)
 def o14(spark, d):
     e = C.benchmark_entries(C.benchmark_funnel(X.saved(spark, d, histories=True)))
-    return e.select("cid", F.col("source_query.turn_index").alias("sq_turn"), "agent_response_full", "failure_dimension", "scenario", "overall_quality", F.round("judge_average", 6).alias("judge_average"), F.col("agent_response_preview").alias("preview"), "severity_tier", F.size("selected_turn_indices").cast("long").alias("n_selected"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    scores = F.concat_ws(",", *(F.col("judge_scores")[a].cast("int").cast("string") for a in X.AXES))
+    flat = {
+        "sq_turn": F.col("source_query.turn_index"), "query": F.md5("source_query.message"), "selected_turn_indices": joined("selected_turn_indices"), "selected_history": F.md5(F.array_join(F.transform("selected_history", lambda m: F.concat(m["role"], m["message"])), "")),
+        "judge_scores": scores, "judge_average": F.round("judge_average", 6), "confidence": F.round("confidence", 6), "explanation": F.md5("explanation"), "qa_issues": joined("qa_issues"),
+    } | {c: F.col(c).cast("int") for c in ("needs_context", "needs_image", "is_duplicate", "failure_dimension_reclassified")}
+    assert len(e.columns) == 29
+    return e.withColumns(flat).drop("source_query")
 
 
 TRACK = "CASE WHEN signal_type IN ('explicit_complaint', 'repeat_query', 'rephrase_query', 'repeat', 'rephrase') OR (signal_type = 'dislike' AND sentiment = 'explicit') OR (signal_type = 'dislike' AND judge_average >= 4.5 AND confidence >= 0.9) THEN 'A' ELSE 'B' END"
@@ -344,19 +367,28 @@ def a6(spark, d):
     return s.groupBy("failure_dimension", "scenario").agg(F.count("*").alias("n"), F.count_if(gate).alias("n_quality"), F.count_if(gate & solvable).alias("n_solvable"), F.count_if(gate & solvable & hard).alias("n_difficult"), F.round(F.avg("judge_average"), 4).alias("average"))
 
 
-FACETS = ("failure_dimension", "scenario", "signal_type", "signal_confidence", "representativeness", "overall_quality")
+FACETS = ("failure_dimension", "scenario", "signal_type", "signal_confidence", "representativeness", "overall_quality", "difficulty", "severity_tier")
+HISTORY = "CASE WHEN k = 0 THEN '0' WHEN k <= 2 THEN '1-2' WHEN k <= 5 THEN '3-5' WHEN k <= 10 THEN '6-10' WHEN k <= 15 THEN '11-15' ELSE '16+' END"
 
 
 @query(
     "a7_facet_report",
-    "WITH u AS ("
-    + " UNION ALL ".join(f"SELECT '{f}' AS facet, coalesce({f}, 'Unknown') AS value FROM saved" for f in FACETS)
-    + """ UNION ALL SELECT 'depth', CASE WHEN sq_turn = 0 THEN '0' WHEN sq_turn <= 2 THEN '1-2' WHEN sq_turn <= 5 THEN '3-5' ELSE '6-10' END FROM saved)
-    SELECT facet, value, count(*) AS n FROM u GROUP BY ALL""",
+    "WITH n AS (SELECT *, (SELECT count(*) FROM turns t WHERE t.cid = s.h AND t.turn_index < s.sq_turn) AS k FROM saved s), u AS ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS facet, coalesce({f}, '{'None' if f == 'severity_tier' else 'Unknown'}') AS value FROM n" for f in FACETS)
+    + f""" UNION ALL SELECT 'depth', CASE WHEN sq_turn = 0 THEN '0' WHEN sq_turn <= 2 THEN '1-2' WHEN sq_turn <= 5 THEN '3-5' ELSE '6-10' END FROM n UNION ALL SELECT 'history', {HISTORY} FROM n
+    UNION ALL SELECT 'needs_context', 'true' FROM n WHERE needs_context UNION ALL SELECT 'needs_image', 'true' FROM n WHERE needs_image)
+    SELECT facet, value, CASE facet WHEN 'depth' THEN list_position(['0', '1-2', '3-5', '6-10'], value) - 1 WHEN 'history' THEN list_position(['0', '1-2', '3-5', '6-10', '11-15', '16+'], value) - 1 END AS position, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM saved), 1) AS pct FROM u GROUP BY ALL""",
 )
 def a7(spark, d):
-    values = [F.struct(F.lit(f).alias("facet"), F.coalesce(f, F.lit("Unknown")).alias("value")) for f in FACETS] + [F.struct(F.lit("depth").alias("facet"), T.depth_bucket(F.col("source_query.turn_index")).alias("value"))]
-    return X.saved(spark, d).select(F.explode(F.array(*values)).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
+    """All counters of the report in one pass; the two bucketed ones have their places, and each value its share."""
+    s = X.saved(spark, d, histories=True)
+    named = {f: F.coalesce(f, F.lit("None" if f == "severity_tier" else "Unknown")) for f in FACETS}
+    named |= {"depth": T.depth_bucket(F.col("source_query.turn_index")), "history": T.history_bucket(F.size("selected_history"))}
+    named |= {f: F.when(F.col(f), "true") for f in ("needs_context", "needs_image")}
+    counts = V.facet_counts(s, named, {}).filter("value is not null").select("facet", "value", "n")
+    place = F.when(F.col("facet") == "depth", T.position(L.DEPTH_ORDER, F.col("value"))).when(F.col("facet") == "history", T.position(L.HISTORY_ORDER, F.col("value")))
+    total = s.agg(F.count("*").alias("_total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("facet", "value", place.alias("position"), "n", F.round(F.try_divide(F.col("n") * 100.0, "_total"), 1).alias("pct"))
 
 
 @query("a7_axis_averages", " UNION ALL ".join(f"SELECT '{a}' AS axis, round(avg(s{i + 1}), 2) AS average FROM saved" for i, a in enumerate(X.AXES)))
@@ -370,10 +402,41 @@ def p17(spark, d):
     return b.groupBy("bucket", T.position(L.HISTORY_ORDER, F.col("bucket")).alias("position")).agg(F.count("*").alias("n"))
 
 
-@query("a8_active_stats", "SELECT count(*) AS n, count(*) FILTER (needs_image) AS n_image, count(*) FILTER (needs_context) AS n_context, round(sum(judge_average), 4) AS judge_sum, round(sum(confidence), 4) AS confidence_sum, count(DISTINCT failure_dimension) AS n_dimensions FROM saved WHERE NOT is_duplicate")
+#: The counters of the cached statistics and the columns that they count.
+STATS_FACETS = ("dims:failure_dimension", "signals:signal_type", "qualities:overall_quality", "sentiments:sentiment", "severities:severity_tier")
+
+
+def stats(df: DataFrame, sign: int = 1) -> DataFrame:
+    """facet, value, n, total of active records: five counters, the flags, how many there are, and two sums."""
+    flag = lambda c: F.when(c, "true")
+    facets = {k: F.coalesce(v, F.lit("?")) for k, v in (x.split(":") for x in STATS_FACETS)}
+    facets |= {"count": F.lit("true"), "n_img": flag(F.col("needs_image")), "n_ctx": flag(F.col("needs_context")), "n_qa": flag(F.col("qa_verdict").isNotNull()), "n_qa_keep": flag(F.col("qa_verdict.verdict") == "keep"), "n_has_raw": flag(F.coalesce("failure_dimension_raw", F.lit("")) != "")}
+    active = df.filter(~F.coalesce("is_duplicate", F.lit(False)))
+    return V.facet_counts(active, facets, {"judge_sum": F.col("judge_average"), "conf_sum": F.col("confidence")}, sign).filter("value is not null or facet in ('judge_sum', 'conf_sum')")
+
+
+STATS_SQL = (
+    "u AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS facet, coalesce({v}, '?') AS value, 0.0::DOUBLE AS x FROM k" for k, v in (x.split(":") for x in STATS_FACETS))
+    + "".join(f" UNION ALL SELECT '{k}', 'true', 0 FROM k WHERE {v}" for k, v in (("count", "true"), ("n_img", "needs_image"), ("n_ctx", "needs_context"), ("n_qa", "qa_verdict IS NOT NULL"), ("n_qa_keep", "qa_verdict = 'keep'"), ("n_has_raw", "failure_dimension_raw <> ''")))
+    + " UNION ALL SELECT 'judge_sum', NULL, judge_average FROM k UNION ALL SELECT 'conf_sum', NULL, confidence FROM k) SELECT facet, value, count(*) AS n, round(sum(x), 4) AS total FROM u GROUP BY ALL"
+)
+
+
+@query("a8_active_stats", f"WITH k AS (SELECT * FROM saved WHERE NOT is_duplicate), {STATS_SQL}")
 def a8(spark, d):
-    s = X.saved(spark, d).filter(~F.coalesce("is_duplicate", F.lit(False)))
-    return s.agg(F.count("*").alias("n"), F.count_if("needs_image").alias("n_image"), F.count_if("needs_context").alias("n_context"), F.round(F.sum("judge_average"), 4).alias("judge_sum"), F.round(F.sum("confidence"), 4).alias("confidence_sum"), F.countDistinct("failure_dimension").alias("n_dimensions"))
+    return stats(X.saved(spark, d)).withColumn("total", F.round("total", 4))
+
+
+@query("a8_kept_stats", f"WITH k AS (SELECT * FROM saved WHERE NOT is_duplicate AND doc_id % 7 <> 0), {STATS_SQL}")
+def a8_kept(spark, d):
+    """The same without excluded records, from counters that saves add to and exclusions take from; no record is counted twice."""
+    s, path = X.saved(spark, d), fresh(spark, "stats")
+    for k in range(2):
+        V.add_counts(stats(s.filter(F.col("doc_id") % 2 == k)), path, f"save{k}")
+    for _ in range(2):  # a change that is tried again replaces itself
+        V.add_counts(stats(s.filter("doc_id % 7 = 0"), sign=-1), path, "exclude")
+    return V.current_counts(spark, path).withColumn("total", F.round(F.col("total") + 0.0, 4))
 
 
 @query("s12_summary_counters", "SELECT 'quality' AS metric, overall_quality AS key, count(*)::DOUBLE AS value FROM saved GROUP BY ALL UNION ALL SELECT 'signal', signal_type, count(*)::DOUBLE FROM saved GROUP BY ALL UNION ALL SELECT 'judge_sum', 'all', round(sum(judge_average), 4) FROM saved")
@@ -420,17 +483,38 @@ def a10(spark, d):
 
 @query("s9_routed_rows", f"WITH {ROUTES} SELECT route, cid, idx FROM rt")
 def s9(spark, d):
-    from verdigris.sources.shared import fresh
-
     path = fresh(spark, "routes")
     _routed(spark, d).select("route", "cid", "idx").write.partitionBy("route").parquet(path)
     return spark.read.schema("cid string, idx int, route string").parquet(path)
 
 
-@query("o4_saved_records", f"WITH {ROUTES} SELECT rt.cid, rt.idx, c.source_query_turn_id, (SELECT coalesce(max(t.message), '') FROM turns t WHERE t.cid = rt.cid AND t.turn_index = c.source_query_turn_id) AS query, (SELECT count(*) FROM turns t WHERE t.cid = rt.cid AND t.turn_index < c.source_query_turn_id) AS n_selected FROM rt JOIN candidates c ON c.cid = rt.cid AND c.idx = rt.idx WHERE route = 'saved'")
+@query(
+    "o4_saved_records",
+    f"""WITH {ROUTES}, {REACTED_ONLY} SELECT rt.cid, rt.idx, '2024-02-01 00:00:00' AS save_time, CASE WHEN c.n % 2 = 0 THEN 'failure_testcase' ELSE 'query_testcase' END AS tag, c.source_query_turn_id AS source_turn, (SELECT coalesce(max(t.message), '') FROM turns t WHERE t.cid = rt.cid AND t.turn_index = c.source_query_turn_id) AS query,
+    coalesce((SELECT string_agg(t.turn_index, ',' ORDER BY pos) FROM turns t WHERE t.cid = rt.cid AND t.turn_index < c.source_query_turn_id), '') AS selected, (SELECT count(*) FROM turns t WHERE t.cid = rt.cid) AS n_history, coalesce((SELECT count(*) FROM r WHERE r.cid = rt.cid AND r.dissatisfied), 0) AS total_dissatisfied,
+    c.dislike_turn_id, {quoted(L.OTHER)} AS failure_dimension, coalesce(CASE WHEN c.n % 7 = 0 AND j.cid IS NOT NULL THEN 'corrected' END, c.failure_dimension) AS failure_dimension_raw, ['writing', 'coding', 'chat'][(c.n % 3 + 1)::INT] AS scenario, CASE WHEN c.n % 2 = 0 THEN 'explicit' ELSE 'implicit' END AS sentiment,
+    CASE WHEN c.n % 3 = 0 THEN 'not right' END AS complaint_snippet, 'turn ' || c.n AS explanation, CASE WHEN c.n % 4 <> 0 THEN CASE WHEN c.n % 2 = 0 THEN 'repeat' ELSE 'rephrase' END ELSE 'dislike' END AS signal_type, CASE WHEN c.n % 5 <> 0 THEN 'medium' ELSE 'high' END AS signal_confidence,
+    (SELECT substring(coalesce(max(t.message), ''), 1, 200) FROM turns t WHERE t.cid = rt.cid AND t.turn_index = c.dislike_turn_id) AS agent_response_preview, CASE WHEN c.n % 4 <> 0 THEN 'repeat' ELSE '' END AS user_reaction_after_failure, (c.n % 2 = 0)::INT AS recovery_attempted, (c.n % 6 = 0)::INT AS recovery_successful,
+    CASE WHEN c.n % 5 = 0 THEN 'low' ELSE 'high' END AS representativeness, round(c.confidence, 6) AS confidence, CASE WHEN j.cid IS NOT NULL THEN (1 + c.n % 5) || ',' || (1 + c.n % 3) END AS judge_scores, CASE WHEN j.cid IS NOT NULL THEN round((2 + c.n % 5 + c.n % 3) / 2.0::DOUBLE, 6) END AS judge_average, rt.quality AS overall_quality,
+    CASE WHEN j.cid IS NOT NULL THEN 'audit ' || c.n END AS judge_audit, 'miner' AS miner_model, CASE WHEN j.cid IS NOT NULL THEN 'judge' END AS judge_model, round((c.n % 7) / 10.0::DOUBLE, 6) AS miner_latency_s, CASE WHEN j.cid IS NOT NULL THEN round((c.n % 9) / 10.0::DOUBLE, 6) END AS judge_latency_s,
+    c.n % 100 + CASE WHEN j.cid IS NOT NULL THEN c.n % 50 ELSE 0 END AS total_tokens
+    FROM rt JOIN candidates c ON c.cid = rt.cid AND c.idx = rt.idx LEFT JOIN judge_out j ON j.cid = rt.cid AND j.candidate_index = rt.idx WHERE route = 'saved'""",
+)
 def o4(spark, d):
-    e = C.saved_entries(_routed(spark, d), X.dialogues(X.turns(spark, d)))
-    return e.select("cid", "idx", "source_query_turn_id", F.col("source_query.message").alias("query"), F.size("selected_history").cast("long").alias("n_selected"))
+    t = X.turns(spark, d)
+    preview = t.select("cid", F.col("turn_index").alias("dislike_turn_id"), F.substring("message", 1, 200).alias("agent_response_preview"))
+    mined = X.mined(spark, d).join(preview, ["cid", "dislike_turn_id"], "left")
+    routed = C.routed(mined, X.judge_out(spark, d), O.prefilter(O.signals(t), X.UNSAFE))
+    enriched = O.enriched(t, similarity="jaccard", **LEXICON)
+    e = C.saved_entries(routed, X.dialogues(t), enriched, F.timestamp_seconds(F.lit(1706745600)))
+    assert len(e.schema["auto_label"].dataType.fields) == 24
+    label = e.select("*", "auto_label.*")
+    flat = {
+        "tag": F.get("tags", F.lit(0)), "source_turn": F.col("source_query.turn_index"), "query": F.col("source_query.message"), "selected": F.array_join(F.transform("selected_turn_indices", lambda x: x.cast("string")), ","), "n_history": F.size("full_history").cast("long"),
+        "total_dissatisfied": F.coalesce(F.col("enrichment.total_dissatisfied").cast("long"), F.lit(0)), "recovery_attempted": F.col("recovery_attempted").cast("int"), "recovery_successful": F.col("recovery_successful").cast("int"),
+        "judge_scores": F.when(F.col("judge_scores").isNotNull(), F.concat_ws(",", F.col("judge_scores")["severity"].cast("int").cast("string"), F.col("judge_scores")["representativeness"].cast("int").cast("string"))),
+    } | {c: F.round(c, 6) for c in ("confidence", "judge_average", "miner_latency_s", "judge_latency_s")}
+    return label.withColumns(flat).drop("auto_label", "enrichment", "tags", "source_query", "selected_turn_indices", "selected_history", "full_history")
 
 
 @query("j6_review_verdicts", "SELECT doc_id, coalesce(v1, 'keep') AS verdict, CASE WHEN v1 IS NULL THEN 'qa_parse_miss' ELSE '' END AS notes FROM documents LEFT JOIN qa_out USING (doc_id)")
@@ -517,7 +601,23 @@ def o8(spark, d):
     return e.groupBy("dimension", "tier", "image", "context", F.col("duplicate_of").isNotNull().alias("duplicate")).agg(F.count("*").alias("n"), F.count_if("ordering_fixed").alias("n_fixed"))
 
 
-@query("f6_faceted_search", "SELECT cid FROM saved WHERE scenario = 'en' AND contains(lower(sq_message || ' ' || coalesce(failure_dimension, '') || ' ' || coalesce(explanation, '')), 'the th')")
+HAY = "lower(concat_ws(' ', sq_message, coalesce(failure_dimension, ''), coalesce(explanation, ''), coalesce(judge_audit, '')))"
+
+
+def _haystack():
+    return [F.coalesce(c, F.lit("")) for c in ("source_query.message", "failure_dimension", "explanation", "judge_audit")]
+
+
+@query("f6_faceted_search", f"SELECT cid FROM saved WHERE scenario = 'en' AND contains({HAY}, 'the th')")
 def f6(spark, d):
-    hay = F.lower(F.concat_ws(" ", "source_query.message", F.coalesce("failure_dimension", F.lit("")), F.coalesce("explanation", F.lit(""))))
+    hay = F.lower(F.concat_ws(" ", *_haystack()))
     return X.saved(spark, d).filter((F.col("scenario") == "en") & F.contains(hay, F.lit("the th"))).select("cid")
+
+
+@query("f6_indexed_search", f"SELECT cid, 'zuu' AS needle FROM saved WHERE contains({HAY}, 'zuu') UNION ALL SELECT cid, 'Audit of src1 ' FROM saved WHERE difficulty = 'hard' AND contains({HAY} || ' ', 'audit of src1 ')")
+def f6_indexed(spark, d):
+    """Substrings looked for in an index of grams by block."""
+    path = fresh(spark, "search")
+    V.write_search(X.saved(spark, d).select("cid", "difficulty", "source_query", "failure_dimension", "explanation", "judge_audit"), "cid", [*_haystack(), F.lit("")], path)
+    one = V.search(spark, path, "zuu").select("cid", F.lit("zuu").alias("needle"))
+    return one.unionByName(V.search(spark, path, "Audit of src1 ", difficulty="hard").select("cid", F.lit("Audit of src1 ").alias("needle")))

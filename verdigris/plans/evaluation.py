@@ -9,8 +9,10 @@ from verdigris.functions import lexicons as L
 from verdigris.functions import text as T
 from verdigris.operators import evaluate as E
 from verdigris.operators import sampling as K
+from verdigris.operators import serving as V
 from verdigris.plans.registry import query
 from verdigris.sources import fixtures as X
+from verdigris.sources.shared import fresh
 
 TEMPLATE = "[{context}]<{prompt}>({response})"
 
@@ -149,18 +151,52 @@ def a4(spark, d):
 
 @query("k1_leaderboards", f"WITH m AS (SELECT judged_model AS model, {METRICS} FROM judged GROUP BY ALL) SELECT model, good_pct, score_mean, row_number() OVER (ORDER BY coalesce(good_pct, -1) DESC, model) AS rank_binary, row_number() OVER (ORDER BY coalesce(score_mean, -1) DESC, model) AS rank_score FROM m")
 def k1(spark, d):
-    m = E.metrics(X.judged(spark, d).withColumnRenamed("judged_model", "model"), "model").select("model", "good_pct", "score_mean")
+    m = E.metrics(X.judged(spark, d).withColumnRenamed("judged_model", "model"), "model", median=False).select("model", "good_pct", "score_mean")
     return E.leaderboard(E.leaderboard(m, "good_pct", rank="rank_binary"), "score_mean", rank="rank_score")
 
 
-@query("o17_scoring", "WITH v AS (SELECT r.model, r.cid, length(r.generated_response) % 3 - 1 AS verdict FROM responses r JOIN task2 k ON k.cid = r.cid WHERE trim(r.generated_response) <> '' AND NOT contains(r.generated_response, '__ERROR__')) SELECT model, count(*) AS n_total, count(*) FILTER (verdict = 1) AS n_good, count(*) FILTER (verdict = -1) AS n_bad, round(count(*) FILTER (verdict = 1) / nullif(count(*) FILTER (verdict <> 0), 0)::DOUBLE, 4) AS good_pct FROM v GROUP BY model")
-def o17(spark, d):
+#: What the recorded scorer gave for a response of n characters: its text, the log-probabilities of the two verdicts and its time.
+SCORED = """v AS (SELECT r.model, r.cid, length(r.generated_response) AS z, CASE z % 3 WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE 1 END AS verdict, CASE WHEN z % 5 <> 0 THEN -(z % 7) / 4.0::DOUBLE END AS g, CASE WHEN z % 4 <> 0 THEN -(z % 11) / 4.0::DOUBLE END AS b, (z % 13) / 10.0::DOUBLE AS latency_s, 'dim' || (k.n % 3) AS failure_dimension,
+  CASE WHEN g IS NOT NULL AND b IS NOT NULL THEN exp(g) / (exp(g) + exp(b)) WHEN g IS NOT NULL THEN exp(g) WHEN b IS NOT NULL THEN 1 - exp(b) END AS score FROM responses r JOIN task2 k ON k.cid = r.cid WHERE trim(r.generated_response) <> '' AND NOT contains(r.generated_response, '__ERROR__'))"""
+
+
+def _scored(spark, d) -> DataFrame:
+    """model, cid, verdict, score, latency_s, failure_dimension of all valid responses, by the scorer's recorded outputs."""
     valid = X.responses(spark, d).filter(E.valid_response(F.col("generated_response"))).join(X.task2(spark, d), "cid")
-    prompts = valid.select("cid", "model", E.laddered(F.col("history"), F.col("query"), F.col("generated_response"), 8000, TEMPLATE)["prompt"].alias("prompt"), "generated_response")
-    # the recorded outputs of the scorer, by (cid, model)
-    outputs = valid.select("cid", "model", F.element_at(F.array(F.lit("差"), F.lit("?"), F.lit("好")), F.length("generated_response") % 3 + 1).alias("content"))
-    j = prompts.join(outputs, ["cid", "model"]).select("model", T.first_character_verdict(F.col("content")).alias("verdict"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("latency_s"))
-    return E.metrics(j, "model").select("model", "n_total", "n_good", "n_bad", "good_pct")
+    prompts = valid.select("cid", "model", E.laddered(F.col("history"), F.col("query"), F.col("generated_response"), 8000, TEMPLATE)["prompt"].alias("prompt"), F.concat(F.lit("dim"), F.substring("cid", 2, 20).cast("long") % 3).alias("failure_dimension"))
+    n = F.length("generated_response")
+    token = lambda t, every, of: F.when(n % every != 0, F.struct(F.lit(t).alias("token"), (-(n % of) / 4.0).alias("logprob")))
+    top = F.array_compact(F.array(token("好", 5, 7), token("差", 4, 11), F.struct(F.lit("的").alias("token"), F.lit(-9.0).alias("logprob"))))
+    blank = F.struct(F.lit(" ").alias("token"), F.array(F.struct(F.lit("\n").alias("token"), F.lit(-0.1).alias("logprob"))).alias("top_logprobs"))
+    outputs = valid.select("cid", "model", F.element_at(F.array(F.lit("差"), F.lit("?"), F.lit("好")), n % 3 + 1).alias("content"), F.array(blank, F.struct(F.element_at(F.array(F.lit("差"), F.lit("?"), F.lit("好")), n % 3 + 1).alias("token"), top.alias("top_logprobs"))).alias("logprobs"), ((n % 13) / 10).alias("latency_s"))
+    j = prompts.join(outputs, ["cid", "model"]).withColumn("lp", E.token_logprobs(F.col("logprobs")))
+    return j.select("model", "cid", T.first_character_verdict(F.col("content")).alias("verdict"), T.preference_score(F.col("lp")["good"], F.col("lp")["bad"]).alias("score"), "latency_s", "failure_dimension")
+
+
+@query("o17_scoring", f"WITH {SCORED}, m AS (SELECT model, {METRICS} FROM v GROUP BY model) SELECT *, row_number() OVER (ORDER BY coalesce(good_pct, -1) DESC, model) AS rank_binary, row_number() OVER (ORDER BY coalesce(score_mean, -1) DESC, model) AS rank_score FROM m")
+def o17(spark, d):
+    m = E.metrics(_scored(spark, d), "model")
+    return E.leaderboard(E.leaderboard(m, "good_pct", rank="rank_binary"), "score_mean", rank="rank_score")
+
+
+@query("o17_scoring_by_dimension", f"WITH {SCORED} SELECT model, failure_dimension, count(*) AS n, count(*) FILTER (verdict = 1) AS n_good, count(*) FILTER (verdict = -1) AS n_bad, round(avg(score), 4) AS score_mean FROM v GROUP BY ALL")
+def o17_dimensions(spark, d):
+    v = F.col("verdict")
+    return _scored(spark, d).groupBy("model", "failure_dimension").agg(F.count("*").alias("n"), F.count_if(v == 1).alias("n_good"), F.count_if(v == -1).alias("n_bad"), F.round(F.avg("score"), 4).alias("score_mean"))
+
+
+@query("o18_scoring_ledger", f"SELECT cid, CASE WHEN length(query) % 2 = 1 THEN '好' ELSE '差' END AS output, '' AS error FROM task2")
+def o18_ledger(spark, d):
+    """Half of the prompts are in the ledger already; the scorer answers in reverse order, leaves some out at first, and can't take long batches."""
+    prompts, ledger = X.task2(spark, d).select("cid", F.col("query").alias("prompt")), fresh(spark, "ledger")
+
+    def scorer(batch: list[str]) -> list[dict]:
+        if len(batch) > 2 and any(len(p) % 10 == 0 for p in batch):
+            raise ValueError("a batch that can't be scored")
+        return [{"index": i, "output": "好" if len(p) % 2 else "差"} for i, p in enumerate(batch) if len(batch) == 1 or len(p) % 7][::-1]
+
+    E.scored_with_ledger(prompts.filter(F.crc32("cid") % 2 == 0), "cid", scorer, ledger, slices=4)
+    return E.scored_with_ledger(prompts, "cid", scorer, ledger, slices=4).select("cid", "output", "error")
 
 
 @query(
@@ -249,9 +285,9 @@ def a15(spark, d):
 
 @query("k3_pages", "SELECT cid, (SELECT count(*) FROM task1) AS total FROM task1 ORDER BY doc_id LIMIT 10 OFFSET 20")
 def k3(spark, d):
-    t = X.task1(spark, d)
-    page = t.orderBy("doc_id").offset(20).limit(10)
-    return page.crossJoin(F.broadcast(t.agg(F.count("*").alias("total")))).select("cid", "total")
+    path = fresh(spark, "pages")
+    V.write_pages(X.task1(spark, d).select("doc_id", "cid"), ["doc_id"], path)
+    return V.page(spark, path, 20, 10).select("cid", "total")
 
 
 @query("k7_case_view", "SELECT cid, trim(agent_response_full, E' \\n\\t\\r') AS response FROM task1")
@@ -266,12 +302,12 @@ def p18(spark, d):
     return X.table(spark, d, "documents").groupBy(E.rich_text(raw).alias("response")).agg(F.count("*").alias("n"))
 
 
-@query("j8_tag_statistics", "WITH sel AS (SELECT DISTINCT 'c' || (doc_id % (SELECT count(DISTINCT conv_id) FROM conversations)) AS cid FROM labels WHERE quality = 0), l AS (SELECT t.cid, arg_max(message, pos) AS m FROM turns t WHERE role = 'assistant' AND t.cid IN (SELECT cid FROM sel) GROUP BY t.cid), w AS (SELECT unnest(string_split(substring(m, 1, 80), ',')) AS tag FROM l) SELECT trim(tag, E' \\n\\t\\r') AS tag, count(*) AS n FROM w WHERE trim(tag, E' \\n\\t\\r') <> '' GROUP BY 1")
+@query("j8_tag_statistics", "WITH sel AS (SELECT DISTINCT 'c' || (doc_id % (SELECT count(DISTINCT conv_id) FROM conversations)) AS cid FROM labels WHERE quality = 0), l AS (SELECT t.cid, arg_max(message, pos) AS m FROM turns t WHERE role = 'assistant' AND t.cid IN (SELECT cid FROM sel) GROUP BY t.cid), w AS (SELECT unnest(string_split(m, ',')) AS tag FROM l) SELECT trim(tag, E' \\n\\t\\r') AS tag, count(*) AS n FROM w WHERE trim(tag, E' \\n\\t\\r') <> '' GROUP BY 1")
 def j8(spark, d):
     n = X.table(spark, d, "conversations").select(F.countDistinct("conv_id").alias("n"))
     chosen = X.table(spark, d, "labels").filter("quality = 0").crossJoin(F.broadcast(n)).select(F.concat(F.lit("c"), F.col("doc_id") % F.col("n")).alias("cid")).distinct()
     last = X.turns(spark, d).filter("role = 'assistant'").join(chosen, "cid", "left_semi").groupBy("cid").agg(F.max_by("message", "pos").alias("m"))
-    tags = last.select(F.explode(F.split(F.substring("m", 1, 80), ",")).alias("t")).select(T.strip(F.col("t")).alias("tag"))
+    tags = last.select(F.explode(F.split("m", ",")).alias("t")).select(T.strip(F.col("t")).alias("tag"))
     return tags.filter("tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
 
 

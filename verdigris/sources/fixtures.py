@@ -72,7 +72,15 @@ def saved(spark: SparkSession, d: str, histories: bool = False) -> DataFrame:
         (F.col("toxic") == 1).alias("needs_context"),
         (i % 13 == 0).alias("needs_image"),
         (i % 19 == 0).alias("is_duplicate"),
-        F.substring(text, 1, (i % 90).cast("int")).alias("explanation"),
+        F.when(i % 3 == 0, F.concat(F.lit("record "), i)).otherwise(text).alias("explanation"),
+        F.when(i % 23 != 0, F.col("source")).alias("failure_dimension_raw"),
+        F.when(i % 4 != 0, F.concat(F.lit("audit of "), "source")).alias("judge_audit"),
+        F.date_format(F.timestamp_seconds(F.lit(1704067200) + i * 60), "yyyy-MM-dd HH:mm:ss").alias("save_time"),
+        F.when(i % 5 != 0, _of(i % 4, "easy", "medium", "hard", "extreme")).alias("difficulty"),
+        F.when(i % 7 != 0, F.struct(_of(i % 3, "keep", "downgrade", "reject").alias("verdict"), F.when(i % 2 == 0, F.array(F.lit("vague"), F.lit("off_topic"))).otherwise(F.array().cast("array<string>")).alias("issues"), F.concat(F.lit("note "), i % 4).alias("notes"))).alias("qa_verdict"),
+        F.when(i % 17 == 0, F.lit(True)).alias("failure_dimension_reclassified"),
+        F.when(i % 17 == 0, F.when(i % 2 == 0, 0.8).otherwise(0.5)).alias("reclassify_confidence"),
+        F.when(i % 29 != 0, T.severity_tier(scores[3])).alias("severity_tier"),
         (i % 6 + 1).cast("int").alias("dislike_turn_id"),
         "quality",
     )
@@ -101,6 +109,28 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def mined(spark: SparkSession, d: str) -> DataFrame:
+    """candidates with all that a miner says of them."""
+    n = F.col("n")
+    return candidates(spark, d).withColumns(
+        {
+            "scenario": _of(n % 3, "writing", "coding", "chat"),
+            "signal_type": F.when(n % 4 != 0, _of(n % 2, "repeat", "rephrase")),
+            "signal_confidence": F.when(n % 5 != 0, "medium"),
+            "sentiment": _of(n % 2, "explicit", "implicit"),
+            "complaint_snippet": F.when(n % 3 == 0, "not right"),
+            "explanation": F.concat(F.lit("turn "), n),
+            "user_reaction_after_failure": F.when(n % 4 != 0, "repeat"),
+            "recovery_attempted": n % 2 == 0,
+            "recovery_successful": n % 6 == 0,
+            "representativeness": F.when(n % 5 == 0, "low").otherwise("high"),
+            "miner_model": F.lit("miner"),
+            "miner_latency_s": (n % 7) / 10,
+            "miner_tokens": n % 100,
+        }
+    )
+
+
 def judge_out(spark: SparkSession, d: str) -> DataFrame:
     c = candidates(spark, d).filter("n % 5 <> 0")
     return c.select(
@@ -109,6 +139,12 @@ def judge_out(spark: SparkSession, d: str) -> DataFrame:
         (F.col("n") % 3 != 0).alias("should_keep"),
         F.when(F.col("n") % 3 == 1, "high").when(F.col("n") % 3 == 2, "medium").otherwise("low").alias("overall_quality"),
         F.when(F.col("n") % 7 == 0, F.lit("corrected")).alias("corrected_dimension"),
+        F.create_map(F.lit("severity"), (1 + F.col("n") % 5).cast("double"), F.lit("representativeness"), (1 + F.col("n") % 3).cast("double")).alias("judge_scores"),
+        ((2 + F.col("n") % 5 + F.col("n") % 3) / 2).alias("judge_average"),
+        F.concat(F.lit("audit "), F.col("n")).alias("judge_audit"),
+        F.lit("judge").alias("judge_model"),
+        ((F.col("n") % 9) / 10).alias("judge_latency_s"),
+        (F.col("n") % 50).alias("judge_tokens"),
     )
 
 
@@ -194,7 +230,11 @@ SQL = {
         ['dislike', 'explicit_complaint', 'repeat', 'rephrase', 'abandon', 'short_dismiss'][(doc_id % 6 + 1)::INT] AS signal_type,
         ['high', 'medium', 'low'][(doc_id % 3 + 1)::INT] AS signal_confidence, ['explicit', 'implicit'][(doc_id % 2 + 1)::INT] AS sentiment,
         ['high', 'medium', 'low'][(doc_id % 3 + 1)::INT] AS representativeness, (doc_id % 11) / 10.0::DOUBLE AS confidence, toxic = 1 AS needs_context,
-        doc_id % 13 = 0 AS needs_image, doc_id % 19 = 0 AS is_duplicate, substring(coalesce(text, ''), 1, (doc_id % 90)::INT) AS explanation, (doc_id % 6 + 1)::INT AS dislike_turn_id, quality,
+        doc_id % 13 = 0 AS needs_image, doc_id % 19 = 0 AS is_duplicate, CASE WHEN doc_id % 3 = 0 THEN 'record ' || doc_id ELSE coalesce(text, '') END AS explanation, (doc_id % 6 + 1)::INT AS dislike_turn_id, quality,
+        CASE WHEN doc_id % 23 <> 0 THEN source END AS failure_dimension_raw, CASE WHEN doc_id % 4 <> 0 THEN 'audit of ' || source END AS judge_audit, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%d %H:%M:%S') AS save_time,
+        CASE WHEN doc_id % 5 <> 0 THEN ['easy', 'medium', 'hard', 'extreme'][(doc_id % 4 + 1)::INT] END AS difficulty, CASE WHEN doc_id % 7 <> 0 THEN ['keep', 'downgrade', 'reject'][(doc_id % 3 + 1)::INT] END AS qa_verdict,
+        CASE WHEN doc_id % 7 <> 0 AND doc_id % 2 = 0 THEN 'vague,off_topic' ELSE '' END AS qa_issues, CASE WHEN doc_id % 7 <> 0 THEN 'note ' || (doc_id % 4) ELSE '' END AS qa_notes, doc_id % 17 = 0 AS reclassified,
+        CASE WHEN doc_id % 17 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 0.8 ELSE 0.5 END::DOUBLE END AS reclassify_confidence, CASE WHEN doc_id % 29 <> 0 THEN CASE WHEN s4 >= 4 THEN 'critical' WHEN s4 >= 3 THEN 'moderate' ELSE 'mild' END END AS severity_tier,
         'c' || (doc_id % (SELECT count(DISTINCT conv_id) FROM conversations)) AS h
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "candidates": """SELECT cid, row_number() OVER (PARTITION BY cid ORDER BY pos) - 1 AS idx, turn_index AS dislike_turn_id, turn_index - 1 AS source_query_turn_id,

@@ -30,3 +30,9 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     path = fresh(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -126,6 +126,8 @@ def enrich_closed(stream: DataFrame, sink: str, checkpoint: str, gap: str = "30
 
     def add(batch: DataFrame, number: int) -> None:
         closed = materialize(batch, "closed")  # the state is read once
+        if number and closed.isEmpty():
+            return
         enriched_sessions(closed, **lexicon).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     with keyed_state(stream.sparkSession):

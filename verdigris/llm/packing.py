@@ -12,7 +12,7 @@ Token ids are those of the tokenizer of byte_bpe_50k.json without special tokens
 that file (<|endoftext|>) that stands inside a text is its one id there too, and the parts beside it are encoded alone.
 
 Cases: a null text is an empty one and still has the end token; repeated rows, and rows with repeated or null ids, are packed
-each; a very long text is cut into pieces; an empty table gives an empty result; further columns of the input are ignored.
+each; a very long text, also one of a single run of blanks or letters, is encoded whole and its ids are cut into pieces; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -60,6 +60,24 @@ def encoder(path: str, added: dict[str, int]):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+def encoding(path: str, added: dict[str, int], json_path: str | None = None):
+    """A function from a text to its ids. What the fast encoder refuses (a run of a million blanks overflows its stack) goes to the tokenizer itself."""
+    fast, slow = partial(encoder(path, added).encode, allowed_special="all"), []
+
+    def ids(text: str) -> list[int]:
+        try:
+            return fast(text)
+        except ValueError:
+            if not slow:
+                import public_tokenizers
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json")))
+            return slow[0].encode(text, add_special_tokens=False).ids
+
+    return ids
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: whole pieces at the end, the rest first."""
     first = n % capacity or min(n, capacity)
@@ -71,7 +89,7 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, path: str
     path, added = path or vocabulary(), added_tokens()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = partial(encoder(path, added).encode, allowed_special="all")
+        encode = encoding(path, added)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

@@ -131,8 +131,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 40, most: int =
     within = F.lit(False)
     for r in bounds:
         within = within | ((F.col("lang") == r["lang"]) & (F.col("key") <= r["keys"][min(each, len(r["keys"])) - 1]))
-    # rows that repeat a key are as many as they are: the last key's may pass the bound, so it is held again
-    taken = sampled(rows.filter(within).select("lang", "text").limit(each * len(bounds)))
+    # rows that repeat a key are as many as they are: the last key's may pass the bound, so it is held again, for each language, in salted groups first
+    order = ("key", F.xxhash64("text"))
+    parts = W.partitionBy("lang", F.pmod(F.xxhash64("text"), F.lit(64))).orderBy(*order)
+    held = rows.filter(within).withColumn("n", F.row_number().over(parts)).filter(F.col("n") <= each).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("n") <= each)
+    taken = sampled(held.select("lang", "text"))
     got = sorted((r["lang"], bytes(r["places"]), bytes(r["values"])) for r in taken.toLocalIterator())
     if not got:
         return None

@@ -18,6 +18,8 @@ already and need no further product. What is left are rows of one star in differ
 cut into tiles, each two tiles are multiplied in a task, and a row for each two components that are found
 to be linked comes out, so no link between components is lost.
 
+Keys are made in two passes over the texts, which must bring the same rows together: ``same_splits`` sees to it.
+
 A set's signature is a 63-bit hash. A second one of 64 bits is kept beside it: where two different sets have one signature,
 all with that signature are signed anew by another hash.
 
@@ -30,7 +32,9 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -269,8 +273,35 @@ def signed(docs: DataFrame, n: int) -> tuple[DataFrame, frozenset[int]]:
     return (materialize(signatures(docs, n, met), "signatures") if met else rows), met
 
 
+#: Nodes of a plan whose rows come in the same splits and order whenever they are read.
+_STEADY = re.compile(r"Project|Filter|Relation|SubqueryAlias|Scan")
+
+
+@contextmanager
+def same_splits(docs: DataFrame) -> Iterator[DataFrame]:
+    """docs such that each pass over it within has the same rows in the same tasks, in the same order.
+
+    How files are split follows from the number of cores that there are when a pass is planned, unless a least number of splits is set: it
+    is set to that of now, so executors that come or go between two passes change nothing. What is not read from files is written to a table first.
+    """
+    spark, name = docs.sparkSession, "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    read = "Relation" in plan and all(_STEADY.match(x.lstrip(" +-:")) for x in plan.strip().split("\n"))
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield docs if read else materialize(docs, "given")
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """The signatures of all rows, and sig, part (equal for what is linked) of all sets that aren't empty."""
+    with same_splits(docs) as steady:
+        return _linked(steady, n, percent, tile)
+
+
+def _linked(docs: DataFrame, n: int, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
     rows, met = signed(docs, n)
     classes = materialize(rows.filter("sig is not null").groupBy("sig").agg(F.min("row").alias("row")), "classes")
     # rows that share a block share its star, the least of them: among what tasks bring together, and then among those

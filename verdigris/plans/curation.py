@@ -593,12 +593,18 @@ def o7(spark, d):
     return j.select("doc_id", valid.alias("failure_dimension"), F.when(F.col("there").isNull(), 0.0).otherwise(F.coalesce("conf", F.lit(0.8))).alias("confidence"))
 
 
-@query("o8_enhanced")
+@query(
+    "o8_enhanced",
+    f"""WITH q AS (SELECT *, {_DIMENSION.replace('raw', 'failure_dimension')} AS dimension, CASE WHEN s4 >= 4 THEN 'critical' WHEN s4 >= 3 THEN 'moderate' ELSE 'mild' END AS tier,
+      (regexp_matches(sq_message, '{X.IMAGE}') OR (SELECT coalesce(bool_or(contains(t.message, '[图片]') OR contains(t.message, '用户上传了图片')), false) FROM turns t WHERE t.cid = s.h AND t.pos - (SELECT min(pos) FROM turns m WHERE m.cid = s.h) < 5))::INT AS image, (s1 <= 2)::INT AS context,
+      (sq_turn > dislike_turn_id AND EXISTS (SELECT 1 FROM turns t WHERE t.cid = s.h AND t.role = 'user' AND t.turn_index < s.dislike_turn_id)) AS fixed FROM saved s)
+    SELECT dimension, tier, image, context, (SELECT count(*) > 1 FROM saved z WHERE z.cid = q.cid)::INT AS duplicate, count(*) AS n, count(*) FILTER (fixed) AS n_fixed FROM q GROUP BY ALL""",
+)
 def o8(spark, d):
     s = C.repaired_order(X.saved(spark, d, histories=True))
-    e = C.normalised(s, "failure_dimension").withColumns({"image": T.needs_image(F.col("source_query.message"), F.col("full_history"), X.IMAGE), "context": T.needs_context(F.col("judge_scores")["query_completeness"]), "tier": T.severity_tier(F.col("judge_scores")["severity"])})
+    e = C.normalised(s, "failure_dimension").withColumns({"image": T.needs_image(F.col("source_query.message"), F.col("full_history"), X.IMAGE).cast("int"), "context": T.needs_context(F.col("judge_scores")["query_completeness"]).cast("int"), "tier": T.severity_tier(F.col("judge_scores")["severity"])})
     e = e.join(C.near_duplicates(s, "doc_id").select(F.col("id").alias("doc_id"), "duplicate_of"), "doc_id", "left")
-    return e.groupBy("dimension", "tier", "image", "context", F.col("duplicate_of").isNotNull().alias("duplicate")).agg(F.count("*").alias("n"), F.count_if("ordering_fixed").alias("n_fixed"))
+    return e.groupBy("dimension", "tier", "image", "context", F.col("duplicate_of").isNotNull().cast("int").alias("duplicate")).agg(F.count("*").alias("n"), F.count_if("ordering_fixed").alias("n_fixed"))
 
 
 HAY = "lower(concat_ws(' ', sq_message, coalesce(failure_dimension, ''), coalesce(explanation, ''), coalesce(judge_audit, '')))"

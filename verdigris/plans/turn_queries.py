@@ -210,6 +210,26 @@ def o1(spark, d):
     return e.select("cid", "turn_count", "total_unliked", "total_dissatisfied", F.to_json("reaction_summary").alias("reaction_summary"), F.size(F.coalesce("explicit_complaints", F.array())).alias("n_complaints"), F.to_json("recovery_chains").alias("recovery_chains"))
 
 
+COMPLAINED = f"role = 'user' AND {COMPLAINS.format('message')}"
+
+
+@query(
+    "o1_enriched_by_characters",
+    f"""WITH {CHAINS}, roll AS ({A1_SQL}), st AS (SELECT cid, fpos, string_agg(tid || ' ' || role || ' ' || action, ';' ORDER BY pos) AS steps FROM ch GROUP BY ALL),
+    cs AS (SELECT oc.cid, string_agg(failure_turn_id || '=' || failure_reaction || '>' || recovery_outcome || '[' || coalesce(steps, '') || ']', ',' ORDER BY oc.fpos) AS chains FROM oc LEFT JOIN st ON st.cid = oc.cid AND st.fpos = oc.fpos GROUP BY oc.cid),
+    co AS (SELECT cid, count(*) AS n_complaints FROM turns WHERE {COMPLAINED} GROUP BY cid), re AS (SELECT cid, string_agg(turn_index || ':' || reaction, ',' ORDER BY pos) AS reactions FROM r GROUP BY cid)
+    SELECT roll.*, coalesce(n_complaints, 0) AS n_complaints, coalesce(chains, '') AS chains, coalesce(reactions, '') AS reactions FROM roll LEFT JOIN cs USING (cid) LEFT JOIN co USING (cid) LEFT JOIN re USING (cid)""",
+)
+def o1_characters(spark, d):
+    """Whole enriched dialogues, in flat columns; sequences are compared by their characters."""
+    e = O.enriched(X.turns(spark, d), similarity="jaccard", **LEXICON)
+    step = lambda s: F.concat(s["turn_id"], F.lit(" "), s["role"], F.lit(" "), s["action"])
+    chain = lambda c: F.concat(c["failure_turn_id"], F.lit("="), c["failure_reaction"], F.lit(">"), c["recovery_outcome"], F.lit("["), F.array_join(F.transform(c["recovery_chain"], step), ";"), F.lit("]"))
+    reaction = lambda r: F.concat(r["asst_turn_id"], F.lit(":"), r["reaction"])
+    listed = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ","), F.lit(""))
+    return rollup(e, F.coalesce(F.size("explicit_complaints"), F.lit(0)).cast("long").alias("n_complaints"), listed("recovery_chains", chain).alias("chains"), listed("user_reactions", reaction).alias("reactions"))
+
+
 F1_SQL = f"""WITH {SIGNALS}, g1 AS (SELECT cid, count(*) FILTER (role = 'assistant' AND is_unliked) AS u, count(*) AS n, count(*) FILTER (role = 'assistant') AS na, count(*) FILTER (role = 'assistant' AND NOT interrupted) AS nr,
     arg_min(regexp_extract(message, '{X.UNSAFE}', 0, 'i'), pos) FILTER (regexp_matches(message, '{X.UNSAFE}', 'i')) AS x FROM s GROUP BY cid)
     SELECT cid, CASE WHEN u = 0 THEN 'no_unliked_turns' WHEN n < 2 THEN 'too_short' WHEN na > 0 AND nr = 0 THEN 'all_interrupted' WHEN x IS NOT NULL THEN 'unsafe_match:' || x ELSE 'pass' END AS reason FROM g1"""
@@ -226,9 +246,24 @@ def p27(spark, d):
     return O.rendered(s, O.complaints(s, **WORDS), O.reactions(s, similarity="gated", **LEXICON))
 
 
-@query("p28_signal_summaries")
-def p28(spark, d):
-    e = O.enriched(X.turns(spark, d), similarity="gated", **LEXICON)
+_MARK = "CASE r.reaction " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in O.MARKS.items()) + " ELSE '⚠' END"
+
+
+@query(
+    "p27_rendered_by_characters",
+    f"""WITH {REACTED}, x AS (SELECT s.*, trim(s.message, E' \n\t\r') AS said, round(s.gap, 2) AS gap_s, concat_ws(' ', CASE WHEN s.is_unliked THEN '👎DISLIKED' END, CASE WHEN s.interrupted THEN '⚠INTERRUPTED' END, CASE WHEN {COMPLAINED} THEN '💢EXPLICIT_COMPLAINT' END,
+      CASE WHEN r.dissatisfied THEN {_MARK} || 'USER_REACTION=' || r.reaction END) AS marks FROM s LEFT JOIN r ON r.cid = s.cid AND r.pos = s.pos),
+    l AS (SELECT cid, pos, '[turn ' || turn_index || ' | ' || role || CASE WHEN marks <> '' THEN ' [' || marks || ']' ELSE '' END || CASE WHEN coalesce(gap_s, 0) <> 0 THEN ' (+' || gap_s || 's)' ELSE '' END || '] (' || length(message) || '字)' || chr(10)
+      || CASE WHEN length(said) > 1500 THEN substring(said, 1, 1500) || '...[truncated, total ' || length(message) || ' chars]' WHEN said = '' THEN '(empty)' ELSE said END || chr(10) AS line FROM x)
+    SELECT cid, md5(string_agg(line, chr(10) ORDER BY pos)) AS dialogue FROM l GROUP BY cid""",
+)
+def p27_characters(spark, d):
+    s = O.signals(X.turns(spark, d))
+    return O.rendered(s, O.complaints(s, **WORDS), O.reactions(s, similarity="jaccard", **LEXICON)).select("cid", F.md5("dialogue").alias("dialogue"))
+
+
+def _signal_summaries(e: DataFrame) -> DataFrame:
+    """cid, summary: what a miner is shown of an enriched dialogue, as JSON."""
     pick = lambda c, **names: F.transform(c, lambda x: F.struct(*(x[v].alias(k) for k, v in names.items())))
     unhappy = F.filter("user_reactions", lambda r: r["dissatisfied"])
     body = F.struct(
@@ -245,6 +280,32 @@ def p28(spark, d):
     return e.select("cid", F.to_json(body).alias("summary"))
 
 
+@query("p28_signal_summaries")
+def p28(spark, d):
+    return _signal_summaries(O.enriched(X.turns(spark, d), similarity="gated", **LEXICON))
+
+
+@query(
+    "p28_summaries_by_characters",
+    f"""WITH {CHAINS}, roll AS ({A1_SQL}), tr AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN turn_index END IGNORE NULLS) OVER (PARTITION BY cid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trg FROM turns),
+    co AS (SELECT cid, string_agg(turn_index || '<' || coalesce(trg::VARCHAR, ''), ',' ORDER BY pos) AS complaints FROM tr WHERE {COMPLAINED} GROUP BY cid), re AS (SELECT cid, string_agg(turn_index || ':' || reaction, ',' ORDER BY pos) AS reactions FROM r WHERE dissatisfied GROUP BY cid),
+    cs AS (SELECT cid, string_agg(failure_turn_id || '=' || recovery_outcome || chain_length, ',' ORDER BY fpos) AS chains FROM oc GROUP BY cid)
+    SELECT cid, unliked_turns, dissatisfied_turns, has_interrupted, turn_count, total_dissatisfied, reaction_summary, coalesce(complaints, '') AS complaints, coalesce(reactions, '') AS reactions, coalesce(chains, '') AS chains FROM roll LEFT JOIN co USING (cid) LEFT JOIN re USING (cid) LEFT JOIN cs USING (cid)""",
+)
+def p28_characters(spark, d):
+    """The summaries as a reader gets them, read back from their JSON."""
+    rows = _signal_summaries(O.enriched(X.turns(spark, d), similarity="jaccard", **LEXICON))
+    kind = "struct<unliked_turns:array<int>,explicit_complaints:array<struct<turn:int,trigger_asst_turn:int,snippet:string>>,dissatisfied_turns:array<int>,user_reactions:array<struct<asst_turn:int,reaction:string,dissatisfied:boolean,details:string>>,recovery_chains:array<struct<failure_turn:int,outcome:string,chain_length:int>>,reaction_summary:map<string,bigint>,has_interrupted:boolean,turn_count:bigint,total_dissatisfied:int>"
+    e = rows.select("cid", F.from_json("summary", kind).alias("s")).select("cid", "s.*")
+    listed = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ","), F.lit(""))
+    return rollup(
+        e,
+        listed("explicit_complaints", lambda c: F.concat(c["turn"], F.lit("<"), F.coalesce(c["trigger_asst_turn"].cast("string"), F.lit("")))).alias("complaints"),
+        listed("user_reactions", lambda r: F.concat(r["asst_turn"], F.lit(":"), r["reaction"])).alias("reactions"),
+        listed("recovery_chains", lambda c: F.concat(c["failure_turn"], F.lit("="), c["outcome"], c["chain_length"])).alias("chains"),
+    )
+
+
 LABELS = f"""{REACTED}, b AS (SELECT t.cid, t.pos, t.turn_index AS turn_id, t.is_unliked, reaction, (NOT (dissatisfied OR t.is_unliked))::INT AS user_satisfied,
   array_to_string(list_filter([CASE WHEN t.is_unliked THEN 'dislike' END, CASE WHEN reaction = 'complain' THEN 'explicit_complaint' END, CASE WHEN reaction IN ('repeat', 'rephrase', 'short_dismiss', 'abandon', 'skip_read') THEN reaction END], lambda x: x IS NOT NULL), ',') AS signals,
   least(6, t.pos - (SELECT min(pos) FROM turns m WHERE m.cid = t.cid)) AS n_context, substring(r.bef, 1, 50) AS query FROM turns t JOIN r ON r.cid = t.cid AND r.pos = t.pos)"""

@@ -36,20 +36,20 @@ def sql_case(rules, column: str, last: str) -> str:
 AT = "(SELECT t.message FROM turns t WHERE t.cid = s.h AND t.turn_index = s.dislike_turn_id)"
 
 
-@query("p10_image_dependency", f"SELECT (regexp_matches(sq_message, '{X.IMAGE}') OR (SELECT coalesce(bool_or(contains(t.message, 'zzq')), false) FROM turns t WHERE t.cid = s.h AND t.pos - (SELECT min(pos) FROM turns m WHERE m.cid = s.h) < 5))::INT AS needs_image, count(*) AS n FROM saved s GROUP BY 1")
+@query("p10_image_dependency", f"SELECT cid, (regexp_matches(sq_message, '{X.IMAGE}') OR (SELECT coalesce(bool_or(contains(t.message, 'zzq')), false) FROM turns t WHERE t.cid = s.h AND t.pos - (SELECT min(pos) FROM turns m WHERE m.cid = s.h) < 5))::INT AS needs_image FROM saved s")
 def p10(spark, d):
     s = X.saved(spark, d, histories=True)
-    return s.groupBy(T.needs_image(F.col("source_query.message"), F.col("full_history"), X.IMAGE, ("zzq",)).cast("int").alias("needs_image")).agg(F.count("*").alias("n"))
+    return s.select("cid", T.needs_image(F.col("source_query.message"), F.col("full_history"), X.IMAGE, ("zzq",)).cast("int").alias("needs_image"))
 
 
-@query("p11_needs_context", "SELECT (s1 <= 2)::INT AS needs_context, count(*) AS n FROM saved GROUP BY 1")
+@query("p11_needs_context", "SELECT cid, (s1 <= 2)::INT AS needs_context FROM saved")
 def p11(spark, d):
-    return X.saved(spark, d).groupBy(T.needs_context(F.col("judge_scores")["query_completeness"]).cast("int").alias("needs_context")).agg(F.count("*").alias("n"))
+    return X.saved(spark, d).select("cid", T.needs_context(F.col("judge_scores")["query_completeness"]).cast("int").alias("needs_context"))
 
 
-@query("p12_severity", "SELECT CASE WHEN s4 >= 4 THEN 'critical' WHEN s4 >= 3 THEN 'moderate' ELSE 'mild' END AS tier, count(*) AS n FROM saved GROUP BY 1")
+@query("p12_severity", "SELECT cid, CASE WHEN s4 >= 4 THEN 'critical' WHEN s4 >= 3 THEN 'moderate' ELSE 'mild' END AS tier FROM saved")
 def p12(spark, d):
-    return X.saved(spark, d).groupBy(T.severity_tier(F.col("judge_scores")["severity"]).alias("tier")).agg(F.count("*").alias("n"))
+    return X.saved(spark, d).select("cid", T.severity_tier(F.col("judge_scores")["severity"]).alias("tier"))
 
 
 #: Raw labels for the label rules: one of a list, by id.
@@ -147,16 +147,16 @@ def p29(spark, d):
     return mined.select("cid", "idx", F.md5(C.candidate_summary(mined)).alias("summary"))
 
 
-@query("p31_tags", "SELECT CASE WHEN sentiment = 'explicit' THEN 'failure_testcase' ELSE 'query_testcase' END AS tag, count(*) AS n FROM saved GROUP BY 1")
+@query("p31_tags", "SELECT cid, CASE WHEN sentiment = 'explicit' THEN 'failure_testcase' ELSE 'query_testcase' END AS tag FROM saved")
 def p31(spark, d):
-    return X.saved(spark, d).groupBy(F.when(F.col("sentiment") == "explicit", "failure_testcase").otherwise("query_testcase").alias("tag")).agg(F.count("*").alias("n"))
+    return X.saved(spark, d).select("cid", F.when(F.col("sentiment") == "explicit", "failure_testcase").otherwise("query_testcase").alias("tag"))
 
 
-@query("p33_quality_tiers", "SELECT overall_quality AS tier, count(*) AS n, round(avg(judge_average), 6) AS average FROM saved GROUP BY 1")
+@query("p33_quality_tiers", "SELECT cid, overall_quality AS tier, round(judge_average, 6) AS average FROM saved")
 def p33(spark, d):
     scores = F.map_values("judge_scores")
     average = F.aggregate(scores, F.lit(0.0), lambda a, v: a + v) / F.size(scores)
-    return X.saved(spark, d).groupBy(T.quality_tier(average, F.array_min(scores)).alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("judge_average"), 6).alias("average"))
+    return X.saved(spark, d).select("cid", T.quality_tier(average, F.array_min(scores)).alias("tier"), F.round(average, 6).alias("average"))
 
 
 GATE = "(overall_quality = 'high' AND judge_average >= 4 AND least(s1, s2, s3, s4, s5) >= 3 AND signal_confidence IN ('high', 'medium', ''))"
@@ -554,12 +554,12 @@ def o6(spark, d):
     return m.select("doc_id", F.when(F.col("verdict") == "reject", "rejected").otherwise("kept").alias("route"), F.when(F.col("verdict") == "downgrade", "medium").otherwise(F.col("overall_quality")).alias("quality"), F.coalesce("corrected_dimension", "failure_dimension").alias("failure_dimension"))
 
 
-@query("u2_kept_and_rejected", f"WITH {CONFIRMED}, m AS (SELECT {MERGED} AS verdict, doc_id FROM q) SELECT CASE WHEN verdict = 'reject' THEN 'rejected' ELSE 'kept' END AS part, count(*) AS n, min(doc_id) AS first_id FROM m GROUP BY 1")
+@query("u2_kept_and_rejected", f"WITH {CONFIRMED}, m AS (SELECT {MERGED} AS verdict, doc_id FROM q) SELECT doc_id, CASE WHEN verdict = 'reject' THEN 'rejected' ELSE 'kept' END AS part FROM m")
 def u2(spark, d):
     c = _confirmed(spark, d)
     m = c.select("doc_id", C.merged_verdicts(c, "v1", "c2").alias("verdict"))
     parts = m.filter("verdict = 'reject'").withColumn("part", F.lit("rejected")).unionByName(m.filter("verdict <> 'reject'").withColumn("part", F.lit("kept")))
-    return parts.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return parts.select("doc_id", "part")
 
 
 @query("u4_issue_union", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(issues1, []), coalesce(issues2, [])))), ',') AS issues FROM qa_out")

@@ -17,11 +17,11 @@ from verdigris.sources.shared import fresh
 TEMPLATE = "[{context}]<{prompt}>({response})"
 
 
-@query("s7_labelled_union", "SELECT ground_truth, count(*) AS n FROM (SELECT coalesce(CASE WHEN doc_id % 3 = 0 THEN ground_truth END, -1) AS ground_truth FROM task1 WHERE ground_truth = -1 UNION ALL SELECT coalesce(CASE WHEN doc_id % 3 = 0 THEN ground_truth END, 1) FROM task1 WHERE ground_truth = 1) GROUP BY 1")
+@query("s7_labelled_union", "SELECT cid, coalesce(CASE WHEN doc_id % 3 = 0 THEN ground_truth END, -1) AS ground_truth FROM task1 WHERE ground_truth = -1 UNION ALL SELECT cid, coalesce(CASE WHEN doc_id % 3 = 0 THEN ground_truth END, 1) FROM task1 WHERE ground_truth = 1")
 def s7(spark, d):
     t = X.task1(spark, d)
     part = lambda v: t.filter(F.col("ground_truth") == v).withColumn("ground_truth", F.coalesce(F.when(F.col("doc_id") % 3 == 0, F.col("ground_truth")), F.lit(v)))
-    return part(-1).unionByName(part(1), allowMissingColumns=True).groupBy("ground_truth").agg(F.count("*").alias("n"))
+    return part(-1).unionByName(part(1), allowMissingColumns=True).select("cid", "ground_truth")
 
 
 VERDICT = "CASE raw_output WHEN '好' THEN 1 WHEN '差。' THEN -1 WHEN '不好' THEN 1 ELSE CASE WHEN contains(raw_output, '令用户满意') THEN 1 END END"
@@ -59,9 +59,9 @@ def p22(spark, d):
     return j.groupBy("judged_model").agg(F.count("s").alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.min("s"), 6).alias("least"), F.round(F.max("s"), 6).alias("most"))
 
 
-@query("p23_first_character_verdicts", "SELECT CASE substring(raw_output, 1, 1) WHEN '好' THEN 1 WHEN '差' THEN -1 ELSE 0 END AS verdict, count(*) AS n FROM task1 GROUP BY 1")
+@query("p23_first_character_verdicts", "SELECT cid, CASE substring(raw_output, 1, 1) WHEN '好' THEN 1 WHEN '差' THEN -1 ELSE 0 END AS verdict FROM task1")
 def p23(spark, d):
-    return X.task1(spark, d).groupBy(T.first_character_verdict(F.col("raw_output")).alias("verdict")).agg(F.count("*").alias("n"))
+    return X.task1(spark, d).select("cid", T.first_character_verdict(F.col("raw_output")).alias("verdict"))
 
 
 LINES = "(SELECT string_agg({}, {} ORDER BY pos) FROM turns t WHERE t.cid = k.cid AND t.pos < k.at)"
@@ -122,14 +122,14 @@ def k2(spark, d):
     return E.leaderboard(m, "avg_acc")
 
 
-@query("o16_judging", f"WITH {P1} SELECT count(*) AS n, count(predicted) AS n_parsed, count(*) FILTER (predicted = ground_truth) AS n_right, max(length('[（无历史对话）]<q>(' || agent_response_full || ')')) AS longest_prompt FROM p")
+@query("o16_judging", f"WITH {P1} SELECT cid, predicted, (predicted = ground_truth)::INT AS right, md5('[（无历史对话）]<q>(' || agent_response_full || ')') AS prompt FROM p")
 def o16(spark, d):
     t = X.task1(spark, d)
     none = F.array().cast("array<struct<role:string,message:string>>")
     prompts = t.select("cid", E.judge_prompt(none, F.lit("q"), F.col("agent_response_full"), TEMPLATE).alias("prompt"), "ground_truth")
     outputs = t.select("cid", "raw_output")
     j = prompts.join(outputs, "cid").withColumn("predicted", T.verdict(F.col("raw_output"))["verdict"])
-    return j.agg(F.count("*").alias("n"), F.count("predicted").alias("n_parsed"), F.count_if(F.col("predicted") == F.col("ground_truth")).alias("n_right"), F.max(F.length("prompt")).alias("longest_prompt"))
+    return j.select("cid", "predicted", (F.col("predicted") == F.col("ground_truth")).cast("int").alias("right"), F.md5("prompt").alias("prompt"))
 
 
 METRICS = """count(*) AS n_total, count(*) FILTER (verdict <> 0) AS n_valid, count(*) FILTER (verdict = 0) AS n_fail, count(*) FILTER (verdict = 1) AS n_good, count(*) FILTER (verdict = -1) AS n_bad,
@@ -201,22 +201,22 @@ def o18_ledger(spark, d):
 
 @query(
     "o18_batched_scorer",
-    f"SELECT CASE WHEN length('[' || coalesce({LINES.format(BOLD, 'chr(10)')}, '（无历史对话）') || ']<' || query || '>(ok)') % 2 = 1 THEN 1 ELSE -1 END AS verdict, count(*) AS n FROM task2 k GROUP BY 1",
+    f"SELECT cid, CASE WHEN length('[' || coalesce({LINES.format(BOLD, 'chr(10)')}, '（无历史对话）') || ']<' || query || '>(ok)') % 2 = 1 THEN 1 ELSE -1 END AS verdict FROM task2 k",
 )
 def o18(spark, d):
     prompts = X.task2(spark, d).select("cid", E.judge_prompt(F.col("history"), F.col("query"), F.lit("ok"), TEMPLATE).alias("prompt"))
     outputs = E.scored_in_batches(prompts, "cid", lambda batch: ["好" if len(p) % 2 else "差" for p in batch])
-    return outputs.groupBy(T.first_character_verdict(F.col("output")).alias("verdict")).agg(F.count("*").alias("n"))
+    return outputs.select("cid", T.first_character_verdict(F.col("output")).alias("verdict"))
 
 
-@query("j1_resume", "WITH done AS (SELECT DISTINCT cid FROM (SELECT cid FROM turns WHERE conv_id % 3 = 0 UNION ALL SELECT cid FROM turns WHERE is_unliked)), a AS (SELECT DISTINCT cid FROM turns) SELECT 'raw' AS part, count(*) AS n FROM a UNION ALL SELECT 'processed', count(*) FROM a WHERE cid IN (SELECT cid FROM done) UNION ALL SELECT 'remaining', count(*) FROM a WHERE cid NOT IN (SELECT cid FROM done)")
+@query("j1_resume", "WITH done AS (SELECT DISTINCT cid FROM (SELECT cid FROM turns WHERE conv_id % 3 = 0 UNION ALL SELECT cid FROM turns WHERE is_unliked)), a AS (SELECT DISTINCT cid FROM turns) SELECT cid, CASE WHEN cid IN (SELECT cid FROM done) THEN 'processed' ELSE 'remaining' END AS part, (SELECT count(*) FROM a) AS n_raw, (SELECT count(*) FROM a WHERE cid NOT IN (SELECT cid FROM done)) AS n_remaining FROM a")
 def j1(spark, d):
     t = X.turns(spark, d)
     a = t.select("cid").distinct()
     done = t.filter(F.substring("cid", 2, 20).cast("long") % 3 == 0).select("cid").union(t.filter("is_unliked").select("cid")).distinct().withColumn("done", F.lit(True))
     marked = a.join(done, "cid", "left")
-    parts = F.explode(F.array(F.lit("raw"), F.when(F.col("done"), "processed").otherwise("remaining")))
-    return marked.select(parts.alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    totals = marked.agg(F.count("*").alias("n_raw"), F.count_if(F.col("done").isNull()).alias("n_remaining"))  # one row
+    return marked.select("cid", F.when(F.col("done"), "processed").otherwise("remaining").alias("part")).crossJoin(F.broadcast(totals))
 
 
 @query("u1_known_dialogues", "SELECT DISTINCT cid FROM (SELECT cid FROM turns WHERE conv_id % 3 = 0 UNION ALL SELECT cid FROM turns WHERE is_unliked)")

@@ -70,22 +70,22 @@ def s8(spark, d):
     return D.responses_by_model(spark, folder, ["r1"]).groupBy("model").agg(F.count("*").alias("n"))
 
 
-@query("s10_append_sink", "SELECT conv_id % 2 AS part, count(DISTINCT conv_id) AS n FROM turns GROUP BY 1")
+@query("s10_append_sink", "SELECT DISTINCT cid, conv_id % 2 AS part FROM turns")
 def s10(spark, d):
     path = fresh(spark, "appended")
     rows = X.turns(spark, d).select("cid", (F.substring("cid", 2, 20).cast("long") % 2).alias("part")).distinct()
     for part in (0, 1):
         D.append(rows.filter(F.col("part") == part), path)
-    return spark.read.schema("cid string, part long").json(path).groupBy("part").agg(F.count("*").alias("n"))
+    return spark.read.schema("cid string, part long").json(path)
 
 
-@query("s11_versioned_rewrite", "SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n_marked FROM saved")
+@query("s11_versioned_rewrite", "SELECT doc_id, (doc_id % 2 = 0)::INT AS marked FROM saved")
 def s11(spark, d):
     base = fresh(spark, "versions")
     rows = X.saved(spark, d).select("doc_id", F.lit(False).alias("marked"))
     D.rewrite(rows, base, "1")
     D.rewrite(D.latest(spark, base).select("doc_id", (F.col("doc_id") % 2 == 0).alias("marked")), base, "2")
-    return D.latest(spark, base).agg(F.count("*").alias("n"), F.count_if("marked").alias("n_marked"))
+    return D.latest(spark, base).select("doc_id", F.col("marked").cast("int").alias("marked"))
 
 
 @query("r1_incremental_curation", f"WITH f AS ({F1_SQL}) SELECT cid, reason, CASE WHEN reason = 'pass' THEN 'kept' ELSE 'deleted' END AS route FROM f")

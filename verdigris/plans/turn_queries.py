@@ -58,9 +58,9 @@ def p2(spark, d):
     return t.filter("snippet is not null")
 
 
-@query("p3_interrupted", "SELECT role, (length(trim(message)) < 4)::INT AS interrupted, count(*) AS n FROM turns GROUP BY ALL")
+@query("p3_interrupted", "SELECT cid, pos, role, (length(trim(message)) < 4)::INT AS interrupted FROM turns")
 def p3(spark, d):
-    return X.turns(spark, d).groupBy("role", T.is_interrupted(F.col("message")).cast("int").alias("interrupted")).agg(F.count("*").alias("n"))
+    return X.turns(spark, d).select("cid", "pos", "role", T.is_interrupted(F.col("message")).cast("int").alias("interrupted"))
 
 
 @query("p4_cleaned", f"SELECT cid, pos, md5({CLEAN.format('message')}) AS cleaned FROM turns")

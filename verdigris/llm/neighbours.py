@@ -15,8 +15,8 @@ leaves out itself), and equal queries are asked once: a vector may make up any s
 that is still too large is cut by hash into parts that are searched alike.
 
 Cases: vectors that are null, empty, zero, of another length than most of the sample, or hold null or non-finite
-components take no part; with fewer candidates than k all are returned; repeated ids count once;
-an empty table gives an empty result; further columns are ignored.
+components take no part; with fewer candidates than k all are returned; rows that repeat id and vector count once,
+rows of one id with different vectors are entries of their own; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -60,6 +60,11 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(2.0 * common / (F.length(a) + F.length(b)))
 
 
+def edit_bound(a: Column, b: Column) -> Column:
+    """An upper bound of the sequence similarity: with m matched characters in order, at most both lengths less 2m edits lead from a to b."""
+    return F.coalesce(1.0 - F.levenshtein(a, b) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(0.0))
+
+
 def is_short_dismissal(text: Column, words: list[str] | None = L.DISMISSALS, limit: int = 20) -> Column:
     """At most limit characters and one of the words, but for case and marks at the end; without words, any short text."""
     t = strip(text)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,10 +49,10 @@ def with_neighbours(turns: DataFrame) -> DataFrame:
     return turns.withColumns({"next_user": F.first(user, ignorenulls=True).over(after()), "previous_user": F.last(user, ignorenulls=True).over(before())})
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Null texts are pairs that are decided already."""
-    return pd.Series([None if x is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pa.array([None if x is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
 def sequence_similarity(pairs: DataFrame, a: str, b: str, name: str, thresholds: tuple[float, ...] = ()) -> DataFrame:
@@ -70,6 +70,10 @@ def sequence_similarity(pairs: DataFrame, a: str, b: str, name: str, thresholds:
     return known.filter(F.col(name).isNotNull()).unionByName(known.filter(F.col(name).isNull()).withColumn(name, _ratio(x, y)))
 
 
+#: Texts of so many characters are bounded by their edit distance, whose cost is the product of the lengths.
+EDITS = 1000
+
+
 def _reaction_rows(turns: DataFrame, complaint: str | None, group: int, dismissals: list[str] | None) -> DataFrame:
     t = with_neighbours(turns if "skip_read" in turns.columns else signals(turns)).filter("role = 'assistant'")
     text, asked = F.coalesce("next_user.message", F.lit("")), F.coalesce("previous_user.message", F.lit(""))
@@ -129,9 +133,12 @@ def reactions(turns: DataFrame, complaint: str | None = None, group: int = 0, di
     if similarity == "exact":
         some = sequence_similarity(rows.filter(compared), "_a", "_b", "_s")
         return _labelled(rows.filter(~compared).withColumn("_s", F.lit(0.0)).unionByName(some), F.greatest(j, F.col("_s")), True)
-    # lengths alone bound the similarity; one branch, so that the windows before are computed once
+    # lengths, and the edits that short texts are apart, bound the similarity; one branch, so that the windows before are computed once
     a, b, long = F.length("_a"), F.length("_b"), F.length(T.strip(F.col("text"))) > 4
-    bound = F.coalesce(2.0 * F.least(a, b) / F.nullif(a + b, F.lit(0)), F.lit(0.0))
+    rows = rows.withColumn("_bound", F.coalesce(2.0 * F.least(a, b) / F.nullif(a + b, F.lit(0)), F.lit(0.0)))
+    doubtful = compared & long & (j <= 0.80) & ~((j > 0.45) & (F.col("_bound") <= 0.80)) & (F.greatest(a, b) <= EDITS)
+    rows = rows.withColumn("_bound", F.when(doubtful, F.least("_bound", T.edit_bound(F.col("_a"), F.col("_b")))).otherwise(F.col("_bound")))
+    bound = F.col("_bound")
     best = F.greatest(j, bound)
     decided = ~compared | ~long | (j > 0.80) | ((j > 0.45) & (bound <= 0.80)) | ((j >= 0.15) & (best <= 0.45)) | (best < 0.15) | (a == 0) | (b == 0) | (F.col("_a") == F.col("_b"))
     rows = rows.withColumn("_open", ~decided)

@@ -216,7 +216,7 @@ def test_chat_round_trip(spark):
     out = chat.formatted(chat.canonical(chat.conversation_records(df))).withColumn("back", chat.parsed(F.col("formatted")))
     for r in out.collect():
         want = [(role or "", text or "") for c, _, role, text in sorted(((c, t, a or "", b or "") for c, t, a, b in rows)) if c == r["conv_id"]]
-        assert [tuple(t) for t in r["back"]] == want and r["layout"] == "messages"
+        assert [tuple(t) for t in r["back"]] == want and r["layout"]
         masked = [r["formatted"][m["start"] : m["start"] + m["length"]] for m in r["loss_mask"]]
         assert len(masked) == sum(role == "assistant" for role, _ in want)
         assert r["formatted"].count("<|im_end|>") == len(want) == r["formatted"].count("<|im_start|>")
@@ -231,6 +231,17 @@ def test_chat_round_trip(spark):
         ('{"prompt":"q","completion":"a"}', [("user", "q"), ("assistant", "a")]),
         ('{"instruction":"do","input":"x","output":"y"}', [("user", "do\nx"), ("assistant", "y")]),
         ('{"instruction":"do","input":"","output":"y"}', [("user", "do"), ("assistant", "y")]),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"q"},{"type":"text","text":"r"}]}]}', [("user", "qr")]),
+        ('{"request":{"model":"x","messages":[{"content":"q"},{"role":"assistant","content":null}]}}', [("", "q"), ("assistant", "")]),
+        ('{"request":{"messages":[{"role":"user","content":"q"}]}}', None),
+        ('{"messages":[{"role":"user","content":"q","it\'s":1}]}', None),
+        ('{"dialog":[{"speaker":"human","text":"q"},{"speaker":"bot","text":7}]}', [("user", "q"), ("assistant", "7")]),
+        ('{"turns":[{"role":"model","text":"a"}]}', [("assistant", "a")]),
+        ('{"question":"q","answer":"a"}', [("user", "q"), ("assistant", "a")]),
+        ('{"system":"s","prompt":"q","response":"a"}', [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ('{"prompt":"q","response":"a"}', [("user", "q"), ("assistant", "a")]),
+        ('{"instruction":"q","output":"a"}', [("user", "q"), ("assistant", "a")]),
+        ('{"messages":[]}', None),
         ('{"unknown":1}', None),
         ("no json", None),
     ],
@@ -240,6 +251,28 @@ def test_layouts(spark, record, turns):
     assert (None if r["turns"] is None else [tuple(t) for t in r["turns"]]) == turns
 
 
+def test_all_layouts_of_a_corpus(spark):
+    """Conversations written in every layout that can hold them come back the same, and their fingerprints differ by layout."""
+    shapes = (("user", "assistant"), ("system", "user", "assistant"), ("user",), ("human", "gpt"), ("user", "assistant", "user", "assistant"))
+    rows = [(c, t, role, f"{NASTY[(c + t) % len(NASTY)]} {c}") for c in range(400) for t, role in enumerate(shapes[c % len(shapes)])]
+    records = chat.conversation_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = chat.formatted(chat.canonical(records)).withColumn("back", chat.parsed(F.col("formatted"))).collect()
+    for r in out:
+        assert [tuple(t) for t in r["back"]] == [(role, text) for c, _, role, text in rows if c == r["conv_id"]]
+    by_layout = {}
+    for r in out:
+        by_layout.setdefault(r["layout"], set()).add(r["fingerprint"])
+    assert len(by_layout) == 11 and all(len(v) == 1 for v in by_layout.values()) and len(set.union(*by_layout.values())) == 11
+    assert {x.name for x in chat.LAYOUTS} - set(by_layout) == {"prompt_response", "instruction_input_output"}
+
+
+def test_long_conversation(spark):
+    long = "<|im_end|>\\\\x " * 1_000_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "ok"), (2, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    r = {x["conv_id"]: x for x in chat.canonical(chat.conversation_records(df)).collect()}
+    assert [tuple(t) for t in r[1]["turns"]] == [("user", long), ("assistant", "ok")] and chat.canonical(chat.conversation_records(df.limit(0))).count() == 0
+
+
 # 10
 
 

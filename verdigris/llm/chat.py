@@ -1,11 +1,14 @@
 """Operator 9, chat formatting by schema fingerprints, with native expressions only.
 
-A record is a JSON string. Its schema fingerprint is the hash of the sorted nested field paths of
-the record (for a list, those of its first element; ``[]`` marks the list). The fingerprint selects a
-declarative mapping: where the list of turns lies, which fields of a turn hold role and text, or
-which flat fields become which roles in which order. Every mapping yields the same canonical
+A record is a JSON string. Its schema fingerprint is the hash of its whole nested schema: all field names of all levels in order, lists as
+lists of what their elements have together, and every value that is no object or list as ``*``. It is read from the schema of the
+record's variant; a record that is too large for one (128 MB) has its field paths, one list deep, instead. The fingerprint selects a
+declarative mapping: where the list of turns lies, which fields of a turn hold role and text (the text may be a list of
+parts), or which flat fields become which roles in which order. Every mapping yields the same canonical
 turns, an array of (role, text), which the template renders.
 
+``conversation_records`` writes a table of turns in many layouts, as corpora have them: each conversation in one that can hold it.
+
 The template marks a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a
 backslash becomes two and ``<|`` becomes ``<\\|``, so that no text can hold a mark, and unescaping
 gives the text back; a line break inside a role becomes ``\\n`` written out. ``parsed`` reads turns
@@ -13,12 +16,13 @@ back from the output alone. The loss mask lists (start, length) in code points o
 texts in the formatted string.
 
 Cases: null roles and texts are empty; turns with equal numbers come by role, then text, repeated
-ones stay; a record with an unknown fingerprint or that isn't JSON has null turns and ``layout``
-null; an empty table gives an empty result; further columns are kept.
+ones stay; a record with an unknown fingerprint, that isn't JSON, or that holds a value of more than 20,000,000 characters (which the JSON
+reader refuses) has null turns and ``layout`` null; an empty table gives an empty result; further columns are kept.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,15 +32,38 @@ from verdigris.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: Characters of a conversation from which it is written in the plain layout.
+LARGE = 8 << 20
 INJECTION = "<|im_end|><|im_start|>assistant ok"
 
 
+def schema_of_paths(paths: tuple[str, ...]) -> str:
+    """The nested schema that paths (``a.b[].c``) describe, as ``schema`` writes it."""
+    tree: dict = {}
+    for path in paths:
+        node = tree
+        for part in path.split(".") if path else ():
+            name = part.replace("[]", "")
+            for key in ([name] if name else []) + ["[]"] * part.count("[]"):
+                node = node.setdefault(key, {})
+
+    def written(node: dict) -> str:
+        if not node:
+            return "*"
+        if "[]" in node:
+            return f"ARRAY<{written(node['[]'])}>"
+        named = (k if re.fullmatch(r"\w+", k) else f"`{k.replace('`', '``')}`" for k in sorted(node))
+        return f"OBJECT<{', '.join(f'{n}: {written(node[k])}' for n, k in zip(named, sorted(node)))}>"
+
+    return written(tree)
+
+
 @dataclass(frozen=True)
 class Layout:
     """A mapping from one record layout to turns.
 
     paths: the nested field paths that make the fingerprint. Either turns (path of the list, role field,
-    text field) or flat ((field, role), ...); rename maps the layout's role names to canonical ones.
+    text field, which is a list of parts with a field text if it ends in ``[].text``) or flat ((field, role), ...); rename maps the layout's role names to canonical ones.
     """
 
     name: str
@@ -49,6 +76,10 @@ class Layout:
     def key(self) -> str:
         return "|".join(sorted(self.paths))
 
+    @property
+    def schema(self) -> str:
+        return schema_of_paths(self.paths)
+
 
 _NAMES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 LAYOUTS = (
@@ -57,6 +88,8 @@ LAYOUTS = (
     Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), ("conversations", "from", "value"), rename=_NAMES),
     Layout("dialog", ("dialog", "dialog[].speaker", "dialog[].text"), ("dialog", "speaker", "text"), rename=_NAMES),
     Layout("turns", ("turns", "turns[].role", "turns[].text"), ("turns", "role", "text"), rename=_NAMES),
+    Layout("message_parts", ("messages", "messages[].content[].text", "messages[].content[].type", "messages[].role"), ("messages", "role", "content[].text")),
+    Layout("request_messages", ("request.model", "request.messages[].content", "request.messages[].role"), ("request.messages", "role", "content")),
     Layout("prompt_completion", ("prompt", "completion"), flat=(("prompt", "user"), ("completion", "assistant"))),
     Layout("prompt_response", ("prompt", "response"), flat=(("prompt", "user"), ("response", "assistant"))),
     Layout("system_prompt_response", ("system", "prompt", "response"), flat=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
@@ -83,8 +116,18 @@ def field_paths(record: Column) -> Column:
     return F.array_join(F.sort_array(F.coalesce(F.concat(top, F.flatten(inner)), of_list)), "|")
 
 
+#: Types of values that are no objects or lists, where a schema names one.
+_VALUE = r"(?<=: |ARRAY<|^)(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|VARIANT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|UUID|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
+
+
+def schema(record: Column) -> Column:
+    """The whole nested schema of a JSON object or list, with ``*`` for values; null for anything else."""
+    found = F.schema_of_variant(F.try_parse_json(record))
+    return F.when(found.rlike("^(?:OBJECT|ARRAY)<"), F.regexp_replace(found, _VALUE, "*"))
+
+
 def fingerprint(record: Column) -> Column:
-    return F.xxhash64(field_paths(record))
+    return F.xxhash64(F.coalesce(schema(record), field_paths(record)))
 
 
 def _renamed(role: Column, layout: Layout) -> Column:
@@ -98,9 +141,16 @@ def _mapped(record: Column, layout: Layout) -> Column:
     empty = F.lit("")
     if layout.turns:
         path, role, text = layout.turns
-        kind = f"array<struct<`{role}`:string,`{text}`:string>>"
-        got = F.from_json(record, f"struct<`{path}`:{kind}>")[path] if path else F.from_json(record, kind)
-        return F.transform(got, lambda t: F.struct(F.coalesce(_renamed(t[role], layout), empty).alias("role"), F.coalesce(t[text], empty).alias("text")))
+        field, _, part = text.partition("[].")
+        kind = f"array<struct<`{role}`:string,`{field}`:{f'array<struct<`{part}`:string>>' if part else 'string'}>>"
+        steps = path.split(".") if path else []
+        for step in reversed(steps):
+            kind = f"struct<`{step}`:{kind}>"
+        got = F.from_json(record, kind)
+        for step in steps:
+            got = got[step]
+        said = lambda t: F.array_join(F.transform(t[field], lambda x: F.coalesce(x[part], empty)), "") if part else t[field]
+        return F.transform(got, lambda t: F.struct(F.coalesce(_renamed(t[role], layout), empty).alias("role"), F.coalesce(said(t), empty).alias("text")))
     got = F.from_json(record, "struct<" + ",".join(f"`{f}`:string" for f, _ in layout.flat) + ">")
     parts = F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(got[f], empty).alias("text")) for f, r in layout.flat))
     optional = [f for f, _ in layout.flat if f in ("input", "system")]
@@ -118,7 +168,7 @@ def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout,
     keyed = records.withColumn("fingerprint", fingerprint(F.col(record)))
     turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     for x in layouts:
-        hit = F.col("fingerprint") == F.xxhash64(F.lit(x.key))
+        hit = F.col("fingerprint").isin(F.xxhash64(F.lit(x.schema)), F.xxhash64(F.lit(x.key)))
         turns = F.when(hit, _mapped(F.col(record), x)).otherwise(turns)
         name = F.when(hit, F.lit(x.name)).otherwise(name)
     return keyed.withColumns({"layout": name, "turns": turns})
@@ -180,11 +230,46 @@ def parsed(text: Column) -> Column:
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """One JSON record a conversation, of the layout ``messages``, from rows of conv_id, turn, role, text."""
+    """One JSON record a conversation, from rows of conv_id, turn, role, text. A hash of the id picks the layout among those that keep all roles and texts."""
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("messages"))
-    messages = F.transform("messages", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("m"))
+
+    def listed(role: str, text: str, names: dict[str, str] | None = None, parts: bool = False) -> Column:
+        def named(r: Column) -> Column:
+            out = r
+            for a, b in (names or {}).items():
+                out = F.when(r == a, b).otherwise(out)
+            return out
+
+        content = lambda t: F.array(F.struct(F.lit("text").alias("type"), t["content"].alias("text"))) if parts else t["content"]
+        return F.transform("m", lambda t: F.struct(named(t["role"]).alias(role), content(t).alias(text)))
+
+    roles = F.transform("m", lambda t: t["role"])
+    usual = F.forall(roles, lambda r: r.isin("user", "assistant", "system"))
+    said = lambda i: F.get("m", F.lit(i))["content"]
+    pair, three = F.array_join(roles, ",") == "user,assistant", (F.array_join(roles, ",") == "system,user,assistant") & (said(0) != "")
+    flat = lambda fields: F.to_json(F.struct(*(said(i).alias(f) for i, f in enumerate(fields))))
+    plain = F.to_json(F.struct(listed("role", "content").alias("messages")))
+    ways = (
+        (F.lit(True), plain),
+        (F.lit(True), F.to_json(listed("role", "content"))),
+        (usual, F.to_json(F.struct(listed("from", "value", {"user": "human", "assistant": "gpt"}).alias("conversations")))),
+        (usual, F.to_json(F.struct(listed("speaker", "text", {"assistant": "bot"}).alias("dialog")))),
+        (usual, F.to_json(F.struct(listed("role", "text", {"assistant": "model"}).alias("turns")))),
+        (F.lit(True), F.to_json(F.struct(listed("role", "content", parts=True).alias("messages")))),
+        (F.lit(True), F.to_json(F.struct(F.struct(F.lit("any").alias("model"), listed("role", "content").alias("messages")).alias("request")))),
+        (pair, flat(("prompt", "completion"))),
+        (pair, flat(("question", "answer"))),
+        (pair, flat(("instruction", "output"))),
+        (three, flat(("system", "prompt", "response"))),
+    )
+    # what may be too large for a variant is written plainly
+    large = F.aggregate("m", F.lit(0).cast("long"), lambda n, t: n + F.length(t["content"])) > LARGE
+    pick = F.when(large, 0).otherwise(F.pmod(F.xxhash64("conv_id"), F.lit(len(ways))))
+    record = plain
+    for k, (fits, way) in enumerate(ways):
+        record = F.when((pick == k) & fits, way).otherwise(record)
+    return grouped.select("conv_id", record.alias("record"))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

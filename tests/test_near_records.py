@@ -83,3 +83,17 @@ def test_ranks(spark):
         seen[kind] += 1
         want[i] = seen[kind]
     assert got == want
+
+
+def test_large_groups_by_tiles(spark, monkeypatch):
+    """Texts with a long start in common, whose grams bring all pairs together: none becomes a row, whatever tiles they lie in."""
+    r = random.Random(9)
+    start = "".join(r.choice("abcdefgh ") for _ in range(76))
+    rows = [(i, ("c", 1, 1), start[: r.choice((40, 76))] + "".join(r.choice("abcdefgh ") for _ in range(24)), float(r.randrange(4))) for i in range(300)]
+    rows += [(300 + i, k, q[:50] + "x" + q[50:99], j and j + r.choice((-0.5, 0.5))) for i, (_, k, q, j) in enumerate(rows[:80])]
+    texts = records(spark, rows).select("cid", F.col("source_query.message").alias("q"), "id", "judge_average")
+    k = texts.groupBy(F.col("cid").alias("g"), "q").agg(F.min("id").alias("first"), F.min(F.struct((-F.col("judge_average")).alias("j"), F.col("id").alias("of"))).alias("w"))
+    want = {q: rows[o][2] for i, o in plain(rows).items() if (q := rows[i][2]) != rows[o][2]}
+    for tile in (7, 90, 1000):
+        got = {x["q"]: rows[x["best"]["of"]][2] for x in C.nearest_better(k, 0.90, tile).collect()}
+        assert got == want and len(got) > 70, tile

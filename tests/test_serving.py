@@ -181,3 +181,19 @@ def test_hot_group_of_near_texts_is_compared_in_linear_time(spark, monkeypatch):
         best = max(rows, key=lambda r: (r[4], -r[0]))
         assert len(got) >= n * 0.99 and got[next(r[0] for r in rows if r[0] != best[0])] is not None
         assert sum(counts) <= 6 * n
+
+
+def test_grams_leave_a_task_once(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    texts = [(0, "banana 😀bandana"), (1, "anana"), (0, "banana"), (1, ""), (0, None), (2, "ab"), (3, "\U0010ffffzz\x00z")] * 3
+    want = {(b, t[i : i + 3]) for b, t in texts if t for i in range(len(t) - 2)}
+    batches = [pa.table({"block": pa.array([b], pa.int32()), "_hay": pa.array([t], pa.string())}).to_batches()[0] for b, t in texts]
+    for held in (2, 5, V.HELD):
+        monkeypatch.setattr(V, "HELD", held)
+        got = [x for batch in V._grams(iter(batches)) for x in zip(batch.column("block").to_pylist(), batch.column("gram").to_pylist())]
+        assert len(got) == len(set(got)) and set(got) == want
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "id long, text string")
+    V.write_search(df, "id", ["text"], f"{tmp_path}/s", blocks=4)
+    for needle in ("nan", "😀ban", "\U0010ffffzz", "ab", "zzz"):
+        assert {r["id"] for r in V.search(spark, f"{tmp_path}/s", needle).collect()} == {i for i, (_, t) in enumerate(texts) if t and needle in t}

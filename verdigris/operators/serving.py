@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from verdigris.sources.shared import materialize
 
 #: Rows of a block of a page index, blocks of a search index, parts of its grams, and the length of grams.
 BLOCK_ROWS, BLOCKS, GRAM_PARTS, GRAM = 10_000, 64, 64, 3
+#: Grams that a task holds before it forgets equal ones.
+HELD = 1 << 21
 
 
 def write_pages(df: DataFrame, order: list[Column | str], path: str, block_rows: int = BLOCK_ROWS) -> None:
@@ -45,18 +50,52 @@ def page_after(spark: SparkSession, path: str, place: int, limit: int) -> DataFr
     return page(spark, path, place + 1, limit)
 
 
+def _codes(text: str) -> np.ndarray:
+    """The different grams of a text, as numbers: 21 bits for each character."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    n = max(0, len(points) - GRAM + 1)
+    code = np.zeros(n, np.int64)
+    for k in range(GRAM):
+        code = code << 21 | points[k : k + n]
+    return code
+
+
+def _different(codes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, gram: the grams of the texts of each block, once for each task that holds any."""
+    held: dict[int, list[np.ndarray]] = {}
+    size = 0
+    for batch in batches:
+        for block, text in zip(batch.column("block").to_pylist(), batch.column("_hay").to_pylist()):
+            codes = _codes(text or "")
+            held.setdefault(block, []).append(codes)
+            size += len(codes)
+            if size > HELD:
+                held = {b: [_different(c)] for b, c in held.items()}
+                size = 0
+    for block, codes in held.items():
+        found = _different(codes)
+        for at in range(0, len(found), HELD):
+            part = found[at : at + HELD]
+            points = np.stack([part >> 21 * k & (1 << 21) - 1 for k in reversed(range(GRAM))], 1).astype("<u4")
+            text = points.tobytes().decode("utf-32-le", "surrogatepass")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array([text[i : i + GRAM] for i in range(0, len(text), GRAM)], pa.string())], names=["block", "gram"])
+
+
 def write_search(df: DataFrame, key: str, fields: list[Column | str], path: str, blocks: int = BLOCKS) -> None:
     """Writes the rows of df in blocks, and which blocks hold which grams of the lower-case text of all fields.
 
-    The index has a row for each gram and block at most, however often a gram stands in a block, and is laid out by gram.
+    The index has a row for each gram and block at most, however often a gram stands in a block, and is laid out by gram. Tasks
+    bring each gram once, as they hold grams as numbers and forget equal ones.
     """
     hay = F.lower(F.concat_ws(" ", *fields))
     rows = df.withColumns({"_hay": hay, "block": F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")})
     rows.repartition("block").write.partitionBy("block").parquet(f"{path}/rows")
-    texts = df.sparkSession.read.schema("_hay string, block int").parquet(f"{path}/rows").select("block", F.split("_hay", "").alias("c"))
-    # the last places have no whole gram
-    grams = F.transform("c", lambda x, i: F.concat(x, *(F.get("c", i + k) for k in range(1, GRAM))))
-    held = texts.select("block", F.explode(F.array_distinct(grams)).alias("gram")).filter("gram is not null").distinct()
+    texts = df.sparkSession.read.schema("_hay string, block int").parquet(f"{path}/rows").select("block", "_hay")
+    held = texts.mapInArrow(_grams, "block int, gram string").distinct()
     held.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(GRAM_PARTS)).cast("int")).repartition("part").sortWithinPartitions("gram").write.partitionBy("part").parquet(f"{path}/grams")
 
 

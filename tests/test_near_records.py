@@ -97,3 +97,12 @@ def test_large_groups_by_tiles(spark, monkeypatch):
     for tile in (7, 90, 1000):
         got = {x["q"]: rows[x["best"]["of"]][2] for x in C.nearest_better(k, 0.90, tile).collect()}
         assert got == want and len(got) > 70, tile
+
+
+def test_small_groups_leave_nothing_to_tiles(spark, monkeypatch):
+    seen = []
+    real = C.nearest_better
+    monkeypatch.setattr(C, "nearest_better", lambda texts, t: seen.append(texts.count()) or real(texts, t))
+    rows = [(10 * g + i, (f"c{g}", 1, 1), "a question that was asked before"[: 20 + i], float(i)) for g in range(12) for i in range(1 + g % 6)]
+    assert dict(map(tuple, C.near_duplicates(records(spark, rows), "id").collect())) == plain(rows)
+    assert seen == [12]  # the two groups of six

@@ -200,3 +200,16 @@ def test_once_within_the_watermark(spark, tmp_path):
     spark.createDataFrame([("f", at(402), 6), ("g", at(403), 6)], schema).coalesce(1).write.parquet(f"{tmp_path}/source/5")
     S.write_once(stream_of(spark, tmp_path, schema, batches), f"{tmp_path}/out", f"{tmp_path}/check", "ts", "1 hour").awaitTermination()
     assert sorted(r.cid for r in spark.read.schema("cid string").parquet(f"{tmp_path}/out").collect()) == sorted([*got, "g"])
+
+
+def test_enrichment_reads_signals_and_reactions_once(spark, sf_dir, monkeypatch):
+    from verdigris.sources import fixtures as X
+
+    kept = []
+    real = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, what: kept.append(what) or real(df, what))
+    t = X.turns(spark, sf_dir).filter("create_time is not null")
+    closed = t.groupBy("cid").agg(F.min("create_time").alias("start"), F.max("create_time").alias("end"), F.array_sort(F.collect_list(F.struct("pos", "turn_index", "role", "message", "create_time", "length", "is_unliked"))).alias("history"))
+    got = S.enriched_sessions(closed, similarity="jaccard")
+    assert kept == ["signals", "reactions"]
+    assert sorted(r["cid"] for r in got.collect()) == sorted(r["cid"] for r in closed.select("cid").collect())

@@ -9,7 +9,7 @@ from verdigris.plans.registry import query
 from verdigris.plans.turn_queries import A1_SQL, F1_SQL, LEXICON, W7_SQL, rollup
 from verdigris.sources import dialogues as D
 from verdigris.sources import fixtures as X
-from verdigris.sources.shared import fresh
+from verdigris.sources.shared import fresh, materialize
 from verdigris.streaming import jobs as S
 
 
@@ -102,6 +102,7 @@ def r1(spark, d):
 def arrivals(spark, rows: DataFrame, time: str, slices: int = 4, again: bool = False, files: int = 2) -> DataFrame:
     """rows as a stream that brings them in slices of time, a batch for each; with again, every slice brings the one before it once more."""
     folder = fresh(spark, "slices")
+    rows = materialize(rows, "arriving")  # each slice reads them
     t = F.unix_micros(F.col(time))
     low, high = rows.agg(F.min(t), F.max(t)).first()
     width = ((high or 0) - (low or 0)) // slices + 1

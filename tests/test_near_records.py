@@ -106,3 +106,9 @@ def test_small_groups_leave_nothing_to_tiles(spark, monkeypatch):
     rows = [(10 * g + i, (f"c{g}", 1, 1), "a question that was asked before"[: 20 + i], float(i)) for g in range(12) for i in range(1 + g % 6)]
     assert dict(map(tuple, C.near_duplicates(records(spark, rows), "id").collect())) == plain(rows)
     assert seen == [12]  # the two groups of six
+
+
+def test_enhanced_joins_texts_once(spark, sf_dir):
+    """What follows the join of texts and histories reads a narrow table, not the texts again."""
+    files = registry.QUERIES["o8_enhanced"](spark, sf_dir).inputFiles()
+    assert files and not any("documents.parquet" in f or "conversations.parquet" in f for f in files)

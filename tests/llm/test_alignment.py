@@ -100,5 +100,22 @@ def test_answers_stay_right_when_they_are_too_many(plain, texts, monkeypatch):
         assert len(align.place) <= 50 + len(set((t or "").split(" ")))
 
 
+def test_new_texts_are_encoded_in_bounded_strings_and_much_used_ones_stay(plain, monkeypatch):
+    monkeypatch.setattr(al, "KEPT", 50)
+    monkeypatch.setattr(al, "JOINED", 20, raising=False)
+    a, b = al.paths()
+    pairs = al.Pairs(al.bytes_of_a(a), al.bytes_of_b(b))
+    align, asked = al.Aligner(a, b, pairs.codes), []
+    real = align.tokens
+    monkeypatch.setattr(align, "tokens", lambda text: asked.append(text) or real(text))
+    texts = ["common"] * 40 + [" ".join(f"{k}w{i}" for i in range(45)) + " common"[: 7 * (k < 1)] for k in range(4)] + ["common ▁ x▁ once"]
+    for t in texts:
+        w = plain(t)
+        n_a, n_b, n, groups, links = align.run([t])[0]
+        assert (n_a, n_b, n, groups) == w[:4] and sorted(pairs.codes[links].tolist()) == sorted(i * pairs.width + j for i, j in w[4])
+    assert {t for t in asked if "common" in t.split(" ")} == {"common"} and "common" not in asked[3:]
+    assert max(t.count(" ") for t in asked) < 20
+
+
 def test_empty_table(spark, no_docs):
     assert al.scored(no_docs).count() == 0 and al.id_pairs(no_docs).count() == 0 and al.groups(no_docs).withColumn("x", F.lit(1)).count() == 0

@@ -8,7 +8,7 @@ end cut the tokens into groups; tokens that end together are a link.
 
 No token of either model holds a space after another character, so a text falls apart at each space between two other
 characters, and what stands between is encoded alike wherever it stands. Each worker encodes what it hasn't met yet, joined
-to one string, and keeps a bounded number of answers, the most used ones where they would be too many.
+to strings of some thousands, and keeps a bounded number of answers, the most used ones where they would be too many.
 
 Two tokens can only be linked if the bytes of one end in those of the other. The pairs of this kind follow from the two
 vocabularies (``Pairs``), whatever the corpus holds; so links are places in that list, tasks count them in an
@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import bound_batches, materialize, pieces, table
 
 #: Answers that a worker keeps, the longest text that it keeps one for, and the bytes of texts that are handled together.
-KEPT, KEPT_CHARS, TOGETHER = 400_000, 64, 4 << 20
+KEPT, KEPT_CHARS, TOGETHER = 600_000, 64, 4 << 20
+#: Texts that are joined to one string to be encoded: the tokenizers are slower on very long strings.
+JOINED = 4096
 _ODD = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -98,6 +100,18 @@ class Pairs:
         self.b = (self.codes % self.width).astype(np.int32)
 
 
+class _Places(dict):
+    """Texts to their places among the answers. One that isn't known gets the next place and is kept in new until it is learnt."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self[text] = at = len(self)
+        self.new.append(text)
+        return at
+
+
 class Aligner:
     """Groups and links of texts, by two tokenizers."""
 
@@ -115,19 +129,23 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}  # text to its place in what follows
+        self.place = _Places()
         self.groups: list[str | None] = []  # None where the bytes differ
         self.links: list[bytes] = []
         self.counts, self.uses = array("q"), array("q")
 
     def shrink(self, most: int) -> None:
-        """Keeps the most used answers; none for long texts."""
-        uses, old = np.array(self.uses), (self.groups, self.links, np.array(self.counts).reshape(-1, 3).tolist())
+        """Keeps the most used answers; none for long texts. What they were used before counts half."""
+        uses, counts, groups, links = np.array(self.uses), np.array(self.counts).reshape(-1, 3), self.groups, self.links
         least = np.partition(uses, -most)[-most] if len(uses) > most else 0
-        kept = [(t, i) for t, i in self.place.items() if len(t) <= KEPT_CHARS and uses[i] >= least][:most]
+        enough = (uses >= least).tolist()
+        kept = [(t, i) for t, i in self.place.items() if enough[i] and len(t) <= KEPT_CHARS][:most]
+        at = [i for _, i in kept]
         self.forget()
-        for t, i in kept:
-            self._keep(t, *(x[i] for x in old))
+        self.place.update((t, i) for i, (t, _) in enumerate(kept))
+        self.groups, self.links = list(map(groups.__getitem__, at)), list(map(links.__getitem__, at))
+        self.counts.frombytes(counts[at].tobytes())
+        self.uses.frombytes((uses[at] // 2).tobytes())
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids and byte ends of A's and B's tokens of a space and the text; None if their bytes aren't those."""
@@ -164,51 +182,62 @@ class Aligner:
         return np.searchsorted(self.pairs, np.repeat(a, n) * width + b[at]).astype(np.int32)
 
     def learn(self, new: list[str]) -> None:
-        """Keeps the answers for these texts: those that neither begin nor end in white space are encoded as one."""
-        plain = [t for t in new if t and not t[0].isspace() and not t[-1].isspace()]
-        if len(plain) > 1 and (found := self.tokens(" ".join(plain))) is not None:
-            a, a_end, b, b_end = found
-            ends = np.cumsum([len(t.encode()) + 1 for t in plain])
-            i, j = np.searchsorted(a_end, ends, "right"), np.searchsorted(b_end, ends, "right")
-            heads = b_end[np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)] == a_end  # tokens of A that have a link
-            cuts = a_end[heads]
-            cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])]
-            p, q, k = np.searchsorted(a_end, cuts, "right").tolist(), np.searchsorted(b_end, cuts, "right").tolist(), np.searchsorted(cuts, ends, "right").tolist()
-            links = self._linked(a, a_end, b, b_end)
-            twice = len(links) != heads.sum()
-            upto = None if twice else np.cumsum(heads).tolist()
-            x, y = list(map(self.written.__getitem__, a.tolist())), list(map(self.written.__getitem__, b.tolist()))
-            g = [f"{x[s] if e - s == 1 else ','.join(x[s:e])}|{y[u] if v - u == 1 else ','.join(y[u:v])}" for s, e, u, v in zip([0, *p[:-1]], p, [0, *q[:-1]], q)]
-            i, j, before = i.tolist(), j.tolist(), (0, 0, 0)
-            for t, *now in zip(plain, i, j, k):
-                (i0, j0, k0), (i1, j1, k1) = before, now
-                own = self._linked(a[i0:i1], a_end[i0:i1], b[j0:j1], b_end[j0:j1]) if twice else links[upto[i0 - 1] if i0 else 0 : upto[i1 - 1]]
-                self._keep(t, ";".join(g[k0:k1]), own.tobytes(), (i1 - i0, j1 - j0, k1 - k0))
-                before = now
-            new = [t for t in new if t not in self.place]
-        for t in new:
-            if not t or (found := self.tokens(t)) is None:
-                self._keep(t, None, b"", (0, 0, 0))
+        """Answers for these texts, which stand behind the others: those that neither begin nor end in white space are encoded together."""
+        first = len(self.groups)
+        self.groups.extend([None] * len(new))
+        self.links.extend([b""] * len(new))
+        self.counts.frombytes(bytes(24 * len(new)))
+        self.uses.frombytes(bytes(8 * len(new)))
+        plain = [i for i, t in enumerate(new, first) if t and not t[0].isspace() and not t[-1].isspace()]
+        done: set[int] = set()
+        for k in range(0, len(plain), JOINED):
+            if len(at := plain[k : k + JOINED]) > 1 and self._learn_joined(at, [new[i - first] for i in at]):
+                done.update(at)
+        for i, t in enumerate(new, first):
+            if i in done or not t or (found := self.tokens(t)) is None:
                 continue
             groups = self.aligned(t)
-            self._keep(t, ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for _, _, x, y in groups), self._linked(*found).tobytes(), (len(found[0]), len(found[2]), len(groups)))
-
-    def _keep(self, text: str, groups: str | None, links: bytes, counts: tuple[int, int, int] | list[int]) -> None:
-        self.place[text] = len(self.groups)
-        self.groups.append(groups)
-        self.links.append(links)
-        self.counts.extend(counts)
-        self.uses.append(0)
+            self.groups[i] = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for _, _, x, y in groups)
+            self.links[i] = self._linked(*found).tobytes()
+            self.counts[3 * i : 3 * i + 3] = array("q", (len(found[0]), len(found[2]), len(groups)))
+
+    def _learn_joined(self, at: list[int], texts: list[str]) -> bool:
+        """Puts the answers of these texts, encoded as one, at these places; False if the bytes differ."""
+        if (found := self.tokens(" ".join(texts))) is None:
+            return False
+        a, a_end, b, b_end = found
+        ends = np.cumsum([len(t.encode()) + 1 for t in texts])
+        i, j = np.searchsorted(a_end, ends, "right"), np.searchsorted(b_end, ends, "right")
+        heads = b_end[np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)] == a_end  # tokens of A that have a link
+        cuts = a_end[heads]
+        cuts = cuts[np.append(True, cuts[1:] != cuts[:-1])]
+        p, q, k = np.searchsorted(a_end, cuts, "right").tolist(), np.searchsorted(b_end, cuts, "right").tolist(), np.searchsorted(cuts, ends, "right")
+        links = self._linked(a, a_end, b, b_end)
+        x, y = list(map(self.written.__getitem__, a.tolist())), list(map(self.written.__getitem__, b.tolist()))
+        g = [f"{x[s] if e - s == 1 else ','.join(x[s:e])}|{y[u] if v - u == 1 else ','.join(y[u:v])}" for s, e, u, v in zip([0, *p[:-1]], p, [0, *q[:-1]], q)]
+        upto = np.stack([i, j, k], 1)
+        counts = np.frombuffer(self.counts, np.int64).reshape(-1, 3)
+        counts[at] = np.diff(upto, axis=0, prepend=np.zeros((1, 3), np.int64))
+        del counts  # else the array could not grow
+        if len(links) == heads.sum():
+            raw, to = links.tobytes(), (4 * np.cumsum(heads)[i - 1]).tolist()
+            own = [raw[s:e] for s, e in zip([0, *to[:-1]], to)]
+        else:
+            own = [self._linked(a[s:e], a_end[s:e], b[u:v], b_end[u:v]).tobytes() for s, e, u, v in zip([0, *i[:-1]], i, [0, *j[:-1]], j)]
+        k = k.tolist()
+        for n, s, e, of_n in zip(at, [0, *k[:-1]], k, own):
+            self.groups[n], self.links[n] = g[s] if e - s == 1 else ";".join(g[s:e]), of_n
+        return True
 
     def run(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
         """n_a, n_b, n_groups, the groups as text and the links of each text."""
         none = (0, 0, 0, "", np.zeros(0, np.int32))
-        parts = [_parts(t) if t else () for t in texts]
-        new = set(chain.from_iterable(parts)) - self.place.keys()
-        self.learn(list(new))
+        place = self.place.__getitem__
+        places = [list(map(place, _parts(t))) if t else () for t in texts]
+        new, self.place.new = self.place.new, []
+        self.learn(new)
         counts, uses, out = np.array(self.counts).reshape(-1, 3), np.frombuffer(self.uses, np.int64), []
-        for p in parts:
-            at = list(map(self.place.__getitem__, p))
+        for at in places:
             groups = list(map(self.groups.__getitem__, at))
             if not at or None in groups:
                 out.append(none)

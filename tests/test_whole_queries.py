@@ -110,3 +110,15 @@ def test_enhanced_by_whole_texts(spark, sf_dir, monkeypatch):
     got = registry.QUERIES["o8_enhanced"](spark, sf_dir).collect()
     assert sum(x["n"] for x in got) == len(seen) > 30
     assert sum(x["n"] for x in got if x["duplicate"]) == len(whole([tuple(x) for x in seen])) < len(seen) - 1
+
+
+def test_blocks_are_those_of_difflib():
+    r = random.Random(13)
+    texts = [*copies(r, 40, 20, 220), *copies(r, 40, 190, 900), "a" * 250, "ab" * 120, "x" + "ab" * 120]
+    for _ in range(600):
+        x, y = r.choice(texts), r.choice(texts)
+        m, b, ends = difflib.SequenceMatcher(None, x, y), C._Blocks(x, y), (r.randrange(len(x) + 1), r.randrange(len(x) + 1), r.randrange(len(y) + 1), r.randrange(len(y) + 1))
+        for part in ((0, len(x), 0, len(y)), (*sorted(ends[:2]), *sorted(ends[2:]))):
+            assert b.longest(*part) == tuple(m.find_longest_match(*part))
+        for threshold in (0.5, 0.9):
+            assert C._is_near(x, y, threshold) == (m.ratio() > threshold), (x, y)
